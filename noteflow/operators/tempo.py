@@ -51,7 +51,8 @@ def resolve_tempo(witnesses: DataFrame) -> DataFrame:
         F.max((F.col("ratio") != 1.0).cast("int")).alias("folds"))
     boost = F.col("acw") * (1.0 + F.col("out") / F.col("total"))
     bpm = (F.col("num") + F.col("a.tempo_bpm") * boost) / (F.col("den") + boost)
-    g = g.withColumn("weighted_bpm", bpm)
+    # nine places: a lone anchor must come back as itself before snapping
+    g = g.withColumn("weighted_bpm", F.round(bpm, 9))
     deviation = F.greatest(F.col("hi") - F.col("weighted_bpm"), F.col("weighted_bpm") - F.col("lo"))
     single = F.col("n_witnesses") == 1
     return g.select(
@@ -218,3 +219,19 @@ def re_anchor(beats: DataFrame, ratio: float, chunk_ms: float = CHUNK_MS) -> Dat
     frac = F.col("new_idx") / float(ratio) - (F.col("_i") - 1)
     t = F.col("t_ms") + F.when(F.col("_n").isNull(), 0.0).otherwise(frac * (F.col("_n") - F.col("t_ms")))
     return b.select("song_id", "new_idx", t.alias("t_ms"))
+
+
+def interpolate_at(events: DataFrame, knots: DataFrame, t: str, knot_t: str, value: str, name: str,
+                   chunk_ms: float = CHUNK_MS) -> DataFrame:
+    """Add ``value`` interpolated linearly at each event's time, clamped to the first and last knot."""
+    pt = F.struct(F.col(knot_t).alias("t"), F.col(value).alias("v"))
+    whole = F.struct(*[F.col(c) for c in events.columns])
+    e = events.select("song_id", F.col(t).alias("_t"), F.lit(1).alias("_side"), whole.alias("_e"))
+    k = knots.select("song_id", F.col(knot_t).alias("_t"), F.lit(0).alias("_side"), pt.alias("_k"))
+    both = scan(e.unionByName(k, allowMissingColumns=True), ["song_id"], ["_t", "_side"],
+                {"_a": fill("_k"), "_b": fill_next("_k")}, chunk_ms).filter("_side = 1")
+    a, b = F.col("_a"), F.col("_b")
+    span = b["t"] - a["t"]
+    v = F.when(a.isNull(), b["v"]).when(b.isNull() | (span <= 0), a["v"]).otherwise(
+        a["v"] + (F.col("_t") - a["t"]) / span * (b["v"] - a["v"]))
+    return both.select("_e.*", v.alias(name)).filter(F.col(name).isNotNull())
