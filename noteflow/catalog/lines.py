@@ -1,0 +1,85 @@
+"""Voice lines, threads, studies."""
+
+from pyspark.sql import functions as F
+
+from ..operators import lines as ln
+from ..operators import patterns as p
+from ..sources import corpus as c
+from .patterns import dense, small
+from .registry import query
+
+
+@query("v01_voice_lines")
+def v01(s, d):
+    return ln.voice_lines(c.notes(s, d)).select("song_id", "stem", "note_id", "line_id")
+
+
+@query("v02_melodic_threads")
+def v02(s, d):
+    return ln.melodic_threads(c.notes(s, d), 480.0).select("song_id", "stem", "note_id", "line_id")
+
+
+@query("v02_line_stats")
+def v02b(s, d):
+    return ln.line_stats(ln.melodic_threads(c.notes(s, d), 480.0))
+
+
+FP = """
+fp as (select note_id, song_id, stem, note_id // 5 as line_id, case when note_id % 7 <> 0 then (note_id % 9) * 2.5e-5 end as b, (note_id % 13) / 10e0 - 0.9e0 as slope, case when note_id % 4 <> 0 then (note_id % 31) * 1e0 end as vibrato,
+  (note_id % 30) / 100e0 as attack, (note_id % 10) / 10e0 as even_odd, 0e0 - (note_id % 20) as brightness, 440 * power(2, (pitch - 69) / 12e0) as f0_hz from notes),
+lo as (select *, row_number() over (partition by song_id, stem, line_id order by f0_hz, note_id) as r, count(*) over (partition by song_id, stem, line_id) as n from fp),
+po as (select song_id, stem, line_id, count(*) as n_notes, median(even_odd) as even_odd, median(slope) as slope, median(vibrato) as vibrato, median(attack) as attack, median(brightness) as brightness, median(b) filter (where r <= greatest(1, n // 3)) as b from lo group by all)"""
+
+
+def fingerprints(s, d):
+    i = F.col("note_id")
+    from ..functions.music import midi_to_hz
+
+    return c.notes(s, d).select(
+        "note_id", "song_id", "stem", F.floor(i / 5).alias("line_id"), F.when(i % 7 != 0, (i % 9) * 2.5e-5).otherwise(float("nan")).alias("b"),
+        ((i % 13) / 10.0 - 0.9).alias("slope"), F.when(i % 4 != 0, (i % 31) * 1.0).otherwise(float("nan")).alias("vibrato"), ((i % 30) / 100.0).alias("attack"),
+        ((i % 10) / 10.0).alias("even_odd"), (0.0 - (i % 20)).alias("brightness"), midi_to_hz("pitch").alias("f0_hz"))
+
+
+@query("a12_fingerprint_pooling", "notes", FP, """
+select song_id, stem, line_id, n_notes, round(even_odd, 6) as even_odd, round(slope, 6) as slope, round(vibrato, 6) as vibrato, round(b, 8) as b from po""")
+def a12(s, d):
+    f = ln.pool_fingerprints(fingerprints(s, d))
+    return f.select("song_id", "stem", "line_id", "n_notes", *[F.round(x, 6).alias(x) for x in ("even_odd", "slope", "vibrato")], F.round("b", 8).alias("b"))
+
+
+FAM = {"bass": "bass", "drums": "drums", "vocals": "vocals"}
+
+
+@query("a13_line_identity", "notes", FP + """,
+vt as (select song_id, stem, note_id // 5 as line_id, min(case when note_id % 2 = 0 then 'piano' else 'guitar' end) as lo, max(case when note_id % 2 = 0 then 'piano' else 'guitar' end) as hi, bool_or(note_id % 17 = 0) as con, median(confidence) as cf from notes where note_id % 3 = 0 group by all),
+ld as (select po.*, lo, hi, con, cf, case when n_notes < 3 then 'mid_body' when b > 1e-5 and slope < -0.3 and (vibrato is null or vibrato < 6) then case when b >= 1.5e-4 then 'piano' when attack >= 0.15 then 'guitar' else 'mid_body' end
+  when b <= 1e-5 and vibrato >= 20 then 'vibrato_lead' when b <= 1e-5 and even_odd < 0.4 then 'clarinet_like' when b <= 1e-5 and brightness > -10 and abs(slope) < 0.3 and (vibrato is null or vibrato < 20) then 'brass' else 'mid_body' end as lad
+  from po left join vt using (song_id, stem, line_id))""", """
+select song_id, stem, line_id, case when lo = hi and not con then lo when stem in ('bass', 'drums', 'vocals') then stem else lad end as family,
+  case when lo = hi and not con then false when stem in ('bass', 'drums') then false when stem = 'vocals' then lad <> 'mid_body' else lad not in ('piano', 'guitar', 'clarinet_like', 'brass') end as contested from ld""")
+def a13(s, d):
+    i = F.col("note_id")
+    v = c.notes(s, d).filter("note_id % 3 = 0").select("song_id", "stem", F.floor(i / 5).alias("line_id"),
+                                                      F.when(i % 2 == 0, "piano").otherwise("guitar").alias("family"), "confidence", (i % 17 == 0).alias("contested"))
+    r = ln.line_identity(ln.pool_fingerprints(fingerprints(s, d)), v, FAM)
+    return r.select("song_id", "stem", "line_id", "family", "contested")
+
+
+def studied(s, d):
+    n = dense(s, d, small(5)).filter("stem <> 'drums'")
+    return ln.melodic_threads(n, 480.0)
+
+
+@query("w19_pattern_study")
+def w19(s, d):
+    o = p.study(studied(s, d), 480.0)
+    return o.select("song_id", "stem", "pattern", "pos0", "pos1", "size", "confidence")
+
+
+@query("w20_apply_observations")
+def w20(s, d):
+    """Re-strikes and cohesive figures of every stem as annotation rows."""
+    n = dense(s, d, small(2))
+    o = p.rearticulations(n, 1600.0).unionByName(p.neighbor_tones(n, 1600.0))
+    return p.apply_observations(o, n, p.KEYS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.joins import nearest, points_in
-from ..plans.timeline import CHUNK_MS, islands, max_before, nxt, scan
+from ..plans.timeline import CHUNK_MS, islands, max_before, nxt, scan, settle
 
 
 def latest(annotations: DataFrame, value: str = "value") -> DataFrame:
@@ -51,10 +51,11 @@ def consolidate(notes: DataFrame, onsets: DataFrame | None = None, max_gap_ms: f
     """
     keys, order = ["song_id", "stem", "pitch"], ["start_ms", "note_id"]
     n = attacked(notes, onsets, 50.0, chunk_ms) if onsets is not None else notes.withColumn("attack", F.lit(False))
-    n = scan(n, keys, order, {"_reach": max_before("end_ms")}, chunk_ms, keep_chunk=True)
+    n = settle(scan(n, keys, order, {"_reach": max_before("end_ms")}, chunk_ms))
     gap = F.col("start_ms") - F.col("_reach")
     joins = (gap <= max_gap_ms) & ((gap < 20.0) | ~F.col("attack"))
-    n = islands(n, keys, order, F.col("_reach").isNull() | ~joins, "_run", chunk_ms)
+    n = n.withColumn("_new", F.col("_reach").isNull() | ~joins)
+    n = islands(n, keys, order, lambda p, r: r["_new"], ["_new"], "_run", chunk_ms).drop("_new")
     return n.withColumn("run_note", F.col("_run.note_id")).drop("_reach", "_run")
 
 

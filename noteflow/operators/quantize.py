@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.music import clip, hz_to_midi, nearest_value
 from ..plans.grouping import anchor_groups
 from ..plans.joins import points_in
-from ..plans.timeline import CHUNK_MS, islands, nxt, prev, row_no, scan
+from ..plans.timeline import CHUNK_MS, islands, nxt, prev, row_no, scan, settle
 from .tempo import tempo_map
 
 # Note values in beats with their reading cost, in the order they are tried.
@@ -91,7 +91,7 @@ def beat_knots(beats: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
 
 def beats_to_ms(events: DataFrame, beats: DataFrame, pos: str, name: str, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Inverse of the tempo map: time of a beat position, by equi-join on the beat index."""
-    k = beat_knots(beats, chunk_ms)
+    k = settle(beat_knots(beats, chunk_ms))
     last = k.select("song_id", "last_i").distinct()
     e = events.join(last, "song_id").withColumn(
         "i", F.greatest(F.lit(0).cast("bigint"), F.least(F.floor(pos), F.col("last_i") - 1)))
@@ -193,7 +193,7 @@ def beat_fractions(notes: DataFrame, beats: DataFrame, tolerance_ms: float = 40.
     """Chord groups of each stem placed in beats: one row per group with beat start, length and fraction."""
     g = anchor_groups(notes, ["song_id", "stem"], "start_ms", "note_id", tolerance_ms, chunk_ms=chunk_ms)
     per = g.groupBy("song_id", "stem", "group_ms").agg(F.max("end_ms").alias("g_end"))
-    per = scan(per, ["song_id", "stem"], ["group_ms"], {"next_group_ms": nxt("group_ms")}, chunk_ms)
+    per = scan(settle(per), ["song_id", "stem"], ["group_ms"], {"next_group_ms": nxt("group_ms")}, chunk_ms)
     m = tempo_map(per, beats, "group_ms", chunk_ms)
     idx = F.floor("beat_pos")
     late = (F.col("beat_pos") - idx) > 1.0 - 1.0 / 16.0
@@ -238,7 +238,7 @@ def f0_notes(frames: DataFrame, min_ms: float = 30.0, floor: float = 0.5, chunk_
     valid = (F.col("conf") >= floor) & (F.col("hz") > 0)
     f = frames.withColumn("midi", F.when(valid, F.bround(hz_to_midi("hz")).cast("bigint")).otherwise(-1))
     f = scan(f, ["song_id"], ["t_ms", "frame_idx"], {"_p": prev("midi"), "_next_t": nxt("t_ms")}, chunk_ms, keep_chunk=True)
-    f = islands(f, ["song_id"], ["t_ms", "frame_idx"], F.col("_p").isNull() | (F.col("_p") != F.col("midi")), "_isl", chunk_ms)
+    f = islands(f, ["song_id"], ["t_ms", "frame_idx"], lambda p, r: p["midi"] != r["midi"], ["midi"], "_isl", chunk_ms)
     # the stream's very last frame only closes the run it belongs to
     tail = F.col("_next_t").isNull() & (F.col("_p") == F.col("midi"))
     inside = ~F.coalesce(tail, F.lit(False))
@@ -267,7 +267,7 @@ def proportional(events: DataFrame, keys=("song_id",), t: str = "t_ms", reach: i
     e = scan(events, list(keys), [t], {"_n": nxt(t)}, chunk_ms)
     e = e.withColumn("ioi", F.greatest(F.lit(1.0), F.col("_n") - F.col(t))).filter("_n is not null").drop("_n")
     outs = {**{f"_b{k}": prev("ioi", k) for k in range(1, reach + 1)}, **{f"_f{k}": nxt("ioi", k) for k in range(1, reach + 1)}}
-    e = scan(e, list(keys), [t], outs, chunk_ms)
+    e = scan(settle(e), list(keys), [t], outs, chunk_ms)
     around = F.array_sort(F.array_compact(F.array("ioi", *list(outs))))
     n = F.size(around)
     median = (F.get(around, F.floor((n - 1) / 2).cast("int")) + F.get(around, F.floor(n / 2).cast("int"))) / 2.0
@@ -350,11 +350,13 @@ def wobble_groups(notes: DataFrame, f0: DataFrame, tempo_bpm: float, chunk_ms: f
     d_max = min(150.0, 0.85 * sixteenth) if sixteenth else 150.0
     g_max = min(30.0, 0.5 * sixteenth) if sixteenth else 30.0
     keys, order = ["song_id", "stem"], ["start_ms", "note_id"]
-    n = scan(notes, keys, order, {"_p": prev(F.struct("end_ms", "pitch", "start_ms"))}, chunk_ms, keep_chunk=True)
-    gap = F.col("start_ms") - F.col("_p.end_ms")
-    short, was_short = F.col("end_ms") - F.col("start_ms") < d_max, F.col("_p.end_ms") - F.col("_p.start_ms") < d_max
-    linked = F.coalesce(gap.between(0.0, g_max) & short & was_short & (F.col("pitch") != F.col("_p.pitch")), F.lit(False))
-    n = islands(n, keys, order, ~linked, "_isl", chunk_ms)
+
+    def unlinked(p, r):
+        gap = r["start_ms"] - p["end_ms"]
+        short = (r["end_ms"] - r["start_ms"] < d_max) & (p["end_ms"] - p["start_ms"] < d_max)
+        return ~(gap.between(0.0, g_max) & short & (p["pitch"] != r["pitch"]))
+
+    n = islands(notes, keys, order, unlinked, ["end_ms", "pitch"], "_isl", chunk_ms)
     row = F.struct("start_ms", "note_id", "end_ms", "pitch", "confidence")
     i = n.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(row)).alias("rows")).filter("size(rows) >= 2")
     member = i.schema["rows"].dataType.simpleString()

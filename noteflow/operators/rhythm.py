@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.music import clip
 from ..plans.grouping import anchor_groups, blocks
 from ..plans.joins import nearest
-from ..plans.timeline import CHUNK_MS, nxt, prev, row_no, scan
+from ..plans.timeline import CHUNK_MS, nxt, prev, row_no, scan, settle
 
 # Interval-ratio ideals, tactus multipliers, tempo ratios, meter numerators.
 FAMILIES = (
@@ -63,9 +63,9 @@ def peaks(dens: DataFrame) -> DataFrame:
 def modal_tempo(notes: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Tempo from the modal inter-onset interval; needs 8 onsets and 6 usable intervals."""
     starts = notes.select("song_id", F.col("start_ms").alias("t_ms")).distinct().withColumn("_q", F.lit(0))
-    onsets = anchor_groups(starts, ["song_id"], "t_ms", "_q", 30.0, chunk_ms=chunk_ms).select(
-        "song_id", F.col("group_ms").alias("t_ms")).distinct()
-    iois = intervals(onsets, 30.0, 2000.0, chunk_ms)
+    onsets = settle(anchor_groups(starts, ["song_id"], "t_ms", "_q", 30.0, chunk_ms=chunk_ms).select(
+        "song_id", F.col("group_ms").alias("t_ms")).distinct())
+    iois = settle(intervals(onsets, 30.0, 2000.0, chunk_ms))
     st = iois.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("ioi").alias("sd"),
                                      F.min("ioi").alias("x_lo"), F.max("ioi").alias("x_hi"))
     onset_n = onsets.groupBy("song_id").agg(F.count(F.lit(1)).alias("_o")).filter("_o >= 8")
@@ -89,7 +89,7 @@ def ratio_families(iois: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Share of interval-ratio density peaks per rhythmic family (one row per song and family)."""
     s = scan(iois, ["song_id"], ["t_ms"], {"_1": nxt("ioi"), "_2": nxt("ioi", 2)}, chunk_ms)
     r = s.select("song_id", F.explode(F.array(F.col("_1") / F.col("ioi"), F.col("_2") / F.col("ioi"))).alias("ratio"))
-    r = r.filter((F.col("ratio") > 0.4) & (F.col("ratio") < 2.6))
+    r = settle(r.filter((F.col("ratio") > 0.4) & (F.col("ratio") < 2.6)))
     st = r.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), (0.15 * F.stddev_samp("ratio")).alias("h"))
     st = st.filter("n >= 5 and h > 0").select("song_id", "h", F.lit(0.4).alias("x_lo"), F.lit(2.6).alias("x_hi"),
                                             (F.col("n") * F.col("h") * float(np.sqrt(2 * np.pi))).alias("scale"))
@@ -123,6 +123,7 @@ def lattice(onsets: DataFrame, families: DataFrame, chunk_ms: float = CHUNK_MS)
     gap = F.col("_n") - F.col("t_ms")
     s = s.withColumn("t", F.col("t_ms") / 1000.0).withColumn(
         "ioi", F.when((gap > 50.0) & (gap < 2000.0), F.col("_n") / 1000.0 - F.col("t")))
+    s = settle(s)
     r4 = F.round("ioi", 4)
     own = s.groupBy("song_id").agg(
         F.count("ioi").alias("n_ioi"), F.count(F.lit(1)).alias("events"),
@@ -153,6 +154,7 @@ def lattice(onsets: DataFrame, families: DataFrame, chunk_ms: float = CHUNK_MS)
     best = g.groupBy("song_id").agg(F.min_by(
         F.struct("period", "error", "entropy", conf.alias("confidence"), "ratio_family"),
         F.struct(-F.round(score, 9), F.col("period"))).alias("b")).select("song_id", "b.*")
+    best = settle(best)
     return best.join(lattice_phase(s, best), "song_id")
 
 
@@ -432,12 +434,13 @@ def local_tempo(frames: DataFrame, reference: DataFrame, hop_ms: float, window_s
 def drift_class(curve: DataFrame, points_per_chunk: float = 10000.0) -> DataFrame:
     """Steady, step change, accelerando or ritardando from a song's local tempo curve."""
     outs = {f"_p{k}": prev("local_bpm", k) for k in range(1, 5)}
+    curve = settle(curve)
     c = scan(curve, ["song_id"], ["w"], {**outs, "_i": row_no()}, points_per_chunk)
     n = c.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
     c = c.join(n, "song_id")
     five = (F.col("local_bpm") + F.col("_p1") + F.col("_p2") + F.col("_p3") + F.col("_p4")) / 5.0
     c = c.withColumn("sm", F.when(F.col("n") >= 5, five).otherwise(F.col("local_bpm"))).filter("sm is not null")
-    c = scan(c.select("song_id", "w", "n", "tempo_bpm", "sm"), ["song_id"], ["w"], {"_q": prev("sm")}, points_per_chunk)
+    c = scan(settle(c.select("song_id", "w", "n", "tempo_bpm", "sm")), ["song_id"], ["w"], {"_q": prev("sm")}, points_per_chunk)
     d = F.col("sm") - F.col("_q")
     g = c.groupBy("song_id").agg(
         F.first("n").alias("n"), F.first("tempo_bpm").alias("ref"), (F.max("sm") - F.min("sm")).alias("span_bpm"),

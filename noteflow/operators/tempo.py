@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.music import clip
 from ..plans.joins import points_in
-from ..plans.timeline import CHUNK_MS, exact_percentiles, fill, fill_next, nxt, prev, row_no, scan
+from ..plans.timeline import CHUNK_MS, exact_percentiles, fill, fill_next, nxt, prev, row_no, scan, settle
 
 # Ratios a witness may be folded by.
 FOLDS = (1.0, 2.0, 0.5, 3.0, 1.0 / 3.0)
@@ -142,7 +142,7 @@ def tempo_map(events: DataFrame, beats: DataFrame, t: str, chunk_ms: float = CHU
     Beats at most 1 ms apart are one beat.  Adds beat_pos and local_beat_ms.
     """
     b = scan(beats.select("song_id", "t_ms"), ["song_id"], ["t_ms"], {"_p": prev("t_ms")}, chunk_ms)
-    b = b.filter(F.col("_p").isNull() | (F.col("t_ms") - F.col("_p") > 1.0)).drop("_p")
+    b = settle(b.filter(F.col("_p").isNull() | (F.col("t_ms") - F.col("_p") > 1.0)).drop("_p"))
     b = scan(b, ["song_id"], ["t_ms"], {"_i": row_no(), "_n": nxt("t_ms"), "_p": prev("t_ms")}, chunk_ms)
     # the last beat keeps the gap before it, so every row carries a usable interval
     gap = F.coalesce(F.col("_n") - F.col("t_ms"), F.col("t_ms") - F.col("_p"))
@@ -154,7 +154,7 @@ def _at(events: DataFrame, knots: DataFrame, t: str, chunk_ms: float) -> DataFra
     whole = F.struct(*[F.col(c) for c in events.columns])
     e = events.select("song_id", F.col(t).alias("_t"), F.lit(1).alias("_side"), whole.alias("_e"))
     k = knots.select("song_id", F.col("_bt").alias("_t"), F.lit(0).alias("_side"), "_k")
-    both = e.unionByName(k, allowMissingColumns=True)
+    both = settle(e.unionByName(k, allowMissingColumns=True))
     both = scan(both, ["song_id"], ["_t", "_side"], {"_a": fill("_k"), "_b": fill_next("_k")}, chunk_ms)
     k = F.coalesce("_a", "_b")
     pos = k["i"] + (F.col("_t") - k["t0"]) / k["gap"]

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .timeline import CHUNK, CHUNK_MS, islands, prev, scan
+from .timeline import CHUNK, CHUNK_MS, islands
 
 
 def anchor_groups(df: DataFrame, keys: Sequence[str], t: str, tie: str, window: float,
@@ -19,10 +19,12 @@ def anchor_groups(df: DataFrame, keys: Sequence[str], t: str, tie: str, window:
     each short island only.
     """
     keys = list(keys)
-    n = scan(df, keys, [t, tie], {"_pt": prev(t)}, chunk_ms, keep_chunk=True)
-    gap = F.col(t) - F.col("_pt")
-    cut = (gap >= window) if strict else (gap > window)
-    n = islands(n, keys, [t, tie], F.col("_pt").isNull() | cut, "_isl", chunk_ms).drop("_pt")
+
+    def cut(prev, row):
+        gap = row[t] - prev[t]
+        return (gap >= window) if strict else (gap > window)
+
+    n = islands(df, keys, [t, tie], cut, name="_isl", chunk_ms=chunk_ms)
     rest = [c for c in df.columns if c not in (*keys, CHUNK)]
     row = F.struct(F.col(t).cast("double").alias("_o"), F.col(tie).alias("_q"), F.struct(*rest).alias("_w"))
     g = n.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(row)).alias("_rows"))

@@ -17,12 +17,14 @@ works on (song, time chunk) groups:
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Any, Mapping, Sequence
+from typing import Any, Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpoint
+
 CHUNK_MS = 30000.0
 CHUNK = "_chunk"
 
@@ -71,6 +73,11 @@ def fill_next(value: Any) -> Spec:
     return Spec("fill_next", value)
 
 
+def fill_after(value: Any) -> Spec:
+    """First non-null value on a strictly later row."""
+    return Spec("fill_after", value)
+
+
 def row_no() -> Spec:
     """1-based position in the key's sequence."""
     return Spec("sum", F.lit(1))
@@ -80,6 +87,17 @@ def _col(value: Any) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that the next plan reads twice.
+
+    ``scan`` reads its input once for the chunk summaries and once for the rows,
+    so a chain of scans would repeat its beginning 2^n times.  A reliable
+    checkpoint between the links keeps work and plans linear and survives lost
+    executors.  Callers narrow or filter the rows first.
+    """
+    return checkpoint(df)
+
+
 def chunked(df: DataFrame, t: str, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Add the time-chunk column unless an earlier plan on this frame already did."""
     if CHUNK in df.columns:
@@ -114,6 +132,7 @@ def scan(
     upto = fwd.rowsBetween(Window.unboundedPreceding, 0)
     before = fwd.rowsBetween(Window.unboundedPreceding, -1)
     onward = back.rowsBetween(Window.unboundedPreceding, 0)
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
     k_prev = max([s.k for _, s in specs if s.kind == "prev"], default=0)
     k_next = max([s.k for _, s in specs if s.kind == "next"], default=0)
 
@@ -132,6 +151,7 @@ def scan(
             "max_before": lambda: F.max(v).over(before),
             "fill": lambda: F.last(v, ignorenulls=True).over(upto),
             "fill_next": lambda: F.last(v, ignorenulls=True).over(onward),
+            "fill_after": lambda: F.last(v, ignorenulls=True).over(after),
         }[s.kind]()
         local = local.withColumn(f"_l{i}", part_value)
 
@@ -170,7 +190,7 @@ def scan(
             aggs.append(F.max(v).alias(f"_s{i}"))
         elif s.kind == "fill":
             aggs.append(F.max_by(v, F.when(v.isNotNull(), position)).alias(f"_s{i}"))
-        elif s.kind == "fill_next":
+        elif s.kind in ("fill_next", "fill_after"):
             aggs.append(F.min_by(v, F.when(v.isNotNull(), position)).alias(f"_s{i}"))
     summary = summary_in.groupBy(*part).agg(*aggs)
 
@@ -195,7 +215,7 @@ def scan(
             carried.append(F.max(c).over(earlier).alias(f"_c{i}"))
         elif s.kind == "fill":
             carried.append(F.last(c, ignorenulls=True).over(earlier).alias(f"_c{i}"))
-        elif s.kind == "fill_next":
+        elif s.kind in ("fill_next", "fill_after"):
             carried.append(F.last(c, ignorenulls=True).over(later).alias(f"_c{i}"))
     joined = local.join(summary.select(*carried), part)
 
@@ -230,18 +250,45 @@ def islands(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    starts: Column,
+    starts: Callable[[Column, Column], Column],
+    cols: Sequence[str] = (),
     name: str = "island",
     chunk_ms: float = CHUNK_MS,
     keep_chunk: bool = False,
 ) -> DataFrame:
-    """Label runs of rows: ``starts`` is true on the first row of each run.
+    """Label runs of rows; ``starts(prev, row)`` is true when a row opens a new run.
 
-    The label is the first row's order tuple, so it is unique within the keys
-    and does not depend on partitioning.
+    ``prev`` and ``row`` are structs of the order columns and ``cols``.  The
+    label is the first row's order tuple, so it is unique within the keys and
+    does not depend on partitioning.  Runs are closed inside each chunk; whether
+    a chunk's first row continues the chunk before is decided on one summary row
+    per chunk.
     """
-    mark = F.when(starts, F.struct(*[F.col(c) for c in order]))
-    return scan(df, keys, order, {name: fill(mark)}, chunk_ms, keep_chunk)
+    keys, order = list(keys), list(order)
+    part = [*keys, CHUNK]
+    columns = list(df.columns)
+    base = chunked(df, order[0], chunk_ms)
+    seen = list(dict.fromkeys([*order, *cols]))
+    row = F.struct(*[F.col(c) for c in seen])
+    here = F.struct(*[F.col(c) for c in order])
+    fwd = Window.partitionBy(*part).orderBy(*order)
+    local = base.withColumn("_prev", F.lag(row).over(fwd))
+    opens = F.col("_prev").isNotNull() & F.coalesce(starts(F.col("_prev"), row), F.lit(False))
+    local = local.withColumn("_mark", F.when(opens, here)).drop("_prev")
+    local = local.withColumn("_fill", F.last("_mark", ignorenulls=True).over(fwd.rowsBetween(Window.unboundedPreceding, 0)))
+    summary = local.groupBy(*part).agg(F.min_by(row, here).alias("_head"), F.max_by(row, here).alias("_tail"), F.max("_mark").alias("_last"))
+    over = Window.partitionBy(*keys).orderBy(CHUNK)
+    summary = summary.withColumn("_pt", F.lag("_tail").over(over))
+    fresh = F.col("_pt").isNull() | F.coalesce(starts(F.col("_pt"), F.col("_head")), F.lit(False))
+    first = F.when(fresh, F.struct(*[F.col(f"_head.{c}").alias(c) for c in order]))
+    summary = summary.withColumn("_first", first)
+    carry = F.last(F.coalesce("_last", "_first"), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    joined = local.join(summary.select(*part, "_first", carry.alias("_carry")), part)
+    kept = [F.col(c) for c in columns if c != name]
+    if keep_chunk and CHUNK not in columns:
+        kept.append(F.col(CHUNK))
+    out = joined.select(*kept, F.coalesce("_fill", "_first", "_carry").alias(name))
+    return out if keep_chunk else out.drop(CHUNK)
 
 
 def halo(
