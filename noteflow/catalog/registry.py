@@ -67,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SECTIONS = (
     "filters", "lookups", "keys", "tempo", "rhythm",
-    "quantize", "patterns", "lines",
+    "quantize", "patterns", "lines", "evaluation",
 
 )
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.grouping import anchor_groups
 from ..plans.joins import nearest
+from ..plans.timeline import exact_percentiles, islands, nxt, prev, run_sum, scan, settle
 
 
 def stage_survival(notes: DataFrame, reference: DataFrame, stages: Sequence[tuple[Column, Column]],
@@ -26,3 +29,256 @@ def stage_survival(notes: DataFrame, reference: DataFrame, stages: Sequence[tupl
     g = hit.groupBy("stage").agg(F.avg(F.col("hit").isNotNull().cast("double")).alias("share"))
     delta = F.col("share") - F.lag("share").over(Window.orderBy("stage"))
     return g.withColumn("delta", delta).withColumn("flagged", F.coalesce(F.col("delta") <= -0.05, F.lit(False)))
+
+
+def claim_once(reference: DataFrame, candidates: DataFrame, cap: float, keys=("song_id", "pitch"), inclusive: bool = False) -> DataFrame:
+    """Greedy one-to-one matching: in time order each reference note takes the nearest unused candidate.
+
+    ``reference`` has keys, ref_id, t; ``candidates`` has keys, cand_id, t.  Only
+    notes chained by gaps up to the cap can compete, so streams are cut where
+    reference and candidates stay further apart and each chain is folded alone.
+    Adds cand_id and error (signed, candidate - reference).
+    """
+    keys = list(keys)
+    both = reference.select(*keys, F.col("t").cast("double").alias("t"), F.lit(1).alias("side"), F.col("ref_id").cast("bigint").alias("id")).unionByName(
+        candidates.select(*keys, F.col("t").cast("double").alias("t"), F.lit(0).alias("side"), F.col("cand_id").cast("bigint").alias("id")))
+    c = islands(both, keys, ["t", "side", "id"], lambda p, r: r["t"] - p["t"] > cap, name="_isl")
+    row = F.struct("t", "id")
+    g = c.groupBy(*keys, "_isl").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == 1, row))).alias("refs"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == 0, row))).alias("cands"))
+    pair = "array<struct<ref_id:bigint,cand_id:bigint,error:double>>"
+    zero = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast(pair).alias("out"))
+
+    def step(acc, r):
+        near = F.filter("cands", lambda x: ((F.abs(x["t"] - r["t"]) <= cap) if inclusive else (F.abs(x["t"] - r["t"]) < cap))
+                        & ~F.array_contains(acc["used"], x["id"]))
+        best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["t"] - r["t"]).alias("d"), x["t"].alias("t"), x["id"].alias("id"))))
+        made = F.array(F.struct(r["id"].alias("ref_id"), best["id"].alias("cand_id"), (best["t"] - r["t"]).alias("error")))
+        return F.struct(F.when(best.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(best["id"]))).alias("used"),
+                        F.concat(acc["out"], made).alias("out"))
+
+    m = g.filter(F.size("refs") > 0).select(*keys, F.explode(F.aggregate("refs", zero, step)["out"]).alias("m"))
+    return m.select(*keys, "m.*")
+
+
+def soft_recall(matched: DataFrame, sigma: float) -> DataFrame:
+    """Mean of exp(-d^2 / 2 sigma^2) over all reference notes, unmatched counting 0."""
+    k = F.exp(-(F.col("error") * F.col("error")) / (2.0 * sigma * sigma))
+    return matched.groupBy("song_id").agg((F.sum(F.coalesce(k, F.lit(0.0))) / F.count(F.lit(1))).alias("soft_recall"),
+                                          F.count(F.lit(1)).alias("reference_notes"))
+
+
+def timing_moments(matched: DataFrame) -> DataFrame:
+    """Bias, spread and RMSE of the signed errors; the ratio is infinite when nothing spreads."""
+    g = matched.filter("error is not null").groupBy("song_id").agg(
+        F.avg("error").alias("delta"), F.stddev_pop("error").alias("sigma"),
+        F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
+    return g.withColumn("ratio", F.when(F.col("sigma") > 0, F.abs("delta") / F.col("sigma")).otherwise(float("inf")))
+
+
+def scores(hits: DataFrame, ours: DataFrame, reference: DataFrame) -> DataFrame:
+    """Precision, recall and F1 per song from matched pairs and the two note counts."""
+    h = hits.groupBy("song_id").agg(F.count("cand_id").alias("hits"))
+    o = ours.groupBy("song_id").agg(F.count(F.lit(1)).alias("ours"))
+    r = reference.groupBy("song_id").agg(F.count(F.lit(1)).alias("reference"))
+    j = r.join(o, "song_id", "full_outer").join(h, "song_id", "left").fillna(0, ["hits", "ours", "reference"])
+    p = F.col("hits") / F.greatest(F.col("ours"), F.lit(1))
+    q = F.col("hits") / F.greatest(F.col("reference"), F.lit(1))
+    return j.withColumns({"precision": p, "recall": q}).withColumn(
+        "f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-9)))
+
+
+def chord_events(notes: DataFrame, window_ms: float, keys=("song_id",)) -> DataFrame:
+    """Notes struck together as one event with its sorted pitches (a chord is short by nature)."""
+    g = anchor_groups(notes.select(*keys, "start_ms", "note_id", "pitch", "end_ms"), list(keys), "start_ms", "note_id", window_ms)
+    return g.groupBy(*keys, F.col("group_ms").alias("t_ms")).agg(F.array_sort(F.collect_list("pitch")).alias("pitches"), F.max("end_ms").alias("end_ms"))
+
+
+def chord_stats(events: DataFrame, keys=("song_id",)) -> DataFrame:
+    """Chord share, sizes, spread and the share of parallel moves between equal-sized chords."""
+    e = scan(events, list(keys), ["t_ms"], {"_n": nxt("pitches")})
+    n = F.size("pitches")
+    moves = F.array_distinct(F.zip_with("pitches", "_n", lambda a, b: b - a))
+    comparable = (n >= 3) & (n == F.size("_n"))
+    parallel = comparable & (F.size(moves) == 1) & (moves[0] != 0)
+    multi = n >= 2
+    spread = F.element_at("pitches", -1) - F.get("pitches", F.lit(0))
+    return e.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("events"), F.sum(n).alias("noteheads"), F.avg(multi.cast("double")).alias("chord_share"),
+        F.coalesce(F.avg(F.when(multi, n)), F.lit(0.0)).alias("mean_size"), F.max(n).alias("max_size"),
+        F.coalesce(F.avg(F.when(multi, spread)), F.lit(0.0)).alias("spread"),
+        F.count_if(comparable).alias("comparable"), (F.count_if(parallel) / F.greatest(F.count_if(comparable), F.lit(1))).alias("parallel_share"))
+
+
+def phrase_stats(events: DataFrame, factor: float = 3.0) -> DataFrame:
+    """Phrases end where the gap exceeds three median gaps."""
+    e = settle(scan(events.select("song_id", "t_ms"), ["song_id"], ["t_ms"], {"_n": nxt("t_ms")}).withColumn("ioi", F.col("_n") - F.col("t_ms")))
+    med = exact_percentiles(e, ["song_id"], "ioi", {"median_ioi": 0.5}, 10.0).filter("n >= 3")
+    j = e.join(med, "song_id")
+    g = j.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ioi") > factor * F.col("median_ioi")).alias("breaks"),
+                                 F.first("median_ioi").alias("median_ioi"), F.max("ioi").alias("longest"))
+    return g.select("song_id", (F.col("breaks") + 1).alias("phrases"), (F.col("n") / (F.col("breaks") + 1)).alias("mean_len"), "median_ioi",
+                    F.when(F.col("median_ioi") > 0, F.col("longest") / F.col("median_ioi")).otherwise(0.0).alias("longest_gap_x"))
+
+
+def ratio_profile(events: DataFrame, keys=("song_id",)) -> DataFrame:
+    """Share of successive interval ratios per 1/4-octave bin of log2 in [-3, 3]."""
+    keys = list(keys)
+    e = scan(events.select(*keys, "t_ms"), keys, ["t_ms"], {"_n": nxt("t_ms"), "_m": nxt("t_ms", 2)})
+    r = F.log2((F.col("_m") - F.col("_n")) / (F.col("_n") - F.col("t_ms")))
+    e = e.filter((F.col("_n") - F.col("t_ms") > 1e-6) & (F.col("_m") - F.col("_n") > 1e-6)).withColumn("r", r).filter(F.abs("r") <= 3.0)
+    b = e.groupBy(*keys, F.least(F.lit(23), F.floor((F.col("r") + 3.0) * 4.0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return b.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
+# Ratio classes of successive intervals, as log2.
+RATIO_CLASSES = (("1:4", 0.25), ("1:3", 1 / 3), ("1:2", 0.5), ("2:3", 2 / 3), ("3:4", 0.75), ("1:1", 1.0), ("4:3", 4 / 3),
+                 ("3:2", 1.5), ("2:1", 2.0), ("3:1", 3.0), ("4:1", 4.0))
+
+
+def named_ratios(events: DataFrame, tolerance: float = 0.18) -> DataFrame:
+    """Count of each named ratio of successive intervals; far ones are ``other``."""
+    e = scan(events.select("song_id", "t_ms"), ["song_id"], ["t_ms"], {"_n": nxt("t_ms"), "_m": nxt("t_ms", 2)})
+    a, b = F.col("_n") - F.col("t_ms"), F.col("_m") - F.col("_n")
+    r = F.log2(b / a)
+    best = F.array_min(F.array(*[F.struct(F.abs(r - F.log2(F.lit(v))).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, v) in enumerate(RATIO_CLASSES)]))
+    e = e.filter((a > 1e-6) & (b > 1e-6)).withColumn("_b", best)
+    return e.groupBy("song_id", F.when(F.col("_b.d") <= tolerance, F.col("_b.name")).otherwise("other").alias("ratio")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pitch_profile_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pearson r of two 12-bin pitch-class counts per song (absent bins count as zero)."""
+    def bins(df, name):
+        return df.groupBy("song_id").agg(*[F.count_if(F.pmod("pitch", F.lit(12)) == i).cast("double").alias(f"{name}{i}") for i in range(12)])
+
+    j = bins(a, "a").join(bins(b, "b"), "song_id")
+    ax, bx = [F.col(f"a{i}") for i in range(12)], [F.col(f"b{i}") for i in range(12)]
+    ma, mb = sum(ax[1:], ax[0]) / 12.0, sum(bx[1:], bx[0]) / 12.0
+    cov = sum([(x - ma) * (y - mb) for x, y in zip(ax[1:], bx[1:])], (ax[0] - ma) * (bx[0] - mb))
+    va = sum([(x - ma) * (x - ma) for x in ax[1:]], (ax[0] - ma) * (ax[0] - ma))
+    vb = sum([(x - mb) * (x - mb) for x in bx[1:]], (bx[0] - mb) * (bx[0] - mb))
+    return j.select("song_id", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("r"))
+
+
+def grid_error(notes: DataFrame, beat_ms: float) -> DataFrame:
+    sub = F.col("start_ms") / (beat_ms / 4.0)
+    return notes.groupBy("song_id").agg(F.avg(F.abs(sub - F.bround(sub))).alias("grid_error"), (F.sum(F.col("end_ms") - F.col("start_ms"))).alias("sounding_ms"))
+
+
+def pareto_front(points: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """Points no other point of the group beats on every axis.
+
+    Candidates to dominate are first reduced to the best value of the last axis
+    per combination of the others; the front itself is an anti join on the group.
+    """
+    rest, last = list(axes[:-1]), axes[-1]
+    best = points.groupBy("song_id", *rest).agg(F.min(last).alias(last))
+    o = best.select("song_id", *[F.col(x).alias(f"_{x}") for x in axes])
+    no_worse, better = F.lit(True), F.lit(False)
+    for x in axes:
+        no_worse, better = no_worse & (F.col(f"_{x}") <= F.col(x)), better | (F.col(f"_{x}") < F.col(x))
+    return points.join(o, (points["song_id"] == o["song_id"]) & no_worse & better, "left_anti")
+
+
+def auc(samples: DataFrame, keys: Sequence[str], score: str, positive: str, width: float) -> DataFrame:
+    """Rank-sum AUC with average ranks on ties, from counts per distinct score.
+
+    Scores are pre-aggregated and ranked by a two-level running count, so the
+    samples themselves are never sorted in one task.
+    """
+    keys = list(keys)
+    v = samples.groupBy(*keys, F.col(score).alias("_x")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(positive)).alias("_p"))
+    v = scan(v, keys, ["_x"], {"_cum": run_sum("_n")}, width)
+    mean_rank = F.col("_cum") - (F.col("_n") - 1) / 2.0
+    g = v.groupBy(*keys).agg(F.sum(F.col("_p") * mean_rank).alias("rank_sum"), F.sum("_p").alias("pos"), F.sum("_n").alias("all"))
+    neg = F.col("all") - F.col("pos")
+    return g.select(*keys, F.when((F.col("pos") > 0) & (neg > 0), (F.col("rank_sum") - F.col("pos") * (F.col("pos") + 1) / 2.0) / (F.col("pos") * neg)).alias("auc"))
+
+
+def pairwise_scores(labels: DataFrame) -> DataFrame:
+    """Same-voice pair precision, recall and F1 from contingency counts (no pair is formed).
+
+    ``labels`` has song_id, true_voice, pred_voice.
+    """
+    c = labels.groupBy("song_id", "true_voice", "pred_voice").agg(F.count(F.lit(1)).alias("n"))
+
+    def pairs(by):
+        return c.groupBy("song_id", *by).agg(F.sum("n").alias("n")).groupBy("song_id").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("p"))
+
+    j = pairs(["true_voice", "pred_voice"]).withColumnRenamed("p", "tp").join(
+        pairs(["true_voice"]).withColumnRenamed("p", "t"), "song_id").join(pairs(["pred_voice"]).withColumnRenamed("p", "m"), "song_id")
+    prec = F.when(F.col("m") > 0, F.col("tp") / F.col("m")).otherwise(0.0)
+    rec = F.when(F.col("t") > 0, F.col("tp") / F.col("t")).otherwise(0.0)
+    j = j.withColumns({"precision": prec, "recall": rec})
+    return j.select("song_id", "precision", "recall", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0).alias("f1"))
+
+
+def transition_accuracy(labels: DataFrame) -> DataFrame:
+    """Share of a true voice's successive notes that stay in one predicted voice."""
+    s = scan(labels, ["song_id", "true_voice"], ["start_ms", "note_id"], {"_p": prev("pred_voice")})
+    return s.filter("_p is not null").groupBy("song_id").agg(F.avg((F.col("pred_voice") == F.col("_p")).cast("double")).alias("accuracy"))
+
+
+def distortion(source: DataFrame, candidates: DataFrame, cap_ms: float = 250.0) -> DataFrame:
+    """What a page loses against its source: onset shift, duration error, lost overlaps, order flips, dropped notes."""
+    ref = source.select("song_id", "pitch", F.col("note_id").alias("ref_id"), F.col("start_ms").alias("t"))
+    can = candidates.select("song_id", "pitch", F.col("note_id").alias("cand_id"), F.col("start_ms").alias("t"))
+    m = settle(claim_once(ref, can, cap_ms, inclusive=True))
+    total = m.groupBy("song_id").agg(F.avg(F.col("cand_id").isNull().cast("double")).alias("dropped"))
+    j = m.filter("cand_id is not null").drop("pitch", "error").join(
+        source.select("song_id", F.col("note_id").alias("ref_id"), "start_ms", "end_ms", "pitch"), ["song_id", "ref_id"]).join(
+        candidates.select("song_id", F.col("note_id").alias("cand_id"), F.col("start_ms").alias("c0"), F.col("end_ms").alias("c1")), ["song_id", "cand_id"])
+    nb = F.struct("start_ms", "c0")
+    j = scan(settle(j), ["song_id"], ["start_ms", "end_ms", "pitch", "ref_id"], {f"_n{k}": nxt(nb, k) for k in range(1, 12)})
+    kept, lost, open_ = F.lit(0), F.lit(0), F.lit(True)
+    for k in range(1, 12):
+        n = F.col(f"_n{k}")
+        open_ = open_ & F.coalesce(n["start_ms"] < F.col("end_ms"), F.lit(False))
+        kept = kept + (open_ & (n["c0"] < F.col("c1"))).cast("int")
+        lost = lost + (open_ & (n["c0"] >= F.col("c1"))).cast("int")
+    n1 = F.col("_n1")
+    moved = F.coalesce(n1["start_ms"] != F.col("start_ms"), F.lit(False))
+    flip = moved & ((F.col("c0") - n1["c0"]) * (F.col("start_ms") - n1["start_ms"]) < 0)
+    dur = F.col("end_ms") - F.col("start_ms")
+    g = j.groupBy("song_id").agg(
+        F.avg(F.abs(F.col("c0") - F.col("start_ms"))).alias("onset"),
+        F.avg(F.abs(F.col("c1") - F.col("c0") - dur) / F.greatest(dur, F.lit(1.0))).alias("duration"),
+        F.sum(kept).alias("kept"), F.sum(lost).alias("lost"), F.count_if(flip).alias("flips"), F.count_if(moved).alias("moves"))
+    g = g.select("song_id", "onset", "duration", (F.col("lost") / F.greatest(F.col("kept") + F.col("lost"), F.lit(1))).alias("overlap"),
+                 (F.col("flips") / F.greatest(F.col("moves"), F.lit(1))).alias("ordering"))
+    return total.join(g, "song_id", "left")
+
+
+def label_consistency(rows: DataFrame, label: str, value: str) -> DataFrame:
+    """Share of a label's instances that show its commonest value (ties to the smaller value)."""
+    c = rows.groupBy("song_id", label, value).agg(F.count(F.lit(1)).alias("n"))
+    g = c.groupBy("song_id", label).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("m"), F.sum("n").alias("total"))
+    return g.select("song_id", label, F.col(f"m.{value}").alias(value), (F.col("m.n") / F.col("total")).alias("share"))
+
+
+def injected_bias(reference: DataFrame, offsets_ms: Sequence[float], cap_ms: float) -> DataFrame:
+    """Recovered mean error when the reference is shifted by known offsets, and the slope through them."""
+    off = F.array(*[F.lit(float(o)) for o in offsets_ms])
+    c = reference.withColumn("offset_ms", F.explode(off))
+    keys = ["song_id", "pitch", "offset_ms"]
+    m = claim_once(c.select(*keys, F.col("note_id").alias("ref_id"), F.col("start_ms").alias("t")),
+                   c.select(*keys, F.col("note_id").alias("cand_id"), (F.col("start_ms") + F.col("offset_ms")).alias("t")), cap_ms, keys)
+    per = m.groupBy("offset_ms").agg(F.avg("error").alias("recovered"))
+    slope = per.agg(F.regr_slope("recovered", "offset_ms").alias("slope"))
+    return per.crossJoin(F.broadcast(slope))
+
+
+def degrade(notes: DataFrame, seed: int = 0, onset_sd: float = 60.0, duration_sd: float = 1.39, floor: float = 0.15) -> DataFrame:
+    """Controlled noise on onsets and durations; a note's draw depends only on its id and the seed."""
+    def uniform(salt: int) -> Column:
+        return F.xxhash64("note_id", F.lit(seed), F.lit(salt)) / F.lit(2.0**64) + 0.5
+
+    def normal(salt: int) -> Column:
+        u = F.greatest(uniform(salt), F.lit(1e-12))
+        return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * np.pi * uniform(salt + 1))
+
+    start = F.greatest(F.lit(0.0), F.col("start_ms") + onset_sd * normal(1))
+    dur = (F.col("end_ms") - F.col("start_ms")) * F.greatest(F.lit(floor), 1.0 + duration_sd * normal(3))
+    return notes.withColumn("_s", start).withColumn("_d", dur).withColumn("start_ms", F.col("_s")).withColumn(
+        "end_ms", F.col("_s") + F.col("_d")).drop("_s", "_d")

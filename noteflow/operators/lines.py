@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.carry import carry
-from ..plans.timeline import CHUNK_MS
+from ..plans.grouping import anchor_groups
+from ..plans.timeline import CHUNK_MS, settle
 from .filters import family_ladder
 
 
@@ -49,12 +50,12 @@ def assign_min_cost(cost: np.ndarray) -> list[tuple[int, int]]:
 def _voice_run(p: pd.DataFrame, entry: list, end: float):
     """Chord groups (25 ms) joined to open lines at least total cost; state = (pitch, end, start) per line."""
     lines = [[~k, *s] for k, s in enumerate(entry)]
-    t, e, pitch = p["start_ms"].to_numpy(), p["end_ms"].to_numpy(), p["pitch"].to_numpy()
+    t, e, pitch, group = (p[c].to_numpy() for c in ("start_ms", "end_ms", "pitch", "group_ms"))
     labels = [0] * len(p)
     i = 0
     while i < len(p):
         j = i
-        while j < len(p) and t[j] - t[i] <= 25.0:
+        while j < len(p) and group[j] == group[i]:
             j += 1
         lines = [ln for ln in lines if t[i] - ln[2] <= 300.0]
         cost = np.full((j - i, len(lines)), 1e6)
@@ -83,7 +84,10 @@ def _voice_run(p: pd.DataFrame, entry: list, end: float):
 
 def voice_lines(notes: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Monophonic lines per (song, stem): adds line_id, the id of the line's first note."""
-    return carry(notes, ["song_id", "stem"], ["start_ms", "pitch", "note_id"], ["end_ms"], _voice_run, "note_id", chunk_ms=chunk_ms)
+    # chunks are cut on group anchors, so no chord group straddles two of them
+    g = settle(anchor_groups(notes, ["song_id", "stem"], "start_ms", "note_id", 25.0, chunk_ms=chunk_ms))
+    return carry(g, ["song_id", "stem"], ["group_ms", "start_ms", "pitch", "note_id"], ["end_ms"], _voice_run, "note_id",
+                 chunk_ms=chunk_ms).drop("group_ms")
 
 
 def _thread_run(beat_ms: float):

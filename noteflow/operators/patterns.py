@@ -258,7 +258,7 @@ def study(lined: DataFrame, beat_ms: float, family: DataFrame | None = None) ->
     stem_n = lined.groupBy("song_id", "stem").agg(F.count(F.lit(1)).alias("_k")).filter("_k >= 4").select("song_id", "stem")
     n = lined.join(stem_n, ["song_id", "stem"], "left_semi")
     long_lines = n.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k >= 4").select(*keys)
-    lines = n.join(long_lines, keys, "left_semi")
+    lines = settle(n.join(long_lines, keys, "left_semi"))
     out = chords(n, beat_ms).withColumn("line_id", F.lit(None).cast(n.schema["line_id"].dataType))
     for name in UNIVERSAL:
         out = out.unionByName(DETECTORS[name](lines, beat_ms, keys))

@@ -15,7 +15,7 @@ the per-chunk exit tables.
 from __future__ import annotations
 
 import json
-from typing import Any, Callable, Sequence
+from typing import Any, Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,34 +45,55 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
     key_fields = [rows.schema[k] for k in part]
     id_type = rows.schema[row_id].dataType
 
-    def entry_of(e: pd.DataFrame) -> str:
-        return e["want"].iloc[0] if len(e) and isinstance(e["want"].iloc[0], str) else "[]"
-
     def execute(p: pd.DataFrame, entry: str):
-        p = p.sort_values(order, kind="stable").reset_index(drop=True)
         end = (float(p[CHUNK].iloc[0]) + 1.0) * width
-        labels, leaving = run(p, json.loads(entry), end)
-        return p, labels, leaving
-
-    def summarise(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if not len(p):
-            return pd.DataFrame(columns=[*part, "used", "leave", "ids", "slots"])
-        entry = entry_of(e)
-        p, _, leaving = execute(p, entry)
+        return run(p, json.loads(entry), end)
+
+    def summarise(p: pd.DataFrame) -> dict:
+        entry = p["want"].iloc[0]
+        _, leaving = execute(p, entry)
+        ids = p[row_id].tolist()
         out = {k: [p[k].iloc[0]] for k in part}
         out["used"], out["leave"] = [entry], [json.dumps([s for _, s in leaving])]
-        out["ids"] = [[p[row_id].iloc[a] if a >= 0 else None for a, _ in leaving]]
+        out["ids"] = [[ids[a] if a >= 0 else None for a, _ in leaving]]
         out["slots"] = [[-1 if a >= 0 else ~a for a, _ in leaving]]
-        return pd.DataFrame(out)
-
-    def emit(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        names = [row_id, *part, "_own", "_slot"]
-        if not len(p):
-            return pd.DataFrame(columns=names)
-        p, labels, _ = execute(p, entry_of(e))
-        p["_own"] = [p[row_id].iloc[a] if a >= 0 else None for a in labels]
-        p["_slot"] = [-1 if a >= 0 else ~a for a in labels]
-        return p[names]
+        return out
+
+    def emit(p: pd.DataFrame) -> dict:
+        labels, _ = execute(p, p["want"].iloc[0])
+        ids = p[row_id].tolist()
+        out = {k: p[k].tolist() for k in [row_id, *part]}
+        out["_own"] = [ids[a] if a >= 0 else None for a in labels]
+        out["_slot"] = [-1 if a >= 0 else ~a for a in labels]
+        return out
+
+    def each_group(one, columns):
+        """Apply ``one`` to every (keys, chunk) group of a sorted partition, batch by batch."""
+
+        def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for batch in batches:
+                if held is not None:
+                    batch = pd.concat([held, batch], ignore_index=True)
+                new = (batch[part] != batch[part].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+                held = batch.iloc[new[-1]:] if new else batch
+                yield from gather(batch, new)
+            if held is not None and len(held):
+                yield from gather(held, [0, len(held)])
+
+        def gather(batch, cuts):
+            rows: dict = {c: [] for c in columns}
+            for lo, hi in zip(cuts, cuts[1:]):
+                for c, v in one(batch.iloc[lo:hi].reset_index(drop=True)).items():
+                    rows[c] += v
+            if rows[columns[0]]:
+                yield pd.DataFrame(rows)
+
+        return over
+
+    def apply(entries: DataFrame, one, schema: T.StructType) -> DataFrame:
+        with_state = rows.join(entries.select(*part, "want"), part).sortWithinPartitions(*part, *order)
+        return with_state.mapInPandas(each_group(one, schema.fieldNames()), schema)
 
     sum_schema = T.StructType([*key_fields, T.StructField("used", T.StringType()), T.StructField("leave", T.StringType()),
                                T.StructField("ids", T.ArrayType(id_type)), T.StructField("slots", T.ArrayType(T.IntegerType()))])
@@ -83,17 +104,16 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
         return table.withColumn("want", F.coalesce(F.lag("leave").over(by_key), F.lit("[]")))
 
     start = rows.select(*part).distinct().withColumn("want", F.lit("[]"))
-    table = rows.groupBy(*part).cogroup(start.groupBy(*part)).applyInPandas(summarise, sum_schema)
-    table = checkpoint(table)
+    table = checkpoint(apply(start, summarise, sum_schema))
     while True:
         state = wanted(table)
         stale = state.filter("want <> used").select(*part, "want")
         if stale.isEmpty():
             break
-        again = rows.join(stale.select(*part), part, "left_semi").groupBy(*part).cogroup(stale.groupBy(*part)).applyInPandas(summarise, sum_schema)
-        table = checkpoint(table.join(stale.select(*part), part, "left_anti").unionByName(again))
+        again = apply(stale, summarise, sum_schema)
+        table = checkpoint(table.join(stale.select(*part), part, "left_anti").unionByName(again.select(*table.columns)))
 
-    done = rows.groupBy(*part).cogroup(state.select(*part, "want").groupBy(*part)).applyInPandas(emit, out_schema)
+    done = apply(state, emit, out_schema)
 
     # thread ids through the exit tables: one small row per chunk
     def resolve(t: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +126,7 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
         t["entry_ids"] = got
         return t[[*part, "entry_ids"]]
 
-    ids = table.filter(F.size("slots") >= 0).select(*part, "ids", "slots").groupBy(*keys).applyInPandas(
+    ids = table.select(*part, "ids", "slots").groupBy(*keys).applyInPandas(
         resolve, T.StructType([*key_fields, T.StructField("entry_ids", T.ArrayType(id_type))]))
     out = done.join(ids, part).select(row_id, *keys, F.coalesce("_own", F.get("entry_ids", F.col("_slot"))).alias(name))
-    return df.join(out, [row_id, *keys])
+    return checkpoint(df.join(out, [row_id, *keys]))
