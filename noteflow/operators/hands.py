@@ -155,16 +155,14 @@ def hand_boundaries(costs: DataFrame, switch: float = 0.4, beats_per_chunk: int
 
     def table(p: pd.DataFrame) -> pd.DataFrame:
         best, _ = forward(np.stack(p.sort_values("w")["cost"].to_numpy()))
-        return pd.DataFrame({"song_id": [p["song_id"].iloc[0]], "chunk": [p["chunk"].iloc[0]], "best": [best.ravel().tolist()],
-                             "first": [np.asarray(p.sort_values("w")["cost"].iloc[0]).tolist()]})
+        return pd.DataFrame({"song_id": [p["song_id"].iloc[0]], "chunk": [p["chunk"].iloc[0]], "best": [best.ravel().tolist()]})
 
     def chain(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("chunk").reset_index(drop=True)
         total, came = np.zeros(k), []
-        for n, (b, _) in enumerate(zip(p["best"], p["first"])):
+        for b in p["best"]:
+            # the song's first beat may enter from its own boundary, which costs nothing
             m = np.asarray(b).reshape(k, k)
-            if n == 0:
-                m = np.where(np.eye(k, dtype=bool), m, np.inf)  # the first beat pays no move
             step = total[:, None] + m
             came.append(step.argmin(axis=0))
             total = step.min(axis=0)
@@ -187,7 +185,7 @@ def hand_boundaries(costs: DataFrame, switch: float = 0.4, beats_per_chunk: int
 
     ks = costs.schema["song_id"].dataType
     t = c.groupBy("song_id", "chunk").applyInPandas(table, T.StructType([T.StructField("song_id", ks), T.StructField("chunk", T.LongType()),
-        T.StructField("best", T.ArrayType(T.DoubleType())), T.StructField("first", T.ArrayType(T.DoubleType()))]))
+        T.StructField("best", T.ArrayType(T.DoubleType()))]))
     e = t.groupBy("song_id").applyInPandas(chain, T.StructType([T.StructField("song_id", ks), T.StructField("chunk", T.LongType()),
         T.StructField("enter", T.IntegerType()), T.StructField("leave", T.IntegerType())]))
     return c.groupBy("song_id", "chunk").cogroup(e.groupBy("song_id", "chunk")).applyInPandas(

@@ -8,12 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.music import clip
 from ..plans.grouping import anchor_groups, blocks
 from ..plans.joins import nearest
 from ..plans.timeline import CHUNK_MS, nxt, prev, row_no, scan, settle
+from .filters import denominator_for
+from .tempo import interpolate_at
 
 # Interval-ratio ideals, tactus multipliers, tempo ratios, meter numerators.
 FAMILIES = (
@@ -234,8 +237,6 @@ def phase(onsets: DataFrame, periods: DataFrame, chunk_ms: float = CHUNK_MS) ->
 
 def beat_accents(beats: DataFrame, frames: DataFrame, value: str = "flux", chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Onset strength at each beat by linear interpolation between frames (clamped at the ends)."""
-    from .tempo import interpolate_at
-
     return interpolate_at(beats, frames, "t_ms", "t_ms", value, "accent", chunk_ms)
 
 
@@ -279,17 +280,16 @@ def scored_meters(accents: DataFrame, trials: int = 100, seed: int = 0) -> DataF
         "significant", (F.col("baseline") < 1.0) & (F.col("salience") > F.col("threshold")))
 
 
-def time_signature(beats: DataFrame, scored: DataFrame, ratio_family: Column = F.lit("binary")) -> DataFrame:
+def time_signature(beats: DataFrame, scored: DataFrame, ratio_family: Column | None = None) -> DataFrame:
     """Best significant numerator with phase, or 4/4 at 0.3; weak winners keep phase 0."""
-    from .filters import denominator_for
-
+    family = F.lit("binary") if ratio_family is None else ratio_family
     best = scored.filter("significant").groupBy("song_id").agg(
         F.min_by(F.struct("numerator", "score", "phase"), F.struct(-F.round("score", 9), F.col("numerator"))).alias("b"))
     songs = beats.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
     j = songs.join(best, "song_id", "left")
     ok = (F.col("n") >= 8) & F.col("b").isNotNull()
     return j.select("song_id", F.when(ok, F.col("b.numerator")).otherwise(4).alias("numerator"),
-                    F.when(ok, denominator_for(F.col("b.numerator"), ratio_family)).otherwise(4).alias("denominator"),
+                    F.when(ok, denominator_for(F.col("b.numerator"), family)).otherwise(4).alias("denominator"),
                     F.when(ok, F.col("b.score")).otherwise(0.3).alias("confidence"),
                     F.when(ok & (F.col("b.score") >= 0.30), F.col("b.phase")).otherwise(0).alias("phase"))
 
@@ -322,7 +322,7 @@ def spectral_meter(accents: DataFrame) -> DataFrame:
     return s.groupBy("song_id").agg(F.min_by(F.struct("numerator", "share"), F.struct(-F.round("share", 9), F.col("numerator"))).alias("b")).select("song_id", "b.*")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _block_autocorr(xs: pd.Series, own: pd.Series, lags: pd.Series) -> pd.Series:
     """Products of a block's own frames with themselves shifted by each lag, summed."""
     out = []
@@ -393,7 +393,7 @@ def correct_octave(tempo: DataFrame, frames: DataFrame, hop_ms: float, value: st
                     .when(F.col("_r.i") == 0, "no_correction_needed").otherwise("related_ratio").alias("reason"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _window_tempo(xs: pd.Series, lo: pd.Series, hi: pd.Series, hop: pd.Series) -> pd.Series:
     """Tempo of the strongest autocorrelation peak in a bpm band, by parabolic interpolation."""
     out = []

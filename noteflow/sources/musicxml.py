@@ -56,12 +56,12 @@ def page_notes(measured: DataFrame) -> DataFrame:
                     (F.col("at") + F.col("onset") + F.col("dq")).alias("end_q"), F.col("n").getField("time-modification").alias("tuplet"))
 
 
-def sounding(rows: DataFrame, tempo: Column = F.lit(120.0), drum_parts: DataFrame | None = None) -> DataFrame:
+def sounding(rows: DataFrame, tempo: Column | None = None, drum_parts: DataFrame | None = None) -> DataFrame:
     """Pitched notes in seconds; drum parts are skipped."""
     r = rows.filter("pitch is not null")
     if drum_parts is not None:
         r = r.join(drum_parts, ["song_id", "part"], "left_anti")
-    q = 60.0 / tempo
+    q = 60.0 / (F.lit(120.0) if tempo is None else tempo)
     return r.select("song_id", "part", (F.col("start_q") * q).alias("start_s"), (F.col("end_q") * q).alias("end_s"), "pitch")
 
 

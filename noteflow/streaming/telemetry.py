@@ -155,7 +155,7 @@ def voice_line_stream(notes: DataFrame, delay: str = "1 second") -> DataFrame:
         wait, open_, ids = state.get if state.exists else ([], [], [])
         rows = [tuple(w) for w in wait]
         for p in batches:
-            rows += list(p[["note_id", "pitch", "start_ms", "end_ms"]].itertuples(index=False, name=None))
+            rows += [(int(i), float(h), float(a), float(b)) for i, h, a, b in zip(p["note_id"], p["pitch"], p["start_ms"], p["end_ms"])]
         rows.sort(key=lambda r: (r[2], r[1], r[0]))
         mark = state.getCurrentWatermarkMs()
         groups, anchors = [], []
