@@ -63,6 +63,18 @@ def two_hands(p: Column, lim: Limits = Limits()) -> Column:
 
         return F.transform(ends, option)
 
-    found = F.array_min(F.array_compact(F.flatten(F.transform(idx, options))))
-    return F.when(n <= lim.total, F.struct(found.isNotNull().alias("ok"), found["low"].alias("low"), found["high"].alias("high"))).otherwise(
-        F.struct(F.lit(False).alias("ok"), F.lit(None).cast("array<bigint>").alias("low"), F.lit(None).cast("array<bigint>").alias("high")))
+    crossed_or_not = F.array_min(F.array_compact(F.flatten(F.transform(idx, options))))
+
+    def cut(j):
+        return F.slice(p, F.lit(1), j), F.slice(p, j + 1, n - j)
+
+    # uncrossed splits come first and are only n; the full search runs when none of them works
+    cuts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda j: hand_ok(cut(j)[0], lim) & hand_ok(cut(j)[1], lim))
+    plain = F.transform(F.slice(cuts, 1, 1), lambda j: F.struct(F.lit(False).alias("crossed"), F.lit(0).alias("o"), cut(j)[0].alias("low"), cut(j)[1].alias("high")))
+    search = F.coalesce(F.get(plain, F.lit(0)), crossed_or_not)
+    # one hand holding everything is the first split tried; it settles most instants without the search
+    alone = F.struct(F.lit(False).alias("crossed"), F.lit(0).alias("o"), p.alias("low"), F.slice(p, 1, F.lit(0)).alias("high"))
+    found = F.when(hand_ok(p, lim), alone).when(n <= lim.total, search)
+    # the one-element transform names the result, so that it is computed once
+    out = F.transform(F.array(found), lambda f: F.struct(f.isNotNull().alias("ok"), f["low"].alias("low"), f["high"].alias("high")))
+    return F.get(out, F.lit(0))
