@@ -63,3 +63,62 @@ def churn(regions: DataFrame) -> DataFrame:
     a = s.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_p") != F.col("texture")).alias("changes"))
     c = real.groupBy("song_id", "texture").agg(F.count(F.lit(1)).alias("k")).groupBy("song_id").agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
     return a.join(c, "song_id").filter("n >= 2").select("song_id", (F.col("changes") / (F.col("n") - 1)).alias("churn"), (1.0 - F.col("k2") / (F.col("n") * F.col("n"))).alias("expected"))
+
+
+def resolved_view(notes: DataFrame, runs: DataFrame, latest_timing: DataFrame, sections: DataFrame) -> DataFrame:
+    """Non-drum notes that survive consolidation and legitimacy, with page timing and section."""
+    from .annotations import section_lookup
+    from .filters import legitimacy
+
+    kept = runs.filter("stem <> 'drums' and note_id = run_note").select("note_id")
+    verdict = legitimacy(F.col("end_ms") - F.col("start_ms"), F.col("confidence"), F.lit(None).cast("double"))
+    n = notes.join(kept, "note_id", "left_semi").filter(verdict == "legitimate").join(latest_timing, "note_id", "left")
+    n = n.withColumn("start_ms", F.coalesce("onset_refinement", "start_ms")).withColumn("end_ms", F.greatest("end_ms", "sustain_extension")).drop("onset_refinement", "sustain_extension")
+    return section_lookup(n, sections)
+
+
+def motif_pairs(events: DataFrame, beat_ms: float, max_gap_beats: float, candidates: int = 24) -> DataFrame:
+    """Successive notes of one motif occurrence, and up to two notes in between that are not.
+
+    ``events`` has song_id, note_id, start_ms, end_ms, pitch, family, stem, motif,
+    occurrence (null = none).  The rivals of a pair are the next notes in order,
+    so they come from leads, not from a join.
+    """
+    from ..plans.timeline import nxt, scan, settle
+
+    reach = max_gap_beats * beat_ms
+    keys = ["song_id"]
+    row = F.struct("note_id", "start_ms", "end_ms", "pitch", "family", "stem", "motif", "occurrence")
+    tagged = events.filter("motif is not null")
+    nx = scan(tagged.select("song_id", "motif", "occurrence", "start_ms", "note_id"), ["song_id", "motif", "occurrence"], ["start_ms", "note_id"], {"_b": nxt(F.struct("note_id", "start_ms"))})
+    gap = F.col("_b.start_ms") - F.col("start_ms")
+    pos = settle(nx.filter((gap > 0) & (gap <= reach)).select("song_id", F.col("note_id").alias("a_id"), F.col("_b.note_id").alias("b_id")))
+    lead = settle(scan(events, keys, ["start_ms", "note_id"], {f"_n{k}": nxt(row, k) for k in range(1, candidates + 1)}))
+    after = F.array_compact(F.array(*[f"_n{k}" for k in range(1, candidates + 1)]))
+    a = lead.select("song_id", F.col("note_id").alias("a_id"), row.alias("a"), after.alias("after"))
+    taken = pos.groupBy("song_id", "a_id").agg(F.collect_set("b_id").alias("bs"))
+    j = a.join(taken, ["song_id", "a_id"])
+    near = F.filter("after", lambda x: (x["start_ms"] > F.col("a.start_ms")) & (x["start_ms"] - F.col("a.start_ms") <= reach) & ~F.array_contains("bs", x["note_id"]))
+    neg = j.select("song_id", "a", F.explode(F.slice(near, 1, 2)).alias("b")).withColumn("positive", F.lit(False))
+    e = events.select("song_id", F.col("note_id").alias("b_id"), row.alias("b"))
+    yes = pos.join(a.drop("after"), ["song_id", "a_id"]).join(e, ["song_id", "b_id"]).select("song_id", "a", "b", F.lit(True).alias("positive"))
+    return yes.unionByName(neg)
+
+
+def edge_scores(pairs: DataFrame, beat_ms: float) -> DataFrame:
+    """Ten scores of how well a note continues another."""
+    a, b = F.col("a"), F.col("b")
+    dp, dt = F.abs(b["pitch"] - a["pitch"]), (b["start_ms"] - a["start_ms"]) / beat_ms
+    grid = F.array_min(F.array(*[F.abs(dt - g) for g in (1, 0.5, 0.25, 2, 3, 4, 1.5, 0.75)]))
+    ph = F.abs(F.pmod(a["start_ms"], F.lit(beat_ms)) - F.pmod(b["start_ms"], F.lit(beat_ms))) / beat_ms
+    da, db = F.greatest(a["end_ms"] - a["start_ms"], F.lit(1.0)), F.greatest(b["end_ms"] - b["start_ms"], F.lit(1.0))
+    over = F.greatest(F.lit(0.0), a["end_ms"] - b["start_ms"])
+
+    def same(field):
+        return a[field].eqNullSafe(b[field]).cast("double")
+
+    return pairs.select(
+        "song_id", a["note_id"].alias("a_id"), b["note_id"].alias("b_id"), "positive", F.exp(-dp / 5.0).alias("pitch_prox"), F.exp(-dp / 12.0).alias("register"),
+        F.exp(-grid * 4.0).alias("ioi_regular"), (1.0 - 2 * F.least(ph, 1 - ph)).alias("metric_pos"), (F.least(da, db) / F.greatest(da, db)).alias("duration_compat"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - over / da)).alias("overlap"), same("family").alias("family_same"), same("stem").alias("stem_same"),
+        (a["motif"].isNotNull() & (a["motif"] == b["motif"]) & (a["occurrence"] == b["occurrence"])).cast("double").alias("motif_cont"))
