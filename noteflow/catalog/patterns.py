@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.music import chord_masks
 from ..operators import patterns as p
+from ..plans.timeline import prev, scan, settle
 from ..sources import corpus as c
 from .registry import query
 
@@ -157,14 +158,14 @@ mo as (select song_id, stem, gram, l, count(*) as cnt, min(start_ms) as first_ms
 
 @query("w07_motifs", "notes", MOTIF, "select song_id, stem, gram, cnt as count, round(first_ms, 6) as first_ms from mo")
 def w07(s, d):
-    m = p.motifs(dense(s, d, small(3)))
+    m = p.motifs(p.motif_occurrences(dense(s, d, small(3))))
     return m.select("song_id", "stem", F.concat_ws(",", F.transform("gram", lambda x: x.cast("string"))).alias("gram"), "count", F.round("first_ms", 6).alias("first_ms"))
 
 
 @query("w08_motif_hits")
 def w08(s, d):
     n = dense(s, d, small(3))
-    return p.motif_hits(n, p.motifs(n)).select("song_id", "note_id", "motif", "confidence")
+    return p.motif_hits(n, settle(p.motif_occurrences(n))).select("song_id", "note_id", "motif", "confidence")
 
 
 @query("a42_pattern_coverage", "notes", STREAM.format(pitch="60 + (velocity - 1) % 2") + "," + EQ.format(ioi="1e300") + """,
@@ -179,8 +180,6 @@ def a42(s, d):
 iv as (select *, pitch - lag(pitch) over (partition by song_id, stem order by pos) as iv from st)""", """
 select song_id, stem, round(case when sum(abs(iv)) > 0 then abs(sum(iv)) / sum(abs(iv)) else 1 end, 6) as monotonicity from iv group by song_id, stem""")
 def c05(s, d):
-    from ..plans.timeline import prev, scan
-
     n = scan(c.notes(s, d), ["song_id", "stem"], ["start_ms", "note_id"], {"q": prev("pitch")})
     iv = F.col("pitch") - F.col("q")
     g = n.groupBy("song_id", "stem").agg(F.sum(F.abs(iv)).alias("t"), F.abs(F.sum(iv)).alias("m"))

@@ -82,10 +82,11 @@ def s12(s, d):
 
 
 @query("c03_json_safe_payload", "notes", "", """
-select song_id, stem, case when count(*) > 20 then '<sequence length=' || count(*) || '>' else '[' || string_agg(pitch, ',' order by note_id) || ']' end as payload from notes group by song_id, stem""")
+select song_id, cast(floor(start_ms / 1920) as bigint) as measure, case when count(*) > 6 then '<sequence length=' || count(*) || '>' else '[' || string_agg(pitch, ',' order by note_id) || ']' end as payload from notes group by all""")
 def c03(s, d):
-    g = c.notes(s, d).groupBy("song_id", "stem").agg(F.transform(F.array_sort(F.collect_list(F.struct("note_id", "pitch"))), lambda x: x["pitch"]).alias("ps"))
-    return g.select("song_id", "stem", tb.json_safe(F.col("ps"), 20).alias("payload"))
+    g = c.notes(s, d).groupBy("song_id", F.floor(F.col("start_ms") / 1920).alias("measure")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("note_id", "pitch"))), lambda x: x["pitch"]).alias("ps"))
+    return g.select("song_id", "measure", tb.json_safe(F.col("ps"), 6).alias("payload"))
 
 
 @query("c04_elapsed_text", "notes", "x as (select note_id, cast(note_id * 7 as bigint) as s from notes)", """

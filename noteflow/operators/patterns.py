@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 
 from ..functions.music import is_chord_mask
 from ..plans.grouping import anchor_groups
-from ..plans.timeline import CHUNK_MS, fill_after, fill_next, islands, max_before, nxt, prev, row_no, scan, settle
+from ..plans.joins import nearest
+from ..plans.timeline import CHUNK_MS, fill_after, fill_next, islands, max_before, nxt, prev, row_no, run_sum, scan, settle
 
 NOTES_PER_CHUNK = 5000.0
 KEYS = ("song_id", "stem")
@@ -297,8 +298,8 @@ def apply_observations(obs: DataFrame, notes: DataFrame, keys, max_confidence: f
     return held.unionByName(coh)
 
 
-def motifs(notes: DataFrame, min_count: int = 3, lengths=(4, 5, 6), max_gap_ms: float = 250.0) -> DataFrame:
-    """Interval n-grams heard three times or more in a stem, with each occurrence's start."""
+def motif_occurrences(notes: DataFrame, lengths=(4, 5, 6), max_gap_ms: float = 250.0) -> DataFrame:
+    """Every interval n-gram of every stem with its start; quick repeats of a pitch count as one note."""
     keys = ["song_id", "stem"]
     n = notes.filter("stem <> 'drums'")
     s = positions(n, keys).select(*keys, "pos", "pitch", "start_ms", "end_ms")
@@ -313,17 +314,25 @@ def motifs(notes: DataFrame, min_count: int = 3, lengths=(4, 5, 6), max_gap_ms:
     grams = F.array_compact(F.array(*[
         # the last position of a stem starts no gram, so one more note must follow
         F.when(p[L + 1].isNotNull(), F.array(*[(p[k + 1] - p[k]).cast("int") for k in range(L)])) for L in lengths]))
-    g = m.select(*keys, "start_ms", F.explode(grams).alias("gram")).filter(F.exists("gram", lambda x: x != 0))
-    return g.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("count"), F.min("start_ms").alias("first_ms"), F.array_sort(F.collect_list("start_ms")).alias("starts")).filter(F.col("count") >= min_count)
+    return m.select(*keys, "start_ms", F.explode(grams).alias("gram")).filter(F.exists("gram", lambda x: x != 0))
 
 
-def motif_hits(notes: DataFrame, found: DataFrame, top: int = 20, reach_ms: float = 60.0, chunk_ms: float = CHUNK_MS) -> DataFrame:
-    """Notes that start an occurrence of one of a song's leading motifs."""
-    from ..plans.joins import nearest
+def motifs(occurrences: DataFrame, min_count: int = 3) -> DataFrame:
+    """N-grams heard three times or more in a stem, with their count and first start."""
+    g = occurrences.groupBy("song_id", "stem", "gram").agg(F.count(F.lit(1)).alias("count"), F.min("start_ms").alias("first_ms"))
+    return g.filter(F.col("count") >= min_count)
 
+
+def motif_hits(notes: DataFrame, occurrences: DataFrame, top: int = 20, min_count: int = 3, reach_ms: float = 60.0,
+               chunk_ms: float = CHUNK_MS) -> DataFrame:
+    """Notes that start an occurrence of one of a song's leading motifs.
+
+    The ranked motifs (at most ``top`` per song) are joined back to their
+    occurrences, so no motif's occurrences are ever gathered.
+    """
     w = Window.partitionBy("song_id").orderBy(F.col("count").desc(), F.size("gram").desc(), "stem", "first_ms", "gram")
-    lead = found.withColumn("motif", F.row_number().over(w) - 1).filter(F.col("motif") < top)
-    occ = lead.select("song_id", "stem", "motif", "count", F.explode("starts").alias("occ_ms"))
+    lead = motifs(occurrences, min_count).withColumn("motif", F.row_number().over(w) - 1).filter(F.col("motif") < top)
+    occ = occurrences.join(lead.drop("first_ms"), ["song_id", "stem", "gram"]).select("song_id", "stem", "motif", "count", F.col("start_ms").alias("occ_ms"))
     hit = nearest(occ, notes, ["song_id", "stem"], "occ_ms", "start_ms", reach_ms, {"note_id": F.col("note_id")}, chunk_ms)
     return hit.filter("note_id is not null").withColumn("confidence", F.least(F.lit(1.0), F.col("count") / 5.0))
 
@@ -340,8 +349,6 @@ def _shuffled(notes: DataFrame, keys, trials: int, seed: int) -> DataFrame:
 
 def _retimed(notes: DataFrame, keys, trials: int, seed: int) -> DataFrame:
     """Time-shuffled copies: gaps and lengths of a stream dealt out again in hash order."""
-    from ..plans.timeline import run_sum
-
     keys = list(keys)
     p = settle(_seq(positions(notes, keys), keys, {"_n": nxt("start_ms")}))
     t = p.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))

@@ -14,6 +14,7 @@ def get_spark(master: str | None = None, app: str = "noteflow", partitions: int
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     spark = (
         b.config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
