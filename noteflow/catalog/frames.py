@@ -110,10 +110,18 @@ def a44(s, d):
     return v.select("song_id", F.round("kit", 6).alias("kit"), F.round("low_share", 6).alias("low_share"), r6("swell").alias("swell"), "verdict")
 
 
-def textured(s, d):
+def in_regions(s, d):
     n = an.section_lookup(c.notes(s, d), c.sections(s, d))
-    n = n.select("song_id", F.col("idx").alias("region"), "note_id", "start_ms", "end_ms", "pitch", F.col("stem").alias("family"), F.col("s_start").alias("r_start"), F.col("s_end").alias("r_end"))
-    return tx.texture(n, 120.0)
+    return n.select("song_id", F.col("idx").alias("region"), "note_id", "start_ms", "end_ms", "pitch", F.col("stem").alias("family"), F.col("s_start").alias("r_start"), F.col("s_end").alias("r_end"))
+
+
+def textured(s, d):
+    return tx.texture(in_regions(s, d), 120.0)
+
+
+@query("a35_texture_vector")
+def a35(s, d):
+    return tx.texture_vector(in_regions(s, d), 120.0)
 
 
 @query("a36_texture_class")

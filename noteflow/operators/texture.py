@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.grouping import anchor_groups
+from ..plans.joins import nearest, points_in
+from ..plans.timeline import nxt, prev, scan, settle
+from .annotations import section_lookup
+from .filters import legitimacy
 
 # Interval classes heard as chord tones and as clusters.
 CHORD_INTERVALS = (3, 4, 5, 7, 8, 9)
@@ -56,8 +63,6 @@ def texture(notes: DataFrame, window_ms: float = 60.0, min_notes: int = 12) -> D
 
 def churn(regions: DataFrame) -> DataFrame:
     """How often successive regions change texture, against what their mix alone would give."""
-    from ..plans.timeline import prev, scan
-
     real = regions.filter("texture <> 'SPARSE'")
     s = scan(real, ["song_id"], ["region"], {"_p": prev("texture")}, 5000.0)
     a = s.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_p") != F.col("texture")).alias("changes"))
@@ -65,11 +70,61 @@ def churn(regions: DataFrame) -> DataFrame:
     return a.join(c, "song_id").filter("n >= 2").select("song_id", (F.col("changes") / (F.col("n") - 1)).alias("churn"), (1.0 - F.col("k2") / (F.col("n") * F.col("n"))).alias("expected"))
 
 
+def _best_repeat(grids: pd.Series) -> pd.Series:
+    """Strongest autocorrelation of a 64-bin onset grid at lags 1..63."""
+    out = []
+    for x in grids:
+        g = np.asarray(x, dtype=float)
+        g = g - g.mean()
+        ac = np.correlate(g, g, mode="full")[64:]
+        out.append(float(np.clip(ac.max() / (np.dot(g, g) + 1e-9), 0, 1)) if g.std() > 0 else 0.0)
+    return pd.Series(out)
+
+
+def texture_vector(notes: DataFrame, window_ms: float = 60.0, min_notes: int = 12) -> DataFrame:
+    """Six values per (song, region): chordality, top motion, bass regularity, independence, sustain, ostinato.
+
+    ``notes`` carries region, r_start, r_end; regions are a few seconds long and
+    every key below holds the region.
+    """
+    keys = ["song_id", "region"]
+    n = notes.select(*keys, "note_id", "start_ms", "end_ms", "pitch", "r_start", "r_end")
+    med = n.groupBy(*keys).agg(F.percentile("pitch", F.lit(0.5)).alias("split"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_notes)
+    n = settle(n.join(med, keys))
+    st = anchor_groups(n.select(*keys, "note_id", "start_ms", "pitch"), keys, "start_ms", "note_id", window_ms).groupBy(*keys, "group_ms").agg(
+        F.array_sort(F.collect_list("pitch")).alias("ps"))
+    multi = F.size("ps") > 1
+    s = st.groupBy(*keys).agg(F.sum(F.when(multi, F.size("ps")).otherwise(0)).alias("sync"), F.coalesce(F.avg(F.when(multi, chord_likeness(F.col("ps")))), F.lit(0.0)).alias("likeness"))
+    w = Window.partitionBy(*keys).orderBy("start_ms", "note_id")
+    top, bot = n.filter(F.col("pitch") > F.col("split")), n.filter(F.col("pitch") <= F.col("split"))
+    motion = top.withColumn("_d", F.abs(F.col("pitch") - F.lag("pitch").over(w))).groupBy(*keys).agg(
+        F.when(F.count(F.lit(1)) > 2, F.avg(F.col("_d").between(1, 2).cast("double"))).otherwise(0.0).alias("motion"))
+    gap = bot.withColumn("_g", F.col("start_ms") - F.lag("start_ms").over(w)).withColumn("_g", F.when(F.col("_g") > 1.0, F.col("_g")))
+    even = gap.groupBy(*keys).agg(F.count(F.lit(1)).alias("_b"), F.count("_g").alias("_k"), (1.0 - F.stddev_pop("_g") / (F.avg("_g") + 1e-9)).alias("_r"))
+    even = even.select(*keys, F.when((F.col("_b") > 2) & (F.col("_k") >= 3), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_r")))).otherwise(0.0).alias("regularity"))
+    near = nearest(top, bot, keys, "start_ms", "start_ms", window_ms, {"_h": F.col("start_ms")}).groupBy(*keys).agg(
+        (1.0 - F.avg(F.col("_h").isNotNull().cast("double"))).alias("independence"))
+    pts = n.select(*keys, F.col("start_ms").alias("_t"))
+    held = n.select(*keys, "note_id", (F.col("start_ms") + window_ms).alias("_a"), F.col("end_ms").alias("_z")).filter("_z > _a")
+    later = points_in(held, pts, keys, "_a", "_z", "_t").filter("_t > _a and _t < _z").groupBy(*keys, "note_id").agg(F.count(F.lit(1)).alias("_c"))
+    sus = later.groupBy(*keys).agg(F.sum(F.least(F.lit(1.0), F.col("_c") * 0.25)).alias("_s"))
+    span = F.greatest(F.lit(1.0), F.col("r_end") - F.col("r_start"))
+    bins = n.withColumn("_i", ((F.col("start_ms") - F.col("r_start")) / span * 63).cast("int")).filter("_i between 0 and 63").groupBy(*keys).agg(
+        F.array(*[F.count_if(F.col("_i") == i).cast("double") for i in range(64)]).alias("_g"))
+    ost = bins.select(*keys, F.pandas_udf(_best_repeat, T.DoubleType())("_g").alias("ostinato"))
+    r = med.join(s, keys)
+    for part in (motion, even, near, sus, ost):
+        r = r.join(part, keys, "left")
+    r = r.fillna(0.0, ["motion", "regularity", "independence", "_s", "ostinato"])
+    has_both = bot.select(*keys).distinct().withColumn("_low", F.lit(True))
+    r = r.join(has_both, keys, "left")
+    chordality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sync") / F.col("n") * (0.5 + 0.5 * F.greatest(F.col("likeness"), F.lit(0.0)))))
+    return r.select(*keys, "n", chordality.alias("chordality"), "motion", "regularity", F.when(F.col("_low"), F.col("independence")).otherwise(0.0).alias("independence"),
+                    (F.col("_s") / F.col("n")).alias("sustain"), F.when(F.col("n") > 8, F.col("ostinato")).otherwise(0.0).alias("ostinato"))
+
+
 def resolved_view(notes: DataFrame, runs: DataFrame, latest_timing: DataFrame, sections: DataFrame) -> DataFrame:
     """Non-drum notes that survive consolidation and legitimacy, with page timing and section."""
-    from .annotations import section_lookup
-    from .filters import legitimacy
-
     kept = runs.filter("stem <> 'drums' and note_id = run_note").select("note_id")
     verdict = legitimacy(F.col("end_ms") - F.col("start_ms"), F.col("confidence"), F.lit(None).cast("double"))
     n = notes.join(kept, "note_id", "left_semi").filter(verdict == "legitimate").join(latest_timing, "note_id", "left")
@@ -84,8 +139,6 @@ def motif_pairs(events: DataFrame, beat_ms: float, max_gap_beats: float, candida
     occurrence (null = none).  The rivals of a pair are the next notes in order,
     so they come from leads, not from a join.
     """
-    from ..plans.timeline import nxt, scan, settle
-
     reach = max_gap_beats * beat_ms
     keys = ["song_id"]
     row = F.struct("note_id", "start_ms", "end_ms", "pitch", "family", "stem", "motif", "occurrence")
