@@ -115,7 +115,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                  F.expr(f"whole + cast(source_size % {block} > 0 as int)").alias("n"))
     s = s.withColumn("slots", F.expr(f"passes * n + (rest + {block - 1}) div {block}"))
     s = s.filter("slots > 0").withColumn("_fold", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {fold}"))))
-    s = s.repartition("key", "_fold").withColumn("j", F.explode(F.sequence(
+    # a fixed number of partitions: their bytes are few before the slots are unfolded, and would be merged
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = s.repartition(tasks, "key", "_fold").withColumn("j", F.explode(F.sequence(
         F.col("_fold") * fold, F.least(F.col("slots"), (F.col("_fold") + 1) * fold) - 1)))
     s = s.withColumn("pass", F.expr("j div n")).withColumn("x", F.expr("j % n")).withColumn("h", F.xxhash64("key"))
     dealt = F.when(F.col("x") < F.col("whole"), permuted(F.col("x"), F.col("whole"), F.lit(seed), F.col("h"), F.col("pass"))).otherwise(F.col("x"))
@@ -135,7 +137,8 @@ def taken_pieces(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """
     p = pieces.withColumnRenamed("words", "_len")
     took = F.least(F.col("at") + F.col("_len"), F.col("words")) - F.col("at")
-    return slots.join(p, ["key", "block"]).withColumn("words", took).filter("words > 0").select(
+    # the slots are unfolded from one row per source, which a planner takes for a small table
+    return slots.hint("merge").join(p, ["key", "block"]).withColumn("words", took).filter("words > 0").select(
         "shard", "draw", "pass", "row", "id", "block", "from_word", "words")
 
 
