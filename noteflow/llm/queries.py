@@ -90,7 +90,39 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing.place(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@query("op6_license_templates")
+# The templates hold their base phrase in one piece, so each base place is looked at from both sides.
+OP6_SQL = r"""
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+p(phrase, label) as (values (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+f as (select row, w, label, len(phrase) as n, list_filter(range(0, greatest(len(w) - len(phrase) + 1, 0)), lambda i: w[i + 1:i + len(phrase)] = phrase) as pos from d, p),
+o as (select row, label, n, w, unnest(pos) as i from f),
+s as (
+  select row, label, i, regexp_matches(' ' || coalesce(array_to_string(w[1:i], ' '), '') || ' ',
+      ' (licensed|released|distributed|available|provided) under (the terms of )?(the )?$') as led,
+    coalesce(array_to_string(w[i + n + 1:], ' '), '') || ' ' as tail from o),
+m as (
+  select row, label, i, case when not led then null
+    when label = 'gpl' and regexp_matches(tail, '^(as published by the free software foundation )?(either )?(version|v) 2 ') then 'gpl-2'
+    when label = 'gpl' and regexp_matches(tail, '^(as published by the free software foundation )?(either )?(version|v) 3 ') then 'gpl-3'
+    when label = 'apache' and regexp_matches(tail, '^((version|v) )?2 0 ') then 'apache-2'
+    when label = 'cc-by' and regexp_matches(tail, '^[1-4] [05] ') then 'cc-by'
+    when label = 'cc-by' and regexp_matches(tail, '^nc [1-4] [05] ') then 'cc-by-nc'
+    when label = 'cc-by' and regexp_matches(tail, '^sa [1-4] [05] ') then 'cc-by-sa'
+    when label = 'cc-by' and regexp_matches(tail, '^nd [1-4] [05] ') then 'cc-by-nd'
+    when label = 'mit' then 'mit-notice' end as extra from s),
+a as (
+  select row, count(*) as n, min(i) as lo, max(i) as hi, count(extra) as inside, string_agg(distinct label, ',' order by label) as base,
+    array_to_string(list_sort(list_distinct(list_concat(list(label), list_filter(list(extra), lambda x: x is not null)))), ',') as labels
+  from m group by row)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(a.n, 0) as bigint) as n_base, lo as first_word, hi as last_word,
+  coalesce(base, '') as base_labels, coalesce(labels, '') as labels, case when a.n > 0 then cast(inside as double) / a.n else 0e0 end as score
+from d left join a on a.row = d.row"""
+
+
+@query("op6_license_templates", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_templates.license_summary(license_templates.scan_licenses(docs))
@@ -103,10 +135,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 with recursive v as (
-  select vec_id, list_transform(embedding, x -> cast(x as double)) as e from embeddings where vec_id is not null and embedding is not null),
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where vec_id is not null and embedding is not null),
 u as (
-  select vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) as n from v
-  where len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and list_sum(list_transform(e, x -> x * x)) > 0),
+  select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v
+  where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(e, lambda x: x * x)) > 0),
 p as (
   select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id
   where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
