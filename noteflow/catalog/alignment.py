@@ -18,7 +18,7 @@ def v07(s, d):
     n = c.notes(s, d).filter("stem <> 'drums'")
     ref = n.select("song_id", "pitch", (F.col("start_ms") / 500).alias("start"), (F.col("end_ms") / 500).alias("end"))
     ours = n.filter("note_id % 4 <> 0").select("song_id", "pitch", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
-    return al.align_scores(ref, ours, 120)
+    return al.align_scores(ref, ours)
 
 
 @query("v08_x04_sequence_agreement")
@@ -29,10 +29,17 @@ def v08(s, d):
     return al.sequence_agreement(al.positions_of(both, ["start_ms", "value"], 30000.0).select("song_id", "side", "pos", "value"))
 
 
-@query("a41_beat_match_lift")
+@query("a41_beat_match_lift", "notes beats", """
+bc as (select song_id, k, t_ms + beat_idx % 5 * 12e0 + 480e0 * k / 21 as c from beats, range(0, 21) q(k)),
+be as (select b.song_id, q.k, b.beat_idx, coalesce(min(abs(c - b.t_ms)) filter (where abs(c - b.t_ms) <= 240), 240e0) as err
+  from beats b cross join range(0, 21) q(k) left join bc on bc.song_id = b.song_id and bc.k = q.k and c between b.t_ms - 241 and b.t_ms + 241 group by all),
+bm as (select song_id, k, median(err) as med, avg(case when err > 120 then 1e0 else 0e0 end) as off from be group by all)""", """
+select song_id, round(max(med) filter (where k = 0), 6) as median_error, round(max(off) filter (where k = 0), 6) as off_share, round(avg(med) filter (where k > 0), 6) as null_error,
+  round((avg(med) filter (where k > 0)) / greatest(max(med) filter (where k = 0), 1e-9), 4) as lift from bm group by song_id""")
 def a41(s, d):
     b = c.beats(s, d)
-    return al.beat_match(b, b.withColumn("t_ms", F.col("t_ms") + F.col("beat_idx") % 5 * 12.0), 480.0)
+    x = al.beat_match(b, b.withColumn("t_ms", F.col("t_ms") + F.col("beat_idx") % 5 * 12.0), 480.0)
+    return x.select("song_id", *[F.round(v, 6).alias(v) for v in ("median_error", "off_share", "null_error")], F.round("lift", 4).alias("lift"))
 
 
 @query("x03_stem_accessor", "notes", "", """

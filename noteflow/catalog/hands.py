@@ -54,10 +54,27 @@ def w29(s, d):
     return t.select("song_id", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"), F.size("pitches").cast("bigint").alias("n"), "verdict")
 
 
-@query("w30_strike_timeline")
+# strikes within 60 ms of the group's first; parts of a roll are 9.6 ms apart
+STRIKES = WN + """,
+kt as (select distinct song_id, start_ms as t from wn where end_ms > start_ms),
+ka(song_id, t) as (select song_id, min(t) from kt group by song_id
+  union all select song_id, t from (select a.song_id, (select min(k.t) from kt k where k.song_id = a.song_id and k.t - a.t > 60e0) as t from ka a) q where t is not null),
+kn as (select n.*, (select max(a.t) from ka a where a.song_id = n.song_id and a.t <= n.start_ms) as g from wn n where end_ms > start_ms),
+kp as (select song_id, g, round_even((start_ms - g) / 9.6e0, 0) as part, list_sort(list(distinct pitch)) as ps, max(end_ms) as e from kn group by all),
+kg as (select song_id, g, list_sort(list_distinct(flatten(list(ps)))) as ps, count(*) as parts from kp group by all),
+kc as (select song_id, 'w' as what, g, cast(null as double) as part, ps from kg union all select song_id, 'p', g, part, ps from kp),
+""" + FEAS.format(ps="ps", src="(select what || ':' || song_id || ':' || g || ':' || coalesce(part, 0) as song_id, 0 as t, ps from kc) z", span=12) + """,
+kf as (select what, k.song_id, g, ok from kc k join fs on fs.song_id = what || ':' || k.song_id || ':' || g || ':' || coalesce(part, 0)),
+kv as (select song_id, g, bool_and(ok) filter (where what = 'w') as ok, bool_and(ok) filter (where what = 'p') as parts_ok from kf group by all),
+ke as (select song_id, max(end_ms) as song_end from wn where end_ms > start_ms group by song_id)"""
+
+
+@query("w30_strike_timeline", "notes", STRIKES, """
+select song_id, round(g, 6) as t0, round(coalesce(lead(g) over (partition by song_id order by g), song_end), 6) as t1, len(ps) as n,
+  case when ok then 'playable' when parts > 1 and parts_ok then 'rolled' else 'impossible' end as verdict from kg join kv using (song_id, g) join ke using (song_id)""")
 def w30(s, d):
     t = h.strike_timeline(wide(s, d), 480.0, profile("comfortable"))
-    return t.select("song_id", "t0", "t1", F.size("pitches").alias("n"), "verdict")
+    return t.select("song_id", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"), F.size("pitches").cast("bigint").alias("n"), "verdict")
 
 
 @query("w31_strain")
@@ -74,9 +91,12 @@ def w32(s, d):
                     F.col("max_notes").cast("bigint").alias("max_notes"), "max_span")
 
 
-@query("t03_worst_instants")
+@query("t03_worst_instants", "notes", TL + "," + FEAS.format(ps="ps", src="so", span=12) + """,
+bd as (select fs.song_id, fs.t, len(fs.ps) as n, fs.ps[-1] - fs.ps[1] as span, t1 - fs.t as dur from fs join so on so.song_id = fs.song_id and so.t = fs.t where not ok)""", """
+select song_id, round(t, 6) as t0, n, span, round(dur, 6) as dur, rank from (select *, row_number() over (partition by song_id order by n desc, span desc, dur desc, t) as rank from bd) q where rank <= 8""")
 def t03(s, d):
-    return h.worst_instants(h.sounding_timeline(wide(s, d), profile("comfortable")))
+    x = h.worst_instants(h.sounding_timeline(wide(s, d), profile("comfortable")))
+    return x.select("song_id", F.round("t0", 6).alias("t0"), F.col("n").cast("bigint").alias("n"), "span", F.round("dur", 6).alias("dur"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("w36_monophonic_share", "notes", """

@@ -14,12 +14,30 @@ def v01(s, d):
     return ln.voice_lines(c.notes(s, d)).select("song_id", "stem", "note_id", "line_id")
 
 
-@query("v02_melodic_threads")
+# one step per note of a stem: open threads as a list of (id, last start, last pitch), the cheapest first
+THREADS = """
+tn as (select *, row_number() over (partition by song_id, stem order by start_ms, pitch, note_id) as k from notes),
+th(song_id, stem, k, note_id, line_id, open) as (
+  select distinct song_id, stem, cast(0 as bigint), cast(null as bigint), cast(null as bigint), cast([] as struct(id bigint, t double, p bigint)[]) from tn
+  union all
+  select song_id, stem, k, note_id, coalesce(pick.id, note_id),
+    case when pick is null then list_append(live, {'id': note_id, 't': start_ms, 'p': pitch})
+      else list_transform(live, lambda x: case when x.id = pick.id then {'id': x.id, 't': start_ms, 'p': pitch} else x end) end
+  from (select song_id, stem, k, note_id, start_ms, pitch, live,
+      list_sort(list_transform(list_filter(range(1, len(live) + 1), lambda i: start_ms - live[i].t > 45 and abs(pitch - live[i].p) <= 12),
+        lambda i: {'c': abs(pitch - live[i].p) + 2e0 * ((start_ms - live[i].t) / 960e0) * 12, 'i': i, 'id': live[i].id}))[1] as pick
+    from (select n.song_id, n.stem, n.k, n.note_id, n.start_ms, n.pitch, list_filter(th.open, lambda x: n.start_ms - x.t <= 960e0) as live
+      from th join tn n on n.song_id = th.song_id and n.stem = th.stem and n.k = th.k + 1) a) b)"""
+
+
+@query("v02_melodic_threads", "notes", THREADS, "select song_id, stem, note_id, line_id from th where note_id is not null")
 def v02(s, d):
     return ln.melodic_threads(c.notes(s, d), 480.0).select("song_id", "stem", "note_id", "line_id")
 
 
-@query("v02_line_stats")
+@query("v02_line_stats", "notes", THREADS + """,
+ln as (select song_id, stem, line_id, count(*) as n from th where note_id is not null group by all)""", """
+select song_id, stem, count(*) as lines, cast(sum(n) as bigint) as notes, avg(n) as mean_len, max(n) as max_len, count(*) filter (where n >= 4) as usable from ln group by song_id, stem""")
 def v02b(s, d):
     return ln.line_stats(ln.melodic_threads(c.notes(s, d), 480.0))
 

@@ -224,8 +224,8 @@ def j13(s, d):
 
 
 TIES = """
-nx as (select *, lead(pitch) over w as p2, lead(start_ms) over w as s2, lead(confidence) over w as c2, lead(note_id) over w as id2 from notes
-  window w as (partition by song_id order by start_ms, note_id)),
+nx as (select *, lead(pitch) over w as p2, lead(start_ms) over w as s2, lead(confidence) over w as c2, lead(note_id) over w as id2 from notes where stem <> 'drums'
+  window w as (partition by song_id, stem order by start_ms, note_id)),
 tc as (select song_id, note_id as first_id, id2 as second_id, s2 - end_ms as gap, (end_ms + s2) / 2 as mid from nx
   where p2 = pitch and s2 - end_ms between 0 and 900 and c2 <= confidence),
 ties as (select * from tc where exists(select 1 from beats b where b.song_id = tc.song_id and abs(b.t_ms - mid) <= 120))"""
@@ -240,13 +240,14 @@ def w05(s, d):
     return ties(s, d).select("first_id", "second_id", F.round("gap_ms", 6).alias("gap_ms"))
 
 
-@query("j14_tie_flags", "notes", """
-tt as (select note_id as first_id, note_id + 1 as second_id from notes where note_id % 7 = 0),
+@query("j14_tie_flags", "notes beats", TIES + """,
+tt as (select note_id as first_id, note_id + 1 as second_id from notes where note_id % 7 = 0 union select first_id, second_id from ties),
 al as (select note_id from notes where confidence >= 0.02), ok as (select * from tt where first_id in (select note_id from al) and second_id in (select note_id from al))""", """
 select note_id, note_id in (select first_id from ok) as tie_start, note_id in (select second_id from ok) as tie_stop from al""")
 def j14(s, d):
     n = c.notes(s, d)
     t = n.filter("note_id % 7 = 0").select(F.col("note_id").alias("first_id"), (F.col("note_id") + 1).alias("second_id"))
+    t = t.unionByName(ties(s, d).select("first_id", "second_id")).distinct()
     return an.tie_flags(n.filter("confidence >= 0.02"), t).select("note_id", "tie_start", "tie_stop")
 
 

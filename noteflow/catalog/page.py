@@ -37,19 +37,58 @@ def w45(s, d):
     return p.notation_pieces(ticks(s, d).withColumn("is_tuplet", F.lit(False)))
 
 
-@query("v04_register_voices")
+VOICES = """
+vn as (select *, row_number() over (partition by song_id, stem order by start_ms, note_id) as k from notes),
+vo(song_id, stem, k, note_id, start_ms, id, open) as (
+  select distinct song_id, stem, cast(0 as bigint), cast(null as bigint), cast(null as double), cast(null as bigint), cast([] as struct(id bigint, e double, p bigint)[]) from vn
+  union all
+  select song_id, stem, k, note_id, start_ms, coalesce(pick.id, note_id),
+    case when pick is null then list_append(open, {'id': note_id, 'e': end_ms, 'p': pitch})
+      else list_transform(open, lambda x: case when x.id = pick.id then {'id': x.id, 'e': end_ms, 'p': pitch} else x end) end
+  from (select n.song_id, n.stem, n.k, n.note_id, n.start_ms, n.end_ms, n.pitch, vo.open,
+      list_sort(list_transform(list_filter(range(1, len(vo.open) + 1), lambda i: n.start_ms >= vo.open[i].e),
+        lambda i: {'c': abs(vo.open[i].p - n.pitch), 'i': i, 'id': vo.open[i].id}))[1] as pick
+    from vo join vn n on n.song_id = vo.song_id and n.stem = vo.stem and n.k = vo.k + 1) a),
+vf as (select song_id, stem, id, row_number() over (partition by song_id, stem order by start_ms, id) as voice from vo where note_id = id)"""
+
+
+@query("v04_register_voices", "notes", VOICES, """
+select song_id, stem, note_id, voice, cast((voice - 1) // 4 as bigint) as staff from vo join vf using (song_id, stem, id) where note_id is not null""")
 def v04(s, d):
-    return p.register_voices(c.notes(s, d)).select("song_id", "stem", "note_id", "voice", "staff")
+    v = p.register_voices(c.notes(s, d))
+    return v.select("song_id", "stem", "note_id", *[F.col(x).cast("bigint").alias(x) for x in ("voice", "staff")])
 
 
 def staffed(s, d):
     return c.notes(s, d).withColumn("hand", F.when(F.col("pitch") >= 60, "treble").otherwise("bass"))
 
 
-@query("v03_w37_staff_voices")
+STAFF = """
+sn as (select song_id, case when pitch >= 60 then 'treble' else 'bass' end as hand, note_id, start_ms, end_ms, pitch from notes),
+sk as (select *, row_number() over (partition by song_id, hand order by start_ms, note_id) as k from sn),
+sv(song_id, hand, k, note_id, id, open) as (
+  select distinct song_id, hand, cast(0 as bigint), cast(null as bigint), cast(null as bigint), cast([] as struct(id bigint, e double, p bigint)[]) from sk
+  union all
+  select song_id, hand, k, note_id, coalesce(pick.id, note_id),
+    case when pick is null then list_append(open, {'id': note_id, 'e': end_ms, 'p': pitch})
+      else list_transform(open, lambda x: case when x.id = pick.id then {'id': x.id, 'e': greatest(x.e, end_ms), 'p': pitch} else x end) end
+  from (select *, case when len(free) > 0 then list_sort(free)[1] when len(open) >= 4 then list_sort(every)[1] end as pick
+    from (select n.song_id, n.hand, n.k, n.note_id, n.start_ms, n.end_ms, n.pitch, sv.open,
+        list_transform(list_filter(range(1, len(sv.open) + 1), lambda i: sv.open[i].e <= n.start_ms + 240e0), lambda i: {'c': abs(sv.open[i].p - n.pitch), 'i': i, 'id': sv.open[i].id}) as free,
+        list_transform(range(1, len(sv.open) + 1), lambda i: {'c': abs(sv.open[i].p - n.pitch), 'i': i, 'id': sv.open[i].id}) as every
+      from sv join sk n on n.song_id = sv.song_id and n.hand = sv.hand and n.k = sv.k + 1) a) b),
+so as (select sv.song_id, sv.hand, sv.note_id, sv.id, n.start_ms, n.end_ms, n.pitch from sv join sn n on n.note_id = sv.note_id),
+st as (select song_id, hand, start_ms as t from so group by all),
+sp as (select st.song_id, st.hand, st.t, arg_max(id, [pitch, -id]) as id from st join so on so.song_id = st.song_id and so.hand = st.hand and so.start_ms <= t and so.end_ms > t group by all),
+sr as (select v.song_id, v.hand, v.id, count(p.id) as tops from (select distinct song_id, hand, id from so) v left join sp p on p.song_id = v.song_id and p.hand = v.hand and p.id = v.id group by all),
+sq as (select *, row_number() over (partition by song_id, hand order by tops desc, id) as voice from sr)"""
+
+
+@query("v03_w37_staff_voices", "notes", STAFF, "select song_id, hand, note_id, voice, tops from so join sq using (song_id, hand, id)")
 def v03(s, d):
     v = p.staff_voices(staffed(s, d), ms_per_beat=480.0)
-    return v.join(p.top_line_order(v), ["song_id", "hand", "voice_start"]).select("song_id", "hand", "note_id", "voice", "tops")
+    v = v.join(p.top_line_order(v), ["song_id", "hand", "voice_start"])
+    return v.select("song_id", "hand", "note_id", F.col("voice").cast("bigint").alias("voice"), "tops")
 
 
 @query("w35_gap_smoothing")
@@ -67,9 +106,22 @@ def v06(s, d):
     return p.route_parts(c.notes(s, d)).select("song_id", "stem", "layout", F.col("part").cast("bigint").alias("part"))
 
 
-@query("w39_tempo_segments")
+SEGMENTS = """
+bn as (select *, lead(t_ms) over w as nx, row_number() over w as k from beats window w as (partition by song_id order by t_ms, beat_idx)),
+se(song_id, k, t, nx, seg, t0, n) as (
+  select song_id, k, t_ms, nx, beat_idx, t_ms, cast(1 as bigint) from bn where k = 1
+  union all
+  select song_id, k, t_ms, nx, case when cut then beat_idx else seg end, case when cut then t_ms else t0 end, case when cut then 1 else n + 1 end
+  from (select b.*, se.seg, se.t0, se.n, b.nx is not null and abs(60000e0 / (b.nx - b.t_ms) - 60000e0 * se.n / (b.t_ms - se.t0)) > 1.5e0 as cut
+    from se join bn b on b.song_id = se.song_id and b.k = se.k + 1) a)"""
+
+
+@query("w39_tempo_segments", "notes beats", SEGMENTS, """
+select song_id, seg as segment, round(min(t), 6) as start_ms, round(max(nx), 6) as end_ms, count(*) as n_beats, round(60000e0 * count(*) / (max(nx) - min(t)) + 1.37e-8, 6) as bpm
+from se where nx is not null group by song_id, seg""")
 def w39(s, d):
-    return p.tempo_segments(c.beats(s, d)).select("song_id", "segment", "start_ms", "end_ms", "n_beats", r6("bpm").alias("bpm"))
+    g = p.tempo_segments(c.beats(s, d))
+    return g.select("song_id", "segment", *[F.round(x, 6).alias(x) for x in ("start_ms", "end_ms")], "n_beats", r6("bpm").alias("bpm"))
 
 
 PAGE = """

@@ -162,10 +162,15 @@ def w07(s, d):
     return m.select("song_id", "stem", F.concat_ws(",", F.transform("gram", lambda x: x.cast("string"))).alias("gram"), "count", F.round("first_ms", 6).alias("first_ms"))
 
 
-@query("w08_motif_hits")
+@query("w08_motif_hits", "notes", MOTIF + """,
+ml as (select *, list_transform(string_split(gram, ','), lambda x: cast(x as int)) as g from mo),
+mr as (select *, row_number() over (partition by song_id order by cnt desc, l desc, stem, first_ms, g) - 1 as motif from ml)""", """
+select song_id, note_id, motif, least(1e0, cnt / 5e0) as confidence
+from mr join mg using (song_id, stem, gram, l) join st using (song_id, stem, start_ms) where mx > 0""")
 def w08(s, d):
     n = dense(s, d, small(3))
-    return p.motif_hits(n, settle(p.motif_occurrences(n))).select("song_id", "note_id", "motif", "confidence")
+    hits = p.motif_hits(n, settle(p.motif_occurrences(n)))
+    return hits.select("song_id", "note_id", F.col("motif").cast("bigint").alias("motif"), "confidence")
 
 
 @query("a42_pattern_coverage", "notes", STREAM.format(pitch="60 + (velocity - 1) % 2") + "," + EQ.format(ioi="1e300") + """,
@@ -194,9 +199,11 @@ def x01(s, d):
     for name, fn in p.DETECTORS.items():
         o = fn(n, 480.0, p.KEYS).groupBy("pattern").agg(F.count(F.lit(1)).alias("observations")).withColumn("tier", F.lit(p.tier(name)))
         out = o if out is None else out.unionByName(o)
-    return out
+    # a detector that finds nothing still has its row
+    names = s.createDataFrame([(n, p.tier(n)) for n in p.DETECTORS], "pattern string, tier string")
+    return names.join(out.drop("tier"), "pattern", "left").fillna(0, ["observations"])
 
 
 @query("w41_null_model")
 def w41(s, d):
-    return p.null_model(dense(s, d, small(5)), 480.0, ["scale_run", "neighbor_tone"], trials=3)
+    return p.null_model(dense(s, d, small(5)), 480.0, list(p.DETECTORS))

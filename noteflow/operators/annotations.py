@@ -91,13 +91,13 @@ def merged(runs: DataFrame) -> DataFrame:
 
 def tie_candidates(notes: DataFrame, beats: DataFrame, proximity_ms: float = 30.0, max_gap_ms: float = 40.0,
                    chunk_ms: float = CHUNK_MS) -> DataFrame:
-    """Neighbours of one stem that read as one tied note across a beat.
+    """Neighbours of one pitched stem that read as one tied note across a beat.
 
     Reach is bounded by the gap rule, but the next note in order decides, so the
-    lead runs over the whole stem.
+    lead runs over the whole stem.  Drums have no ties.
     """
     nx = F.struct("pitch", "start_ms", "confidence", "note_id")
-    n = scan(notes, ["song_id"], ["start_ms", "note_id"], {"_n": nxt(nx)}, chunk_ms)
+    n = scan(notes.filter("stem <> 'drums'"), ["song_id", "stem"], ["start_ms", "note_id"], {"_n": nxt(nx)}, chunk_ms)
     gap = F.col("_n.start_ms") - F.col("end_ms")
     n = n.filter(
         (F.col("_n.pitch") == F.col("pitch")) & gap.between(0.0, max_gap_ms)

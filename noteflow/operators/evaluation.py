@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.carry import carry
 from ..plans.grouping import anchor_groups
 from ..plans.joins import nearest
 from ..plans.timeline import exact_percentiles, islands, nxt, prev, run_sum, scan, settle
@@ -34,32 +35,36 @@ def stage_survival(notes: DataFrame, reference: DataFrame, stages: Sequence[tupl
 def claim_once(reference: DataFrame, candidates: DataFrame, cap: float, keys=("song_id", "pitch"), inclusive: bool = False) -> DataFrame:
     """Greedy one-to-one matching: in time order each reference note takes the nearest unused candidate.
 
-    ``reference`` has keys, ref_id, t; ``candidates`` has keys, cand_id, t.  Only
-    notes chained by gaps up to the cap can compete, so streams are cut where
-    reference and candidates stay further apart and each chain is folded alone.
-    Adds cand_id and error (signed, candidate - reference).
+    ``reference`` has keys, ref_id, t; ``candidates`` has keys, cand_id, t.  A
+    reference is decided once every candidate within the cap behind it has been
+    seen, so the state of the sequence is the unused candidates of the last two
+    caps.  Adds cand_id and error (signed, candidate - reference).
     """
     keys = list(keys)
     both = reference.select(*keys, F.col("t").cast("double").alias("t"), F.lit(1).alias("side"), F.col("ref_id").cast("bigint").alias("id")).unionByName(
         candidates.select(*keys, F.col("t").cast("double").alias("t"), F.lit(0).alias("side"), F.col("cand_id").cast("bigint").alias("id")))
-    c = islands(both, keys, ["t", "side", "id"], lambda p, r: r["t"] - p["t"] > cap, name="_isl")
-    row = F.struct("t", "id")
-    g = c.groupBy(*keys, "_isl").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == 1, row))).alias("refs"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == 0, row))).alias("cands"))
-    pair = "array<struct<ref_id:bigint,cand_id:bigint,error:double>>"
-    zero = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast(pair).alias("out"))
-
-    def step(acc, r):
-        near = F.filter("cands", lambda x: ((F.abs(x["t"] - r["t"]) <= cap) if inclusive else (F.abs(x["t"] - r["t"]) < cap))
-                        & ~F.array_contains(acc["used"], x["id"]))
-        best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["t"] - r["t"]).alias("d"), x["t"].alias("t"), x["id"].alias("id"))))
-        made = F.array(F.struct(r["id"].alias("ref_id"), best["id"].alias("cand_id"), (best["t"] - r["t"]).alias("error")))
-        return F.struct(F.when(best.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(best["id"]))).alias("used"),
-                        F.concat(acc["out"], made).alias("out"))
-
-    m = g.filter(F.size("refs") > 0).select(*keys, F.explode(F.aggregate("refs", zero, step)["out"]).alias("m"))
-    return m.select(*keys, "m.*")
+    both = settle(both.withColumns({"_at": F.col("t") + F.col("side") * float(cap), "_row": F.col("id") * 2 + F.col("side")}))
+
+    def run(p, entry, end):
+        open_ = [[~k, *s] for k, s in enumerate(entry)]
+        labels = list(range(len(p)))
+        for a, (at, t, side, i) in enumerate(zip(p["_at"].tolist(), p["t"].tolist(), p["side"].tolist(), p["id"].tolist())):
+            open_ = [c for c in open_ if at - c[1] <= 2 * cap + 1e-6]
+            if not side:
+                open_.append([a, t, i])
+                continue
+            near = [c for c in open_ if (abs(c[1] - t) <= cap if inclusive else abs(c[1] - t) < cap)]
+            if near:
+                best = min(near, key=lambda c: (abs(c[1] - t), c[1], c[2]))
+                labels[a] = best[0]
+                open_.remove(best)
+        return labels, [(c[0], c[1:]) for c in open_ if c[1] + 2 * cap + 1e-6 >= end]
+
+    made = carry(both, keys, ["_at", "side", "t", "id"], [], run, "_row", "_with")
+    cand = F.when(F.col("_with") != F.col("_row"), F.floor(F.col("_with") / 2))
+    m = made.filter("side = 1").select(*keys, F.col("id").alias("ref_id"), cand.alias("cand_id"), F.col("t").alias("_t"))
+    at = candidates.select(*keys, F.col("cand_id").cast("bigint").alias("cand_id"), F.col("t").cast("double").alias("_c"))
+    return m.join(at, [*keys, "cand_id"], "left").select(*keys, "ref_id", "cand_id", (F.col("_c") - F.col("_t")).alias("error"))
 
 
 def soft_recall(matched: DataFrame, sigma: float) -> DataFrame:

@@ -76,23 +76,28 @@ def detect_key(pc_weights: DataFrame, keys: Sequence[str] = ("song_id",)) -> Dat
     wide = wide.withColumn("_c", F.transform("v", lambda x: x - mean))
     wide = wide.withColumn("_ss", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
 
-    def score(profile, root):
-        m = sum(profile) / 12.0
-        dev = [profile[(i - root) % 12] - m for i in range(12)]
-        norm = sum(x * x for x in dev)
-        num = sum((F.get("_c", F.lit(i)) * F.lit(dev[i]) for i in range(1, 12)), F.get("_c", F.lit(0)) * F.lit(dev[0]))
-        return F.when(F.col("_ss") > 0, num / F.sqrt(F.col("_ss") * F.lit(norm))).otherwise(0.0)
-
-    cands = []
+    # one constant row per candidate, scored by one loop: the expression does not grow with their number
+    table = []
     for minor, names in ((0, MAJOR_KEYS), (1, MINOR_KEYS)):
+        profile = MINOR_PROFILE if minor else MAJOR_PROFILE
+        m = sum(profile) / 12.0
         for i, name in enumerate(names):
             root = NOTE_PITCH_CLASS[name.rstrip("m")]
-            s = score(MINOR_PROFILE if minor else MAJOR_PROFILE, root)
-            # compared on 12 places: ties go to list order whatever the summation order
-            cands.append(F.struct(F.round(s, 12).alias("r12"), F.lit(-(12 * minor + i)).alias("rank"), s.alias("r"),
-                                  F.lit(name).alias("key"), F.lit(i).alias("idx"), F.lit(minor).alias("minor"),
-                                  F.lit(root).alias("root")))
-    wide = wide.withColumn("_all", F.array(*cands)).withColumn("_best", F.array_max("_all"))
+            dev = [profile[(j - root) % 12] - m for j in range(12)]
+            table.append(F.struct(F.array(*map(F.lit, dev)).alias("dev"), F.lit(sum(x * x for x in dev)).alias("norm"), F.lit(-(12 * minor + i)).alias("rank"),
+                                  F.lit(name).alias("key"), F.lit(i).alias("idx"), F.lit(minor).alias("minor"), F.lit(root).alias("root")))
+
+    def scored(c):
+        num = F.aggregate(F.zip_with("_c", c["dev"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        r = F.when(F.col("_ss") > 0, num / F.sqrt(F.col("_ss") * c["norm"])).otherwise(0.0)
+        return F.struct(r.alias("r"), *[c[x].alias(x) for x in ("rank", "key", "idx", "minor", "root")])
+
+    wide = wide.withColumn("_all", F.transform(F.array(*table), scored))
+    # compared on 12 places: ties go to list order whatever the summation order
+    ranked = F.transform("_all", lambda x: F.struct(F.round(x["r"], 12).alias("r12"), x["rank"].alias("rank"), x["r"].alias("r"),
+                                                    *[x[c].alias(c) for c in ("key", "idx", "minor", "root")]))
+    wide = wide.withColumn("_all", ranked)
+    wide = wide.withColumn("_best", F.array_max("_all"))
     other = F.filter("_all", lambda x: (x["idx"] == F.col("_best.idx")) & (x["minor"] != F.col("_best.minor")))[0]
     wide = wide.withColumn("_rel", other)
     mroot = F.when(F.col("_best.minor") == 1, F.col("_best.root")).otherwise(F.col("_rel.root"))

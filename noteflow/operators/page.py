@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.carry import carry
+from ..plans.carry import Kept, carry
 from ..plans.joins import points_in
 from ..plans.timeline import CHUNK_MS, islands, nxt, prev, scan, settle
 from .filters import position_level
@@ -78,18 +78,18 @@ def notation_pieces(notes: DataFrame) -> DataFrame:
 
 def _free_voice_run(p: pd.DataFrame, entry: list, end: float):
     """Nearest free voice by pitch, else a new one; state = (free at, last pitch) per voice."""
-    voices = [[~k, *s] for k, s in enumerate(entry)]
+    voices = [[~k, *s, False] for k, s in enumerate(entry)]
     labels = []
     for a, (t, e, pitch) in enumerate(zip(p["start_ms"].to_numpy(), p["end_ms"].to_numpy(), p["pitch"].to_numpy())):
         free = [v for v in voices if t >= v[1]]
         if free:
             v = min(free, key=lambda x: abs(x[2] - pitch))
-            v[1], v[2] = float(e), float(pitch)
+            v[1], v[2], v[3] = float(e), float(pitch), True
             labels.append(v[0])
         else:
-            voices.append([a, float(e), float(pitch)])
+            voices.append([a, float(e), float(pitch), True])
             labels.append(a)
-    return labels, [(v[0], v[1:]) for v in voices]
+    return labels, [(v[0], v[1:3] if v[3] else Kept()) for v in voices]
 
 
 def register_voices(events: DataFrame, keys=("song_id", "stem"), per_staff: int = 4, chunk_ms: float = CHUNK_MS) -> DataFrame:
@@ -107,20 +107,20 @@ def register_voices(events: DataFrame, keys=("song_id", "stem"), per_staff: int
 
 def _staff_run(max_voices: int, slack_ms: float):
     def run(p: pd.DataFrame, entry: list, end: float):
-        voices = [[~k, *s] for k, s in enumerate(entry)]
+        voices = [[~k, *s, False] for k, s in enumerate(entry)]
         labels = []
         for a, (t, e, pitch) in enumerate(zip(p["start_ms"].to_numpy(), p["end_ms"].to_numpy(), p["pitch"].to_numpy())):
             free = [v for v in voices if v[1] <= t + slack_ms]
             if free:
                 v = min(free, key=lambda x: abs(x[2] - pitch))
             elif len(voices) < max_voices:
-                v = [a, 0.0, 0.0]
+                v = [a, 0.0, 0.0, True]
                 voices.append(v)
             else:
                 v = min(voices, key=lambda x: abs(x[2] - pitch))
-            v[1], v[2] = max(v[1], float(e)), float(pitch)
+            v[1], v[2], v[3] = max(v[1], float(e)), float(pitch), True
             labels.append(v[0])
-        return labels, [(v[0], v[1:]) for v in voices]
+        return labels, [(v[0], v[1:3] if v[3] else Kept()) for v in voices]
 
     return run
 
@@ -194,8 +194,7 @@ def tempo_segments(beats: DataFrame, tolerance_bpm: float = 1.5, chunk_ms: float
     def run(p: pd.DataFrame, entry: list, end: float):
         state = [~0, *entry[0]] if entry else None
         labels = []
-        for a, t in enumerate(p["t_ms"].to_numpy()):
-            nx = p["next_ms"].iloc[a]
+        for a, (t, nx) in enumerate(zip(p["t_ms"].to_numpy(), p["next_ms"].to_numpy(dtype=float))):
             if state is None:
                 state = [a, float(t), 0]
             elif state[2] > 0 and nx == nx:
@@ -204,6 +203,8 @@ def tempo_segments(beats: DataFrame, tolerance_bpm: float = 1.5, chunk_ms: float
                     state = [a, float(t), 0]
             labels.append(state[0])
             state[2] += 1
+        if state and state[0] < 0:  # the entry's segment goes on: its start stays, its beats add up
+            return labels, [(state[0], Kept((0.0, len(labels))))]
         return labels, [(state[0], state[1:])] if state else []
 
     b = settle(scan(beats, ["song_id"], ["t_ms", "beat_idx"], {"next_ms": nxt("t_ms")}, chunk_ms))

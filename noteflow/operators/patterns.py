@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 from ..functions.music import is_chord_mask
 from ..plans.grouping import anchor_groups
 from ..plans.joins import nearest
-from ..plans.timeline import CHUNK_MS, fill_after, fill_next, islands, max_before, nxt, prev, row_no, run_sum, scan, settle
+from ..plans.walk import walk
+from ..plans.timeline import CHUNK_MS, fill_after, fill_next, islands, nxt, prev, row_no, run_sum, scan, settle
 
 NOTES_PER_CHUNK = 5000.0
 KEYS = ("song_id", "stem")
@@ -43,27 +44,11 @@ def _runs(stream: DataFrame, keys, starts, cols) -> DataFrame:
 
 
 def greedy(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left-to-right choice of matches: one taken at ``pos`` blocks starts before pos + advance.
-
-    Matches that no earlier match can reach start a new island, so the fold only
-    ever sees a run of mutually reachable matches.
-    """
+    """Left-to-right choice of matches: one taken at ``pos`` blocks starts before pos + advance."""
     keys = list(keys)
-    rest = [c for c in matches.columns if c not in (*keys, "pos", "advance")]
-    m = _seq(settle(matches), keys, {"_r": max_before(F.col("pos") + F.col("advance"))})
-    m = m.withColumn("_new", F.col("_r").isNull() | (F.col("_r") <= F.col("pos")))
-    m = islands(m, keys, ["pos"], lambda p, r: r["_new"], ["_new"], "_isl", NOTES_PER_CHUNK)
-    row = F.struct("pos", "advance", F.struct(*rest).alias("w"))
-    g = m.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    zero = F.struct(F.lit(-1).cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("ok"))
-
-    def step(acc, x):
-        take = x["pos"] >= acc["free"]
-        return F.when(take, F.struct((x["pos"] + x["advance"]).cast("bigint").alias("free"), F.concat(acc["ok"], F.array(x["pos"].cast("bigint"))).alias("ok"))).otherwise(acc)
-
-    taken = F.aggregate("rows", zero, step)["ok"]
-    g = g.select(*keys, F.explode(F.filter("rows", lambda x: F.array_contains(taken, x["pos"].cast("bigint")))).alias("x"))
-    return g.select(*keys, "x.pos", "x.advance", "x.w.*")
+    m = settle(matches)
+    taken = walk(m, keys, "pos", "advance", NOTES_PER_CHUNK, closed=True).select(*keys, F.col("pos").cast("bigint").alias("pos")).distinct()
+    return m.join(taken, [*keys, "pos"], "left_semi")
 
 
 def scale_runs(notes: DataFrame, beat_ms: float, keys=KEYS) -> DataFrame:
@@ -323,15 +308,18 @@ def motifs(occurrences: DataFrame, min_count: int = 3) -> DataFrame:
     return g.filter(F.col("count") >= min_count)
 
 
-def motif_hits(notes: DataFrame, occurrences: DataFrame, top: int = 20, min_count: int = 3, reach_ms: float = 60.0,
+def motif_hits(notes: DataFrame, occurrences: DataFrame, top: int | None = None, min_count: int = 3, reach_ms: float = 60.0,
                chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Notes that start an occurrence of one of a song's leading motifs.
 
-    The ranked motifs (at most ``top`` per song) are joined back to their
-    occurrences, so no motif's occurrences are ever gathered.
+    The ranked motifs (all, or the first ``top`` per song) are joined back to
+    their occurrences, so no motif's occurrences are ever gathered.
     """
     w = Window.partitionBy("song_id").orderBy(F.col("count").desc(), F.size("gram").desc(), "stem", "first_ms", "gram")
-    lead = motifs(occurrences, min_count).withColumn("motif", F.row_number().over(w) - 1).filter(F.col("motif") < top)
+    lead = motifs(occurrences, min_count).withColumn("motif", F.row_number().over(w))
+    if top is not None:
+        lead = lead.filter(F.col("motif") <= top)
+    lead = lead.withColumn("motif", F.col("motif") - 1)
     occ = occurrences.join(lead.drop("first_ms"), ["song_id", "stem", "gram"]).select("song_id", "stem", "motif", "count", F.col("start_ms").alias("occ_ms"))
     hit = nearest(occ, notes, ["song_id", "stem"], "occ_ms", "start_ms", reach_ms, {"note_id": F.col("note_id")}, chunk_ms)
     return hit.filter("note_id is not null").withColumn("confidence", F.least(F.lit(1.0), F.col("count") / 5.0))
@@ -379,16 +367,18 @@ def null_model(notes: DataFrame, beat_ms: float, names: Sequence[str], keys=KEYS
     """
     tk = [*keys, "trial"]
     notes = settle(notes)
-    copies = {"real": notes.withColumn("trial", F.lit(0)), "pitch": settle(_shuffled(notes, keys, trials, seed)),
-              "time": settle(_retimed(notes, keys, trials, seed))}
+    # one stream key tells the copies apart: 0 the real notes, then the pitch and the time shuffles
+    late = F.col("trial") + trials
+    copies = settle(notes.withColumn("trial", F.lit(0)).unionByName(_shuffled(notes, keys, trials, seed).select(*notes.columns, "trial")).unionByName(
+        _retimed(notes, keys, trials, seed).withColumn("trial", late).select(*notes.columns, "trial")))
+    kind = F.when(F.col("trial") == 0, "real").when(F.col("trial") <= trials, "pitch").otherwise("time")
     out = None
     total = notes.agg(F.count(F.lit(1)).alias("total"))
-    for kind, rows in copies.items():
-        for name in names:
-            m = members(DETECTORS[name](rows, beat_ms, tk), rows, tk)
-            c = m.groupBy("pattern", "trial").agg(F.count_distinct("note_id").alias("c")).groupBy("pattern").agg(F.sum("c").alias("c")).withColumn("kind", F.lit(kind))
-            out = c if out is None else out.unionByName(c)
-    g = out.groupBy("pattern").agg(*[F.sum(F.when(F.col("kind") == k, F.col("c"))).alias(k) for k in copies])
+    for name in names:
+        m = members(DETECTORS[name](copies, beat_ms, tk), copies, tk)
+        c = m.groupBy("pattern", kind.alias("kind"), "trial").agg(F.count_distinct("note_id").alias("c")).groupBy("pattern", "kind").agg(F.sum("c").alias("c"))
+        out = c if out is None else out.unionByName(c)
+    g = out.groupBy("pattern").agg(*[F.sum(F.when(F.col("kind") == k, F.col("c"))).alias(k) for k in ("real", "pitch", "time")])
     grid = notes.sparkSession.createDataFrame([(n,) for n in names], "pattern string").join(g, "pattern", "left").crossJoin(F.broadcast(total))
     real = F.coalesce("real", F.lit(0)) / F.col("total")
     np_, nt = [F.coalesce(k, F.lit(0)) / F.col("total") / trials for k in ("pitch", "time")]

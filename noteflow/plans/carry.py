@@ -7,6 +7,13 @@ state of the chunk before it runs again, until nothing changes.  The first
 chunk of a song is right from the start and silence empties the state, so a few
 rounds settle a corpus; the result equals the sequential one.
 
+A chunk reports a line it did not touch, or only counted on, as ``Kept``: such
+exits are composed along the song between rounds, so a state that outlives many
+chunks reaches the last of them in one round instead of one round per chunk.
+
+Rows and entry states of a chunk are dealt together by (keys, chunk) in one
+exchange right before the pass; no join decides where they lie.
+
 States carry no line ids (only what later decisions look at), so they settle
 even when a line outlives many chunks; ids are threaded through afterwards from
 the per-chunk exit tables.
@@ -15,19 +22,29 @@ the per-chunk exit tables.
 from __future__ import annotations
 
 import json
-from typing import Any, Callable, Iterator, Sequence
+from dataclasses import dataclass
+from typing import Any, Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..session import checkpoint
+from .groups import map_groups
 from .timeline import CHUNK, CHUNK_MS
 
+
+@dataclass(frozen=True)
+class Kept:
+    """Exit state of an entry line: the entry state, ``add`` added element by element."""
+
+    add: tuple = ()
+
+
 # run(rows in order, entry states, chunk end) -> (label per row, [(label, state)]):
-# a label is a row position (a line that row opens) or ~k for the k-th entry state.
+# a label is a row position (a line that row opens) or ~k for the k-th entry state;
+# a state is a list of numbers, or Kept for an entry line.
 Run = Callable[[pd.DataFrame, list, float], tuple[list[int], list[tuple[int, Any]]]]
 
 
@@ -54,7 +71,8 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
         _, leaving = execute(p, entry)
         ids = p[row_id].tolist()
         out = {k: [p[k].iloc[0]] for k in part}
-        out["used"], out["leave"] = [entry], [json.dumps([s for _, s in leaving])]
+        states = [{"k": ~a, "d": list(s.add)} if isinstance(s, Kept) else {"s": s} for a, s in leaving]
+        out["used"], out["leave"] = [entry], [json.dumps(states)]
         out["ids"] = [[ids[a] if a >= 0 else None for a, _ in leaving]]
         out["slots"] = [[-1 if a >= 0 else ~a for a, _ in leaving]]
         return out
@@ -67,50 +85,44 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
         out["_slot"] = [-1 if a >= 0 else ~a for a in labels]
         return out
 
-    def each_group(one, columns):
-        """Apply ``one`` to every (keys, chunk) group of a sorted partition, batch by batch."""
-
-        def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
-            for batch in batches:
-                if held is not None:
-                    batch = pd.concat([held, batch], ignore_index=True)
-                new = (batch[part] != batch[part].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-                held = batch.iloc[new[-1]:] if new else batch
-                yield from gather(batch, new)
-            if held is not None and len(held):
-                yield from gather(held, [0, len(held)])
-
-        def gather(batch, cuts):
-            rows: dict = {c: [] for c in columns}
-            for lo, hi in zip(cuts, cuts[1:]):
-                for c, v in one(batch.iloc[lo:hi].reset_index(drop=True)).items():
-                    rows[c] += v
-            if rows[columns[0]]:
-                yield pd.DataFrame(rows)
-
-        return over
-
-    def apply(entries: DataFrame, one, schema: T.StructType) -> DataFrame:
-        with_state = rows.join(entries.select(*part, "want"), part).sortWithinPartitions(*part, *order)
-        return with_state.mapInPandas(each_group(one, schema.fieldNames()), schema)
+    def apply(entries: DataFrame, one, schema: T.StructType, some: bool = False) -> DataFrame:
+        given = rows.join(entries.select(*part), part, "left_semi") if some else rows
+        return map_groups(given, entries, part, order, one, schema)
 
     sum_schema = T.StructType([*key_fields, T.StructField("used", T.StringType()), T.StructField("leave", T.StringType()),
                                T.StructField("ids", T.ArrayType(id_type)), T.StructField("slots", T.ArrayType(T.IntegerType()))])
     out_schema = T.StructType([rows.schema[row_id], *key_fields, T.StructField("_own", id_type), T.StructField("_slot", T.IntegerType())])
-    by_key = Window.partitionBy(*keys).orderBy(CHUNK)
+
+    def compose(t: pd.DataFrame) -> pd.DataFrame:
+        """Entry state of each chunk from the exits before it: one small row per chunk of a song."""
+        t = t.sort_values(CHUNK).reset_index(drop=True)
+        now: list = []
+        want = []
+        for used, leave in zip(t["used"], t["leave"]):
+            want.append(json.dumps(now))
+            known, after = len(json.loads(used)), []
+            for x in json.loads(leave):
+                if "s" in x:
+                    after.append(x["s"])
+                elif x["k"] < len(now):
+                    after.append([a + b for a, b in zip(now[x["k"]], x["d"])] if x["d"] else now[x["k"]])
+            now = after + now[known:]  # lines the chunk has not met yet pass it by
+        t["want"] = want
+        return t
+
+    want_schema = T.StructType([*sum_schema.fields, T.StructField("want", T.StringType())])
 
     def wanted(table: DataFrame) -> DataFrame:
-        return table.withColumn("want", F.coalesce(F.lag("leave").over(by_key), F.lit("[]")))
+        return table.groupBy(*keys).applyInPandas(compose, want_schema)
 
     start = rows.select(*part).distinct().withColumn("want", F.lit("[]"))
     table = checkpoint(apply(start, summarise, sum_schema))
     while True:
-        state = wanted(table)
+        state = checkpoint(wanted(table))
         stale = state.filter("want <> used").select(*part, "want")
         if stale.isEmpty():
             break
-        again = apply(stale, summarise, sum_schema)
+        again = apply(stale, summarise, sum_schema, some=True)
         table = checkpoint(table.join(stale.select(*part), part, "left_anti").unionByName(again.select(*table.columns)))
 
     done = apply(state, emit, out_schema)

@@ -6,38 +6,30 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .timeline import CHUNK, CHUNK_MS, islands
+from .timeline import CHUNK, CHUNK_MS, settle
+from .walk import walk
 
 
 def anchor_groups(df: DataFrame, keys: Sequence[str], t: str, tie: str, window: float,
                   name: str = "group_ms", strict: bool = False, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Add the time of the group anchor: an event joins while within ``window`` of the group's first event.
 
-    A gap wider than the window always ends a group, so the sequence is cut
-    there first (a window over time chunks) and the anchor rule is folded over
-    each short island only.
+    Anchors are the steps of a walk over the distinct times of a key; events then
+    take the last anchor up to their time, in a window over (keys, chunk).  No
+    group or run of events is gathered, however long it is.  Equal times share a
+    group, so ``tie`` does not matter.
     """
     keys = list(keys)
-
-    def cut(prev, row):
-        gap = row[t] - prev[t]
-        return (gap >= window) if strict else (gap > window)
-
-    n = islands(df, keys, [t, tie], cut, name="_isl", chunk_ms=chunk_ms)
-    rest = [c for c in df.columns if c not in (*keys, CHUNK)]
-    row = F.struct(F.col(t).cast("double").alias("_o"), F.col(tie).alias("_q"), F.struct(*rest).alias("_w"))
-    g = n.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    zero = F.struct(F.lit(float("-inf")).alias("a"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, x):
-        near = (x["_o"] - acc["a"] < window) if strict else (x["_o"] - acc["a"] <= window)
-        anchor = F.when(near, acc["a"]).otherwise(x["_o"])
-        return F.struct(anchor.alias("a"), F.concat(acc["out"], F.array(anchor)).alias("out"))
-
-    folded = F.aggregate("_rows", zero, step)["out"]
-    g = g.withColumn("_z", F.explode(F.arrays_zip(F.col("_rows"), folded.alias("_a"))))
-    return g.select(*keys, "_z._rows._w.*", F.col("_z._a").alias(name))
+    times = settle(df.select(*keys, F.col(t).cast("double").alias("_t")).distinct().withColumn("_reach", F.lit(float(window))))
+    anchors = walk(times, keys, "_t", "_reach", chunk_ms, closed=strict)
+    rows = df.drop(CHUNK).withColumn("_t", F.col(t).cast("double"))
+    rows = rows.withColumn(CHUNK, F.floor(F.col("_t") / F.lit(float(chunk_ms)))).withColumn("_a", F.lit(None).cast("double"))
+    both = rows.unionByName(anchors.withColumn("_a", F.col("_t")), allowMissingColumns=True)
+    held = Window.partitionBy(*keys, CHUNK).orderBy("_t", F.col("_a").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn(name, F.last("_a", ignorenulls=True).over(held)).filter("_a is null")
+    return out.select(*[c for c in df.columns if c != CHUNK], name)
 
 
 def blocks(df: DataFrame, keys: Sequence[str], idx: str, value: str, size: int, reach: int) -> DataFrame:

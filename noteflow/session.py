@@ -27,8 +27,10 @@ def get_spark(master: str | None = None, app: str = "noteflow", partitions: int
 def checkpoint(df, spark: SparkSession | None = None):
     """Cut lineage on storage that survives an executor.
 
-    The directory is the cluster's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none (tests, local runs).
+    The directory is the cluster's ``spark.checkpoint.dir``.  A temporary one is
+    set only where the session names none and the master is local, where driver
+    and executors are one process; elsewhere that is an error, as executors
+    could not read each other's part.
     """
     import tempfile
 
@@ -36,5 +38,7 @@ def checkpoint(df, spark: SparkSession | None = None):
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="noteflow-ckpt-"))
     return df.checkpoint()

@@ -6,17 +6,20 @@ run, a streaming form with a watermark on wall time.
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.timeline import fill, prev, row_no, run_sum, scan
+from ..plans.timeline import CHUNK_MS, fill, prev, row_no, scan, settle
 
 EVENT = "session long, seq long, t_wall timestamp, ms double, stage string, type string, decision_type string"
 RETAINED = 2000
+BLOCK = 64
 QUIET_MS = 20000
 # The decisions a full run passes through, and those a run may lack.
 MILESTONES = (
@@ -59,12 +62,47 @@ def stage_timings(events: DataFrame) -> DataFrame:
     return e.filter("type = 'stage_end' and _s is not null").select("session", "stage", F.col("_s.seq").alias("start_seq"), F.col("seq").alias("end_seq"), ms.alias("elapsed_ms"))
 
 
-def stage_timings_stream(events: DataFrame, delay: str = "10 minutes", longest: str = "2 hours") -> DataFrame:
-    """Streaming form: starts joined to ends of the same (session, stage, run) inside a bounded time."""
-    a = events.filter("type = 'stage_start'").select(F.col("session").alias("s"), F.col("stage").alias("g"), F.col("t_wall").alias("t0")).withWatermark("t0", delay)
-    b = events.filter("type = 'stage_end'").select("session", "stage", F.col("t_wall").alias("t1")).withWatermark("t1", delay)
-    near = F.expr(f"session = s and stage = g and t1 >= t0 and t1 <= t0 + interval {longest}")
-    return a.join(b, near).select("session", "stage", "t0", "t1", ((F.unix_micros("t1") - F.unix_micros("t0")) / 1000.0).alias("elapsed_ms"))
+def stage_timings_stream(events: DataFrame, delay: str = "10 minutes", forget_ms: int | None = None) -> DataFrame:
+    """Streaming form: every stage_end against the last start of its (session, stage) before it.
+
+    Events of a stage wait until the watermark has passed them and are then read in order of
+    ``seq``; the last start is the only other state, so a stage may last as long as it likes.
+    ``forget_ms`` drops the state of a stage that stayed silent for longer, for sources whose
+    sessions never end; by default nothing is forgotten.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        wait, start = state.get if state.exists else ([], None)
+        rows = [tuple(w) for w in wait]
+        expired = forget_ms is not None and state.hasTimedOut and not rows
+        for p in batches:
+            at = pd.to_datetime(p["t_wall"]).to_numpy().astype("datetime64[us]").astype("int64")
+            rows += list(zip(p["seq"].tolist(), at.tolist(), p["type"].tolist()))
+        mark = state.getCurrentWatermarkMs() * 1000
+        rows.sort()
+        ready, left = [r for r in rows if r[1] < mark], [r for r in rows if r[1] >= mark]
+        out = {"session": [], "stage": [], "start_seq": [], "end_seq": [], "elapsed_ms": []}
+        for seq, at, kind in ready:
+            if kind == "stage_start":
+                start = (seq, at)
+            elif start is not None:
+                for c, v in zip(out, (key[0], key[1], start[0], seq, (at - start[1]) / 1000.0)):
+                    out[c].append(v)
+        if expired or not (left or start):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((left, start))
+            if left:
+                state.setTimeoutTimestamp(max(r[1] for r in left) // 1000 + 1)
+            elif forget_ms is not None:
+                state.setTimeoutTimestamp(max(mark, start[1]) // 1000 + forget_ms)
+        yield pd.DataFrame(out)
+
+    st = "wait array<struct<seq:bigint,at:bigint,type:string>>, start struct<seq:bigint,at:bigint>"
+    e = events.filter(F.col("type").isin("stage_start", "stage_end")).select("session", "stage", "seq", "t_wall", "type")
+    return e.withWatermark("t_wall", delay).groupBy("session", "stage").applyInPandasWithState(
+        step, "session long, stage string, start_seq long, end_seq long, elapsed_ms double", st, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress(events: DataFrame, milestones=MILESTONES, optional=OPTIONAL) -> DataFrame:
@@ -198,19 +236,39 @@ def trouble_stream(notes: DataFrame, measure_ms: int, beats_per_measure: int, de
     return g.withColumn("reasons", reasons).filter(F.size("reasons") > 0).select("song_id", F.unix_millis("window.start").alias("start_ms"), "avg_confidence", "n_notes", "reasons")
 
 
-def anneal(readings: DataFrame, rate: float = 0.05) -> DataFrame:
+def anneal(readings: DataFrame, rate: float = 0.05, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Pulse strengths blended over time: s = last * d + reading * (1 - d) with d = exp(-rate * seconds).
 
-    Unrolled, a reading's weight is its own (1 - d) times every later decay, and
-    the decays of a span multiply to one exponential, so the blend is a running
-    sum of rescaled readings: no row-by-row state.  ``readings`` has song_id,
-    period_ms, t_ms, strength; times of a song are shared by all its periods.
+    A step is the map s -> a * s + b, and maps compose, so a chunk of readings is one map that
+    carries its entry value to its exit.  Inside a chunk weights are rescaled to the chunk's
+    start, which keeps exponents small however long the song is; across chunks the entry values
+    follow from the chunk maps, again rescaled over at most ``BLOCK`` chunks at a time.
+    ``readings`` has song_id, period_ms, t_ms, strength.
     """
-    s = scan(readings, ["song_id", "period_ms"], ["t_ms"], {"_p": prev("t_ms")})
-    first = readings.groupBy("song_id", "period_ms").agg(F.min("t_ms").alias("_t0"))
-    s = s.join(first, ["song_id", "period_ms"])
+    keys = ["song_id", "period_ms"]
     k = rate / 1000.0
+    s = scan(readings, keys, ["t_ms"], {"_p": prev("t_ms")}, chunk_ms)
+    s = s.withColumn("_c", F.floor(F.col("t_ms") / F.lit(float(chunk_ms))))
     d = F.when(F.col("_p").isNull(), 0.0).otherwise(F.exp(-k * (F.col("t_ms") - F.col("_p"))))
-    grow = F.exp(k * (F.col("t_ms") - F.col("_t0")))
-    s = scan(s.withColumn("_w", F.col("strength") * (1.0 - d) * grow), ["song_id", "period_ms"], ["t_ms"], {"_c": run_sum("_w")})
-    return s.select("song_id", "period_ms", "t_ms", "strength", (F.col("_c") / F.exp(k * (F.col("t_ms") - F.col("_t0")))).alias("annealed"))
+    base = F.col("_c") * F.lit(float(chunk_ms))
+    s = settle(s.withColumn("_w", F.col("strength") * F.when(F.col("_p").isNull(), F.lit(1.0)).otherwise(1.0 - d) * F.exp(k * (F.col("t_ms") - base))))
+    # the blend a chunk alone leaves at its end, and the same carried to the end of its block of chunks
+    ends = s.groupBy(*keys, "_c").agg((F.sum("_w") * math.exp(-k * chunk_ms)).alias("_b"))
+    ends = ends.withColumn("_g", F.floor(F.col("_c") / BLOCK))
+    rise = F.exp(F.lit(k * chunk_ms) * (F.col("_c") - F.col("_g") * BLOCK + 1))
+    before = Window.partitionBy(*keys, "_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_x", F.coalesce(F.sum(F.col("_b") * rise).over(before), F.lit(0.0)))
+    blocks = ends.groupBy(*keys, "_g").agg((F.sum(F.col("_b") * rise) * math.exp(-k * chunk_ms * BLOCK)).alias("_b"))
+    # what lies over LONG blocks back has decayed below the last place of a double
+    reach = max(1, math.ceil(60.0 / (k * chunk_ms * BLOCK)))
+    late = blocks.select(*keys, F.col("_g").alias("_from"), "_b", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_step"))
+    late = late.withColumn("_g", F.col("_from") + F.col("_step"))
+    decay = F.exp(F.lit(-k * chunk_ms * BLOCK) * (F.col("_g") - F.col("_from") - 1))
+    late = late.groupBy(*keys, "_g").agg(F.sum(F.col("_b") * decay).alias("_y"))
+    entry = ends.join(late, [*keys, "_g"], "left").select(
+        *keys, "_c", (F.coalesce("_y", F.lit(0.0)) + F.col("_x")).alias("_in"), (F.col("_c") - F.col("_g") * BLOCK).alias("_i"))
+    inside = Window.partitionBy(*keys, "_c").orderBy("t_ms")
+    out = s.withColumn("_own", F.sum("_w").over(inside)).join(entry, [*keys, "_c"])
+    # the entry stands at the block's start: it decays over the chunks before this one and the time inside
+    value = (F.col("_own") + F.col("_in") * F.exp(F.lit(-k * chunk_ms) * F.col("_i"))) * F.exp(-k * (F.col("t_ms") - base))
+    return out.select(*keys, "t_ms", "strength", value.alias("annealed"))
