@@ -34,6 +34,13 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python tasks take at most ``rows`` rows at a time from here on: whole texts are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
