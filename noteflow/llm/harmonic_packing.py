@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import store
+from .storage import small_batches, store
 
 END = 1
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -41,10 +41,11 @@ class CachedEncoder:
     Texts with other white space or the special tokens' strings are encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.old_words, self.old_parts = {}, {}  # full memories are kept until the new ones are full
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a part
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -68,12 +69,16 @@ class CachedEncoder:
         return [word[:m.start()], m[0]] if m and m.start() and word[m.start() - 1].isalpha() else [word]
 
     def learn(self, words: list[str]) -> None:
-        words_known, parts_known = self.words, self.parts
-        if len(words_known) + len(parts_known) > self.most:
-            words_known.clear()
-            parts_known.clear()
-        split = {w: PARTS.findall(w.lower()) if w.isascii() else self.without_signs(w) for w in words}
+        if len(self.words) > self.most:
+            self.old_words, self.words = self.words, {}
+        if len(self.parts) > self.most:
+            self.old_parts, self.parts = self.parts, {}
+        words_known, parts_known, old_words, old_parts = self.words, self.parts, self.old_words, self.old_parts
+        words_known.update((w, old_words[w]) for w in words if w in old_words)
+        split = {w: PARTS.findall(w.lower()) if w.isascii() else self.without_signs(w) for w in words if w not in words_known}
         new = {p for parts in split.values() for p in parts}.difference(parts_known)
+        parts_known.update((p, old_parts[p]) for p in new if p in old_parts)
+        new = new.difference(old_parts)
         plain = [p for p in new if p.isascii() or p.isalpha()]
         parts_known.update(zip(plain, self.line(plain)))
         rest = list(new.difference(plain))
@@ -84,13 +89,24 @@ class CachedEncoder:
         if "<|" in text or ODD_SPACE.search(text):
             return self.direct([text])[0]
         words = text.split()
+        distinct = set(words)
+        if missing := distinct.difference(self.words):
+            # a memory that is full is replaced, and then lacks all words of this text
+            self.learn(list(distinct if len(self.words) > self.most else missing))
         known = self.words
-        missing = set(words).difference(known)
-        if missing:
-            self.learn(words if len(known) + len(self.parts) > self.most else list(missing))
         return b"".join([known[w] for w in words])
 
 
+_encoders: dict[str, CachedEncoder] = {}
+
+
+def encoder_of(path: str) -> CachedEncoder:
+    """This process's encoder: workers that serve several tasks keep its memory."""
+    if path not in _encoders:
+        _encoders[path] = CachedEncoder(path)
+    return _encoders[path]
+
+
 def cuts(length: int, capacity: int, waste: float = 0.02, floor: int = 16) -> list[tuple[int, int]]:
     """Pieces (length, class) of a document of ``length`` tokens, in order.
 
@@ -114,10 +130,11 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capaci
 
     ``row`` tells repeated rows apart.  A null or empty text is the end token alone.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = CachedEncoder(tokenizer), array.array("I", [END]).tobytes()
+        encoder, end = encoder_of(tokenizer), array.array("I", [END]).tobytes()
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("row", "id", "start", "length", "ids", "doc_tokens", "class")}
             for row, i, text in zip(b["row"].tolist(), b["id"].tolist(), b["text"].tolist()):
