@@ -8,6 +8,7 @@ model is a short list of (coordinate, weight).
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 BITS = 20
 WORDS = re.compile(r"\w+")
 MULT = np.uint64(0x9E3779B97F4A7C15)  # odd multipliers that keep the four kinds apart
@@ -100,17 +103,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, passes: int = 4, alpha: floa
     return Weights(index.astype(np.int32), w[index].astype(np.float32), float(bias()), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 20_000, **options) -> Weights:
-    """Fit on a bounded sample: about ``max_rows`` rows of ``labels`` with the smallest hash of the id, whole texts.
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 12_000, **options) -> Weights:
+    """Fit on a bounded sample of ``labels``: about ``max_rows`` rows, a third of them at most with label 1, whole texts.
 
-    The sample of ids (never over twice ``max_rows``) is broadcast to the documents, whose texts
+    Of each label the rows with the smallest hash of the id are taken, and the bias is shifted
+    back by the two rates.  The sample of ids (never over twice ``max_rows``) is broadcast to the documents, whose texts
     are hashed to coordinates where they lie.  Rows with a null id, text or label are not used;
     without any row the model has no weight and a zero bias.
     """
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
+    small_batches(docs.sparkSession)
+    marks = labels.select(F.col(id_col).alias("id"), (F.col(label_col).cast("int") > 0).cast("int").alias("y")).filter("id is not null and y is not null")
+    counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     space = 1 << 20
-    cut = min(space, int(space * max_rows / max(marks.count(), 1)) + 1)
-    marks = marks.filter(F.pmod(F.xxhash64("id"), F.lit(space)) < cut).limit(2 * max_rows)
+    most = {1: max_rows // 3, 0: max_rows - max_rows // 3}
+    cut = {y: min(space, int(space * most[y] / n) + 1) for y, n in counts.items()}
+    taken = F.coalesce(*[F.when(F.col("y") == y, F.lit(c)) for y, c in cut.items()]) if cut else F.lit(0)
+    marks = marks.filter(F.pmod(F.xxhash64("id"), F.lit(space)) < taken).limit(2 * max_rows)
 
     @F.pandas_udf("binary")
     def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -121,7 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     rows = texts.join(F.broadcast(marks), "id").select("id", "y", hashed("text").alias("x")).limit(4 * max_rows)
     got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.collect())
-    return fit([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got]), **options)
+    model = fit([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got]), **options)
+    if len(cut) == 2:  # the labels were drawn at two rates: shift the odds back
+        model.bias += math.log(cut[0] / cut[1])
+    return model
 
 
 def score_texts(texts: pd.Series, table: np.ndarray, bias: float, bits: int, hasher: Hasher) -> np.ndarray:
@@ -152,4 +163,5 @@ def score(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str
     A null or empty text has the score of the bias alone.  Repeated rows give equal rows, an
     empty table an empty one; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), scorer(model)(F.col(text_col).cast("string")).alias("score"))
