@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noteflow.llm import byte_cnn, ftrl, harmonic_packing, mixing, order_minhash
 from noteflow.llm.queries import language_model, table, tokenizer_path, toxicity_model
-from noteflow.llm.storage import fresh, store
+from noteflow.llm.storage import fresh, small_batches, store
 
 MIN_LANGUAGE_SCORE = 0.4
 
@@ -24,6 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told and only null texts and texts without a letter go.
     """
     net = language_model(docs)
+    small_batches(spark)
     found = fresh(docs, "found")
     told = docs.withColumn(found, byte_cnn.detector(net)(F.col("text").cast("string")))
     if net is None:
@@ -40,6 +41,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     if not len(model.index) and model.bias == 0:
         return docs
+    small_batches(spark)
     score = fresh(docs, "score")
     return docs.withColumn(score, ftrl.scorer(model)(F.col("text").cast("string"))).filter(F.col(score) < 0.5).drop(score)
 
