@@ -85,7 +85,9 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", suppor
         F.size("rule").between(1, length)).distinct()
     rarest = sets.select("rule", "hits", F.explode("rule").alias("token")).join(counts.select("token", "n"), "token")
     sets = store(rarest.groupBy("rule", "hits").agg(F.min_by("token", F.struct("n", "token")).alias("key")), "itemsets")
-    held = matches(rows.select("row", "tokens"), sets.select("rule", "key"), "row").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    # few bytes, but many rules to compare with: dealt to all tasks
+    spread = rows.select("row", "tokens").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
+    held = matches(spread, sets.select("rule", "key"), "row").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
     rules = sets.join(held, "rule").select("rule", "key", (F.col("hits") / n).alias("support"), (F.col("hits") / F.col("n")).alias("confidence"),
                                            (F.col("hits") / F.col("n") / (bad / n)).alias("lift"))
     strong = store(rules.filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift)), "rules")
