@@ -15,15 +15,15 @@ def wide_frames(s, d):
 
 ACTIVITY = """
 a0 as (select song_id, frame_idx, rms, flux, flatness, rms * flatness as hi, rms * 0.5e0 as lo, 20e0 * log10(greatest(rms, 1e-10)) as db from frames),
-a1 as (select song_id, quantile_cont(db, 0.95) as loud, quantile_cont(flux, 0.95) as busy, min(frame_idx) as lf, max(frame_idx) as rf from a0 group by song_id),
+a1 as materialized (select song_id, quantile_cont(db, 0.95) as loud, quantile_cont(flux, 0.95) as busy, min(frame_idx) as lf, max(frame_idx) as rf from a0 group by song_id),
 a2 as (select a0.*, loud, busy, lf, rf, k, frame_idx + k as i, greatest(0e0, least(1e0, flux / greatest(busy, 1e0))) as norm from a0 join a1 using (song_id), range(-51, 52) q(k)
   where k = 0 or (k < 0 and frame_idx = lf) or (k > 0 and frame_idx = rf)),
-a3 as (select *, least(quantile_cont(db, 0.15) over (partition by song_id order by i rows between 43 preceding and 42 following), loud - 18e0) as fl,
+a3 as materialized (select *, least(quantile_cont(db, 0.15) over (partition by song_id order by i rows between 43 preceding and 42 following), loud - 18e0) as fl,
   avg(db) over (partition by song_id order by i rows between 5 preceding and 5 following) as mean,
   quantile_cont(norm, 0.5) over (partition by song_id order by i rows between 16 preceding and 15 following) as base from a2),
 a4 as (select *, case when db < -60 then 0e0 else greatest(0e0, least(1e0, (db - fl) / 18e0)) end as level, lag(mean) over w as pm, lead(mean) over w as nm,
   greatest(0e0, least(1e0, (norm - base) / greatest(1e0 - base, 0.25e0))) as hit from a3 window w as (partition by song_id order by i)),
-a5 as (select *, greatest(0e0, least(1e0, ((case when lf = rf then 0e0 when i = lf then mean - nm when i = rf then pm - mean else (pm - nm) / 2e0 end) - 0.02e0) / 0.08e0)) as fall,
+a5 as materialized (select *, greatest(0e0, least(1e0, ((case when lf = rf then 0e0 when i = lf then mean - nm when i = rf then pm - mean else (pm - nm) / 2e0 end) - 0.02e0) / 0.08e0)) as fall,
   greatest(0e0, least(1e0, level / 0.25e0)) as here from a4 where k = 0),
 a6 as (select *, max(hit) over (partition by song_id order by i rows between 1 preceding and 1 following) as attack, rms * rms + 1e-8 as power from a5),
 a7 as (select *, here * (1e0 - attack) * fall as rings from a6),

@@ -62,46 +62,47 @@ def stage_timings(events: DataFrame) -> DataFrame:
     return e.filter("type = 'stage_end' and _s is not null").select("session", "stage", F.col("_s.seq").alias("start_seq"), F.col("seq").alias("end_seq"), ms.alias("elapsed_ms"))
 
 
-def stage_timings_stream(events: DataFrame, delay: str = "10 minutes", forget_ms: int | None = None) -> DataFrame:
-    """Streaming form: every stage_end against the last start of its (session, stage) before it.
-
-    Events of a stage wait until the watermark has passed them and are then read in order of
-    ``seq``; the last start is the only other state, so a stage may last as long as it likes.
-    ``forget_ms`` drops the state of a stage that stayed silent for longer, for sources whose
-    sessions never end; by default nothing is forgotten.
+def stage_timings_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Streaming form: every stage_end against the last start of its stage before it in the session.
+
+    A session's events are numbered from 0 or 1 without gaps, so an event is decided as soon as
+    all earlier numbers have been seen, whatever order files arrive in; repeats are passed over.
+    A number that never arrives is skipped once the watermark has passed the events behind it.
+    The state is the last start of each stage and what waits for a number; ``run_end`` drops it.
+    A stage may last as long as it likes.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        wait, start = state.get if state.exists else ([], None)
-        rows = [tuple(w) for w in wait]
-        expired = forget_ms is not None and state.hasTimedOut and not rows
+        due, wait, starts = state.get if state.exists else (-1, [], [])
+        rows, begun = {w[0]: tuple(w[1:]) for w in wait}, {g: (q, at) for g, q, at in starts}
         for p in batches:
             at = pd.to_datetime(p["t_wall"]).to_numpy().astype("datetime64[us]").astype("int64")
-            rows += list(zip(p["seq"].tolist(), at.tolist(), p["type"].tolist()))
-        mark = state.getCurrentWatermarkMs() * 1000
-        rows.sort()
-        ready, left = [r for r in rows if r[1] < mark], [r for r in rows if r[1] >= mark]
+            rows.update((q, (t, kind, g)) for q, t, kind, g in zip(p["seq"].tolist(), at.tolist(), p["type"].tolist(), p["stage"].tolist()) if q >= due)
+        mark, over = state.getCurrentWatermarkMs() * 1000, False
         out = {"session": [], "stage": [], "start_seq": [], "end_seq": [], "elapsed_ms": []}
-        for seq, at, kind in ready:
+        for q in sorted(rows):
+            t, kind, g = rows[q]
+            if not (q == due or (due < 0 and q <= 1) or t < mark):
+                break
+            del rows[q]
+            due = q + 1
             if kind == "stage_start":
-                start = (seq, at)
-            elif start is not None:
-                for c, v in zip(out, (key[0], key[1], start[0], seq, (at - start[1]) / 1000.0)):
+                begun[g] = (q, t)
+            elif kind == "stage_end" and g in begun:
+                for c, v in zip(out, (key[0], g, begun[g][0], q, (t - begun[g][1]) / 1000.0)):
                     out[c].append(v)
-        if expired or not (left or start):
+            over = over or kind == "run_end"
+        if over and not rows:
             if state.exists:
                 state.remove()
         else:
-            state.update((left, start))
-            if left:
-                state.setTimeoutTimestamp(max(r[1] for r in left) // 1000 + 1)
-            elif forget_ms is not None:
-                state.setTimeoutTimestamp(max(mark, start[1]) // 1000 + forget_ms)
+            state.update((due, [(q, *r) for q, r in sorted(rows.items())], [(g, *v) for g, v in begun.items()]))
+            if rows:
+                state.setTimeoutTimestamp(max(min(r[0] for r in rows.values()), mark) // 1000 + 1)
         yield pd.DataFrame(out)
 
-    st = "wait array<struct<seq:bigint,at:bigint,type:string>>, start struct<seq:bigint,at:bigint>"
-    e = events.filter(F.col("type").isin("stage_start", "stage_end")).select("session", "stage", "seq", "t_wall", "type")
-    return e.withWatermark("t_wall", delay).groupBy("session", "stage").applyInPandasWithState(
+    st = "due bigint, wait array<struct<seq:bigint,at:bigint,type:string,stage:string>>, starts array<struct<stage:string,seq:bigint,at:bigint>>"
+    return events.select("session", "stage", "seq", "t_wall", "type").withWatermark("t_wall", delay).groupBy("session").applyInPandasWithState(
         step, "session long, stage string, start_seq long, end_seq long, elapsed_ms double", st, "append", GroupStateTimeout.EventTimeTimeout)
 
 

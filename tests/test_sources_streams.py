@@ -89,6 +89,19 @@ def test_stream_dedupe_and_timing(spark, tmp_path):
     assert {(x.session, x.stage, x.elapsed_ms) for x in live.collect()} == want and want
 
 
+def test_stream_timing_takes_the_last_start(spark, tmp_path):
+    """A stage that runs twice, files in the wrong order, a repeat, and a number that never arrives."""
+    t0 = datetime(2024, 1, 1)
+    kinds = ["stage_start", "stage_end", "decision", "stage_start", "stage_start", "stage_end", "stage_end"]
+    rows = [{"session": 5, "seq": i, "t_wall": (t0 + timedelta(hours=3 * i)).isoformat(), "ms": 0.0, "stage": "g", "type": k, "decision_type": None} for i, k in enumerate(kinds)]
+    src = tmp_path / "twice"
+    src.mkdir()
+    for name, part in (("1", rows[3:5]), ("2", rows[:3] + rows[3:4]), ("3", rows[5:])):
+        (src / f"{name}.json").write_text("\n".join(map(json.dumps, part)))
+    live = drain(t.stage_timings_stream(t.read_stream(spark, str(src), 1), "30 days"), "twice", "append", tmp_path)
+    assert sorted((x.start_seq, x.end_seq) for x in live.collect()) == [(0, 1), (4, 5), (4, 6)]
+
+
 def test_stream_progress_equals_batch(spark, tmp_path):
     src = feed(tmp_path)
     marks = ["g0:d1", "g1:d4", "g2:d2", "g3:d0"]
