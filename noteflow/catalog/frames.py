@@ -118,6 +118,16 @@ def a43(s, d):
     return f.leak_report(fr, c.onsets(s, d)).select("song_id", "stem", F.round("rms", 6).alias("rms"), "onsets", r6("onset_leak").alias("onset_leak"))
 
 
+@query("a43_bleed_correlation", "frames", """
+lv as (select song_id, frame_idx, unnest(['piano', 'bass', 'drums']) as stem, unnest([rms, flux, flatness + rms]) as level from frames)""", """
+select a.song_id, a.stem as stem_a, b.stem as stem_b, count(*) as frames, round(corr(a.level, b.level) + 1.37e-8, 6) as correlation
+from lv a join lv b on a.song_id = b.song_id and a.frame_idx = b.frame_idx and a.stem < b.stem group by all""")
+def a43b(s, d):
+    stems = F.array(*[F.struct(F.lit(n).alias("stem"), x.alias("level")) for n, x in (("piano", F.col("rms")), ("bass", F.col("flux")), ("drums", F.col("flatness") + F.col("rms")))])
+    levels = c.frames(s, d).select("song_id", "frame_idx", F.explode(stems).alias("v")).select("song_id", "frame_idx", "v.*")
+    return f.bleed(levels).withColumn("correlation", r6("correlation"))
+
+
 @query("a44_solo_verdict", "frames", """
 fx as (select song_id, frame_idx, flux as h, rms, flatness, flux - lag(flux) over (partition by song_id order by frame_idx) as dl from frames),
 pc as (select song_id, quantile_cont(h, 0.4) as e40, quantile_cont(abs(dl), 0.9) as d90 from fx group by song_id),
@@ -151,6 +161,11 @@ def a36(s, d):
     return textured(s, d)
 
 
+@query("w42_texture_null")
+def w42(s, d):
+    return tx.null_churn(in_regions(s, d), window_ms=120.0)
+
+
 @query("a37_texture_churn")
 def a37(s, d):
     return tx.churn(textured(s, d))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import page as p
+from ..operators.filters import snap_quarters
 from ..sources import corpus as c
 from .registry import query, r6
 
@@ -52,6 +53,15 @@ vo(song_id, stem, k, note_id, start_ms, id, open) as (
 vf as (select song_id, stem, id, row_number() over (partition by song_id, stem order by start_ms, id) as voice from vo where note_id = id)"""
 
 
+@query("w03_gridded_chords", "notes", """
+gs as (select song_id, stem as part, note_id, start_ms, pitch, round(round_even(start_ms / 480e0 * 2, 0) / 2e0, 6) as "offset" from notes)""", """
+select song_id, part, note_id, "offset", dense_rank() over (partition by song_id, part order by "offset") - 1 as chord,
+  row_number() over (partition by song_id, part, "offset" order by start_ms, pitch, note_id) - 1 as place from gs""")
+def w03(s, d):
+    n = c.notes(s, d).withColumnRenamed("stem", "part")
+    return p.gridded_chords(n, snap_quarters(F.col("start_ms") / 480.0)).select("song_id", "part", "note_id", "offset", "chord", "place")
+
+
 @query("v04_register_voices", "notes", VOICES, """
 select song_id, stem, note_id, voice, cast((voice - 1) // 4 as bigint) as staff from vo join vf using (song_id, stem, id) where note_id is not null""")
 def v04(s, d):

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..plans.carry import Kept, carry
 from ..plans.joins import points_in
-from ..plans.timeline import CHUNK_MS, islands, nxt, prev, scan, settle
+from ..plans.timeline import CHUNK_MS, islands, nxt, prev, row_no, scan, settle
 from .filters import position_level
 from .hands import max_simultaneity
 
@@ -76,6 +76,21 @@ def notation_pieces(notes: DataFrame) -> DataFrame:
     return n.select("note_id", F.col("i").cast("bigint").alias("piece"), F.col("x.s").alias("start_tick"), F.col("x.d").alias("dur_tick"), tie.alias("tie"))
 
 
+def gridded_chords(notes: DataFrame, offset: Column, keys=("song_id", "part")) -> DataFrame:
+    """Chords of the page: notes whose written onset is the same to six places.
+
+    ``offset`` is the snapped onset in quarters.  Adds ``offset``, ``chord`` (number of the
+    chord in its part, from 0) and ``place`` (of the note in its chord, by raw onset, pitch and
+    id); a chord's notes are ranked, never gathered.
+    """
+    keys = list(keys)
+    n = settle(notes.withColumn("offset", F.round(offset, 6)))
+    at = n.select(*keys, "offset").distinct()
+    at = scan(at, keys, ["offset"], {"_rn": row_no()}, 4096.0).select(*keys, "offset", (F.col("_rn") - 1).cast("bigint").alias("chord"))
+    w = Window.partitionBy(*keys, "offset").orderBy("start_ms", "pitch", "note_id")
+    return n.join(at, [*keys, "offset"]).withColumn("place", (F.row_number().over(w) - 1).cast("bigint"))
+
+
 def _free_voice_run(p: pd.DataFrame, entry: list, end: float):
     """Nearest free voice by pitch, else a new one; state = (free at, last pitch) per voice."""
     voices = [[~k, *s, False] for k, s in enumerate(entry)]

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..plans.grouping import anchor_groups
 from ..plans.joins import nearest, points_in
-from ..plans.timeline import nxt, prev, scan, settle
+from ..plans.timeline import nxt, prev, row_no, scan, settle
 from .annotations import section_lookup
 from .filters import legitimacy
 
@@ -70,6 +70,34 @@ def churn(regions: DataFrame) -> DataFrame:
     return a.join(c, "song_id").filter("n >= 2").select("song_id", (F.col("changes") / (F.col("n") - 1)).alias("churn"), (1.0 - F.col("k2") / (F.col("n") * F.col("n"))).alias("expected"))
 
 
+def null_churn(notes: DataFrame, modes=("pitch", "family", "time"), draws: int = 5, seed: int = 0, **options) -> DataFrame:
+    """Churn of a song's regions against copies with one property destroyed, per (song, mode).
+
+    ``notes`` as for ``texture``.  A draw deals the song's pitches or families out again in hash
+    order, or throws every note to a hashed time within the song; a note stays in its region.
+    All draws of all modes are classified at once, the copy being part of the song's key.
+    """
+    base = settle(notes.select("song_id", "region", "note_id", "start_ms", "end_ms", "pitch", "family", "r_start", "r_end"))
+    key = ["song_id", "mode", "draw"]
+    copy = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(k).alias("draw")) for m in modes for k in range(draws)]))
+    span = base.groupBy("song_id").agg(F.min("start_ms").alias("_lo"), F.max("start_ms").alias("_hi"))
+    c = base.join(span, "song_id").select("*", copy.alias("_c")).select("*", "_c.mode", "_c.draw").drop("_c")
+    c = settle(c.withColumn("_u", F.xxhash64("note_id", "mode", "draw", F.lit(seed)) / F.lit(2.0**64) + 0.5))
+    own = scan(c, key, ["start_ms", "note_id"], {"_at": row_no()})
+    dealt = scan(c.select(*key, "_u", "note_id", "pitch", "family"), key, ["_u", "note_id"], {"_at": row_no()}, 0.25)
+    dealt = dealt.select(*key, "_at", F.col("pitch").alias("_pitch"), F.col("family").alias("_family"))
+    j = own.join(dealt, [*key, "_at"])
+    start = F.when(F.col("mode") == "time", F.col("_lo") + F.col("_u") * (F.col("_hi") - F.col("_lo"))).otherwise(F.col("start_ms"))
+    name = F.to_json(F.struct(*key))
+    copies = j.select(name.alias("song_id"), "region", "note_id", start.alias("start_ms"), (start + F.col("end_ms") - F.col("start_ms")).alias("end_ms"),
+                      F.when(F.col("mode") == "pitch", F.col("_pitch")).otherwise(F.col("pitch")).alias("pitch"),
+                      F.when(F.col("mode") == "family", F.col("_family")).otherwise(F.col("family")).alias("family"), "r_start", "r_end")
+    kind = base.schema["song_id"].dataType.simpleString()
+    null = churn(texture(settle(copies), **options)).withColumn("_k", F.from_json("song_id", f"song_id {kind}, mode string, draw int"))
+    null = null.groupBy("_k.song_id", "_k.mode").agg(F.avg("churn").alias("null_churn"), F.avg("expected").alias("null_expected"), F.count(F.lit(1)).alias("draws"))
+    return null.join(churn(texture(base, **options)), "song_id").select("song_id", "mode", "churn", "expected", "null_churn", "null_expected", "draws")
+
+
 def _best_repeat(grids: pd.Series) -> pd.Series:
     """Strongest autocorrelation of a 64-bin onset grid at lags 1..63."""
     out = []
@@ -141,7 +169,8 @@ def motif_pairs(events: DataFrame, beat_ms: float, max_gap_beats: float, candida
     """
     reach = max_gap_beats * beat_ms
     keys = ["song_id"]
-    row = F.struct("note_id", "start_ms", "end_ms", "pitch", "family", "stem", "motif", "occurrence")
+    extra = [c for c in ("section",) if c in events.columns]
+    row = F.struct("note_id", "start_ms", "end_ms", "pitch", "family", "stem", "motif", "occurrence", *extra)
     tagged = events.filter("motif is not null")
     nx = scan(tagged.select("song_id", "motif", "occurrence", "start_ms", "note_id"), ["song_id", "motif", "occurrence"], ["start_ms", "note_id"], {"_b": nxt(F.struct("note_id", "start_ms"))})
     gap = F.col("_b.start_ms") - F.col("start_ms")
@@ -159,7 +188,7 @@ def motif_pairs(events: DataFrame, beat_ms: float, max_gap_beats: float, candida
 
 
 def edge_scores(pairs: DataFrame, beat_ms: float) -> DataFrame:
-    """Ten scores of how well a note continues another."""
+    """Ten scores of how well a note continues another (``section_same`` with notes that carry a section)."""
     a, b = F.col("a"), F.col("b")
     dp, dt = F.abs(b["pitch"] - a["pitch"]), (b["start_ms"] - a["start_ms"]) / beat_ms
     grid = F.array_min(F.array(*[F.abs(dt - g) for g in (1, 0.5, 0.25, 2, 3, 4, 1.5, 0.75)]))
@@ -170,8 +199,9 @@ def edge_scores(pairs: DataFrame, beat_ms: float) -> DataFrame:
     def same(field):
         return a[field].eqNullSafe(b[field]).cast("double")
 
+    kept = same("section") if "section" in pairs.schema["a"].dataType.names else F.lit(None).cast("double")
     return pairs.select(
-        "song_id", a["note_id"].alias("a_id"), b["note_id"].alias("b_id"), "positive", F.exp(-dp / 5.0).alias("pitch_prox"), F.exp(-dp / 12.0).alias("register"),
+        "song_id", a["note_id"].alias("a_id"), b["note_id"].alias("b_id"), "positive", kept.alias("section_same"), F.exp(-dp / 5.0).alias("pitch_prox"), F.exp(-dp / 12.0).alias("register"),
         F.exp(-grid * 4.0).alias("ioi_regular"), (1.0 - 2 * F.least(ph, 1 - ph)).alias("metric_pos"), (F.least(da, db) / F.greatest(da, db)).alias("duration_compat"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - over / da)).alias("overlap"), same("family").alias("family_same"), same("stem").alias("stem_same"),
         (a["motif"].isNotNull() & (a["motif"] == b["motif"]) & (a["occurrence"] == b["occurrence"])).cast("double").alias("motif_cont"))
