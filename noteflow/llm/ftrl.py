@@ -35,7 +35,7 @@ class Hasher:
 
     def words(self, text: str) -> np.ndarray:
         known, found = self.known, WORDS.findall(text.lower())
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(found).difference(known):
             b = w.encode("utf-8", "replace")
