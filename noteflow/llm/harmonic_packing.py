@@ -41,7 +41,7 @@ class CachedEncoder:
     Texts with other white space or the special tokens' strings are encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 80_000):
+    def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts, self.most = Tokenizer.from_file(path), {}, {}, most
@@ -97,16 +97,6 @@ class CachedEncoder:
         return b"".join([known[w] for w in words])
 
 
-_encoders: dict[str, CachedEncoder] = {}
-
-
-def encoder_of(path: str) -> CachedEncoder:
-    """This process's encoder: workers that serve several tasks keep its memory."""
-    if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
-    return _encoders[path]
-
-
 def cuts(length: int, capacity: int, waste: float = 0.02, floor: int = 16) -> list[tuple[int, int]]:
     """Pieces (length, class) of a document of ``length`` tokens, in order.
 
@@ -134,7 +124,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capaci
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = encoder_of(tokenizer), array.array("I", [END]).tobytes()
+        encoder, end = CachedEncoder(tokenizer), array.array("I", [END]).tobytes()
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("row", "id", "start", "length", "ids", "doc_tokens", "class")}
             for row, i, text in zip(b["row"].tolist(), b["id"].tolist(), b["text"].tolist()):
