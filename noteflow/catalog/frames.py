@@ -156,9 +156,31 @@ def a35(s, d):
     return tx.texture_vector(in_regions(s, d), 120.0)
 
 
-@query("a36_texture_class")
+TEXTURE = """
+tr as (select n.song_id, s.idx as region, note_id, n.start_ms, n.end_ms, pitch, stem as family, s.start_ms as r0, s.end_ms as r1 from notes n join sections s on s.song_id = n.song_id and n.start_ms >= s.start_ms and n.start_ms < s.end_ms),
+tm as (select song_id, region, median(pitch) as split, count(*) as n, bool_or(end_ms - start_ms >= 0.60e0 * greatest(1e0, r1 - r0)) as long_note from tr group by all),
+tk as (select 'all' as part, tr.* from tr union all select case when pitch > split then 'top' else 'low' end, tr.* from tr join tm using (song_id, region)),
+ta(part, song_id, region, t) as (select part, song_id, region, min(start_ms) from tk group by all
+  union all select * from (select a.part, a.song_id, a.region, (select min(k.start_ms) from tk k where k.part = a.part and k.song_id = a.song_id and k.region = a.region and k.start_ms - a.t > 120e0) as t from ta a) q where t is not null),
+tg as (select r.*, (select max(a.t) from ta a where a.part = 'all' and a.song_id = r.song_id and a.region = r.region and a.t <= r.start_ms) as g from tr r),
+ts as (select song_id, region, g, list_sort(list(pitch)) as ps, count(*) as n from tg group by all),
+tp as (select song_id, region, g, (ps[j] - ps[i]) % 12 as v from ts, range(1, 64) a(i), range(1, 64) b(j) where i < j and j <= len(ps)),
+tl as (select song_id, region, g, (count(*) filter (where v in (3, 4, 5, 7, 8, 9)) - count(*) filter (where v in (1, 2))) / cast(count(*) as double) as l from tp group by all),
+tt as (select song_id, region, avg(n) as mean_stack, sum(case when n > 1 then n else 0 end) as sync, count(*) as stacks, coalesce(avg(case when n > 1 then l end), 0) as chordness from ts left join tl using (song_id, region, g) group by all),
+tf as (select song_id, region, count(*) filter (where c >= 3) as n_fam from (select song_id, region, family, count(*) as c from tr group by all) q group by all),
+td as (select song_id, region, abs(pitch - lag(pitch) over (partition by song_id, region order by start_ms, note_id)) as d from tk where part = 'top'),
+te as (select song_id, region, case when count(*) > 2 then coalesce(avg(case when d between 1 and 2 then 1e0 when d is not null then 0e0 end), 0e0) else 0e0 end as stepwise from td group by all),
+tc as (select song_id, region, count(*) filter (where part = 'top') as top_n, count(*) filter (where part = 'low') as bot_n from ta group by all),
+tx as (select song_id, region, tm.n, mean_stack, sync / tm.n as share, stacks, chordness, long_note, n_fam, coalesce(stepwise, 0) as stepwise, top_n / greatest(bot_n, 1) as active
+  from tm join tt using (song_id, region) join tf using (song_id, region) join tc using (song_id, region) left join te using (song_id, region)),
+tz as (select *, case when n < 12 then 'SPARSE' when mean_stack < 1.2e0 then 'MONOPHONIC' when share >= 0.55e0 and mean_stack >= 2.2e0 and chordness > 0.15e0 then 'CHORDAL'
+  when long_note and stacks >= 4 then 'PEDAL_PLUS_ACTIVITY' when (n_fam >= 2 or stepwise > 0.35e0) and active >= 1.3e0 then 'MELODY_ACCOMP' when share <= 0.35e0 then 'COUNTERPOINT' else 'MELODY_ACCOMP' end as texture from tx)"""
+
+
+@query("a36_texture_class", "notes sections", TEXTURE, """
+select song_id, region, n, round(mean_stack + 1.37e-8, 6) as mean_stack, round(share + 1.37e-8, 6) as sync_share, round(chordness + 1.37e-8, 6) as chordness, texture from tz""")
 def a36(s, d):
-    return textured(s, d)
+    return textured(s, d).select("song_id", "region", "n", *[r6(v).alias(v) for v in ("mean_stack", "sync_share", "chordness")], "texture")
 
 
 @query("w42_texture_null")
@@ -166,6 +188,10 @@ def w42(s, d):
     return tx.null_churn(in_regions(s, d), window_ms=120.0)
 
 
-@query("a37_texture_churn")
+@query("a37_texture_churn", "notes sections", TEXTURE + """,
+cr as (select song_id, region, texture, lag(texture) over (partition by song_id order by region) as p from tz where texture <> 'SPARSE'),
+ck as (select song_id, sum(k * k) as k2 from (select song_id, texture, count(*) as k from cr group by all) q group by song_id)""", """
+select song_id, round(count(*) filter (where p <> texture) / (count(*) - 1) + 1.37e-8, 6) as churn, round(1 - any_value(k2) / (count(*) * count(*)) + 1.37e-8, 6) as expected
+from cr join ck using (song_id) group by song_id having count(*) >= 2""")
 def a37(s, d):
-    return tx.churn(textured(s, d))
+    return tx.churn(textured(s, d)).select("song_id", r6("churn").alias("churn"), r6("expected").alias("expected"))

@@ -101,9 +101,18 @@ def v03(s, d):
     return v.select("song_id", "hand", "note_id", F.col("voice").cast("bigint").alias("voice"), "tops")
 
 
-@query("w35_gap_smoothing")
+@query("w35_gap_smoothing", "notes", """
+sb as (select *, case when pitch = lag(pitch) over w and start_ms - lag(end_ms) over w <= 240e0 then 0 else 1 end as b from notes window w as (partition by song_id, stem order by start_ms, note_id)),
+si as (select *, sum(b) over (partition by song_id, stem order by start_ms, note_id rows unbounded preceding) as isl from sb),
+sm as (select song_id, stem, min(pitch) as pitch, min(start_ms) as start_ms, max(end_ms) as end_ms, arg_min(note_id, [start_ms, note_id]) as note_id, count(*) as merged from si group by song_id, stem, isl),
+sx as (select *, lead(start_ms) over (partition by song_id, stem order by start_ms, note_id) as nx from sm),
+sf as (select *, case when nx - end_ms > 0 and nx - end_ms <= 480e0 then nx else end_ms end as e from sx),
+sh as (select *, ceil(e / 480e0 - 1e-9) * 480e0 as beat, ceil(e / 960e0 - 1e-9) * 960e0 as half, ceil(e / 1920e0 - 1e-9) * 1920e0 as bar from sf)""", """
+select song_id, stem, note_id, pitch, round(start_ms, 6) as start_ms,
+  round(case when coalesce(nx > e, true) then greatest(e, least(case when half - e <= 960e0 then half else beat end, bar, coalesce(nx, 1e300))) else e end, 6) as end_ms, merged from sh""")
 def w35(s, d):
-    return p.smooth_voice(c.notes(s, d), ["song_id", "stem"], 480.0).select("song_id", "stem", "note_id", "pitch", "start_ms", "end_ms", "merged")
+    x = p.smooth_voice(c.notes(s, d), ["song_id", "stem"], 480.0)
+    return x.select("song_id", "stem", "note_id", "pitch", F.round("start_ms", 6).alias("start_ms"), F.round("end_ms", 6).alias("end_ms"), "merged")
 
 
 @query("v06_t04_part_routing", "notes", """
@@ -212,9 +221,17 @@ def u03(s, d):
     return a.union(b).dropDuplicates(["name"])
 
 
-@query("a19_readability")
+@query("a19_readability", "notes", MST1 + """,
+rj as (select song_id, abs(pitch - lag(pitch) over (partition by song_id, part, voice order by measure, onset, row_id)) as jump from pg where pitch is not null),
+ra as (select song_id, avg(jump) as mean_jump from rj group by song_id),
+rv as (select song_id, count(*) filter (where n <= 2) as singleton_voices, count(*) as voices from (select song_id, part, voice, count(*) as n from pg where pitch is not null group by all) q group by song_id),
+ro as (select song_id, count(*) filter (where len > 16 + 1e-6) as overfull from (select song_id, part, measure, voice, sum(dur) as len from pg group by all) q group by song_id),
+rm as (select song_id, sum(notes) as notes, sum(rests) as rests, sum(chords) as chords, sum(coalesce(top_onsets, 0)) as tops, sum(coalesce(top_stable, 0)) as stable from ms left join mt using (song_id, measure) group by song_id)""", """
+select song_id, round(rests / greatest(notes, 1), 6) as rest_ratio, round(chords / greatest(tops, 1), 6) as chord_share, round(stable / greatest(tops - 1, 1), 6) as top_stability,
+  round(mean_jump, 6) as mean_jump, singleton_voices, voices, overfull from rm left join ra using (song_id) left join rv using (song_id) left join ro using (song_id)""")
 def a19(s, d):
-    return p.readability(page1(s, d), 16.0)
+    x = p.readability(page1(s, d), 16.0)
+    return x.select("song_id", *[F.round(v, 6).alias(v) for v in ("rest_ratio", "chord_share", "top_stability", "mean_jump")], "singleton_voices", "voices", "overfull")
 
 
 TYPES = "['whole', 'half', 'quarter', 'eighth', '16th', '32nd']"
