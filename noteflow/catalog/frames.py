@@ -69,11 +69,22 @@ def w24(s, d):
     return f.cluster_beats(e).select("song_id", "beat_idx", F.col("label").alias("cluster"))
 
 
-@query("w40_drum_assembly")
+DRUM = """
+dv as (select song_id, case when stem = 'bass' then 'kick' when stem = 'drums' then 'snare' else 'closed_hihat' end as voice, t_ms, energy, energy * (cast(floor(t_ms) as bigint) % 3) / 2e0 as rival from onsets),
+dq as (select song_id, voice, quantile_cont(energy, 0.9) as p90 from dv group by all),
+dk as (select distinct song_id, voice, t_ms from dv join dq using (song_id, voice) where energy >= 0.25e0 * p90 and (voice <> 'kick' or energy >= 1.2e0 * rival)),
+da(song_id, t) as (select song_id, min(t_ms) from dk group by song_id
+  union all select * from (select a.song_id, (select min(k.t_ms) from dk k where k.song_id = a.song_id and k.t_ms - a.t > 35e0) as t from da a) q where t is not null),
+dn as (select * from (values """ + ", ".join(f"('{v}', {pitch}, {float(ms)}e0)" for v, (pitch, ms) in f.DRUMS.items()) + """) q(voice, pitch, ms))"""
+
+
+@query("w40_drum_assembly", "notes onsets", DRUM, """
+select song_id, voice, pitch, round(t, 6) as start_ms, round(t + ms, 6) as end_ms, 0.7e0 as confidence from da cross join dn
+where exists(select 1 from dk k where k.song_id = da.song_id and k.voice = dn.voice and abs(k.t_ms - t) <= 45)""")
 def w40(s, d):
     v = F.when(F.col("stem") == "bass", "kick").when(F.col("stem") == "drums", "snare").otherwise("closed_hihat")
     o = c.onsets(s, d).select("song_id", v.alias("voice"), "t_ms", "energy", (F.col("energy") * (F.floor(F.col("t_ms")) % 3) / 2.0).alias("rival"))
-    return f.drum_notes(o)
+    return f.drum_notes(o).withColumns({x: F.round(x, 6) for x in ("start_ms", "end_ms")})
 
 
 def spectra(s, d):

@@ -33,7 +33,19 @@ def w38(s, d):
     return n.select("note_id", F.explode(seg).alias("x")).select("note_id", F.col("x.s").alias("start_tick"), F.col("x.d").alias("dur_tick"))
 
 
-@query("w45_notation_pieces")
+PIECES = SPLIT + f""",
+sp as (select unnest({list(p.BINARY_SHAPES)}) as v, false as tern union all select unnest({list(p.TERNARY_SHAPES)}), true),
+pc(note_id, d0, pp, rest, s, d) as (
+  select note_id, d, s, d, cast(null as bigint), cast(null as bigint) from sg
+  union all
+  select note_id, d0, pp + v, rest - v, pp, v from (select *, (select max(v) from sp where tern = (d0 % 3 <> 0) and v <= rest) as v from pc) z where v is not null),
+pw as (select note_id, s, d from pc where s is not null
+  union all select note_id, s, d from sg where not exists(select 1 from sp where tern = (d % 3 <> 0) and v <= d)),
+pn as (select *, row_number() over (partition by note_id order by s) - 1 as piece, count(*) over (partition by note_id) as n from pw)"""
+
+
+@query("w45_notation_pieces", "notes", PIECES, """
+select note_id, piece, s as start_tick, d as dur_tick, case when n = 1 then null when piece = 0 then 'start' when piece = n - 1 then 'stop' else 'continue' end as tie from pn""")
 def w45(s, d):
     return p.notation_pieces(ticks(s, d).withColumn("is_tuplet", F.lit(False)))
 
