@@ -10,7 +10,7 @@ from ..operators import texture as tx
 from ..sources import corpus as c
 from .filters import KINDS, PIVOT
 from .lookups import RUNS, SECT, runs
-from .registry import query
+from .registry import query, r6
 
 
 @query("v07_score_alignment")
@@ -21,12 +21,28 @@ def v07(s, d):
     return al.align_scores(ref, ours)
 
 
-@query("v08_x04_sequence_agreement")
+# one cell of a song's table a step; a row of states is kept, {c: path cost with gaps, s: cost, h: hits, n: cells}
+AGREE = """
+sv as (select song_id, start_ms, round(log2(end_ms - start_ms), 6) as v, note_id from notes),
+sa as (select song_id, list(v order by start_ms, v) as a from sv group by song_id), sb as (select song_id, list(v order by start_ms, v) as b from sv where note_id % 5 <> 0 group by song_id),
+dp(song_id, a, b, k, above, own) as (
+  select song_id, a, b, cast(0 as bigint), list_concat([{'c': 0e0, 's': 0e0, 'h': 0, 'n': 0}], list_transform(b, lambda x: {'c': cast('inf' as double), 's': 0e0, 'h': 0, 'n': 0})),
+    [{'c': cast('inf' as double), 's': 0e0, 'h': 0, 'n': 0}] from sa join sb using (song_id)
+  union all
+  select song_id, a, b, k + 1, case when j = len(b) - 1 then row else above end, case when j = len(b) - 1 then row[:0] || [{'c': cast('inf' as double), 's': 0e0, 'h': 0, 'n': 0}] else row end
+  from (select song_id, a, b, k, above, j, list_append(own, {'c': w.c + toll + least(gap, 2e0), 's': w.s + least(gap, 2e0), 'h': w.h + case when gap <= 0.18e0 then 1 else 0 end, 'n': w.n + 1}) as row
+    from (select *, case when dg.c <= up.c + 1 and dg.c <= lf.c + 1 then dg when up.c <= lf.c then up else lf end as w, case when dg.c <= up.c + 1 and dg.c <= lf.c + 1 then 0e0 else 1e0 end as toll
+      from (select *, k % len(b) as j, above[k % len(b) + 1] as dg, above[k % len(b) + 2] as up, own[k % len(b) + 1] as lf, abs(a[k // len(b) + 1] - b[k % len(b) + 1]) as gap from dp where k < len(a) * len(b)) x) y) z)"""
+
+
+@query("v08_x04_sequence_agreement", "notes", AGREE, """
+select song_id, round(above[-1].s / above[-1].n + 1.37e-8, 6) as mean_cost, round(above[-1].h / above[-1].n + 1.37e-8, 6) as hit_share from dp where k = len(a) * len(b)""")
 def v08(s, d):
     n = c.notes(s, d)
-    both = n.select("song_id", F.lit(0).alias("side"), "start_ms", F.log2(F.col("end_ms") - F.col("start_ms")).alias("value")).unionByName(
-        n.filter("note_id % 5 <> 0").select("song_id", F.lit(1).alias("side"), "start_ms", F.log2(F.col("end_ms") - F.col("start_ms")).alias("value")))
-    return al.sequence_agreement(al.positions_of(both, ["start_ms", "value"], 30000.0).select("song_id", "side", "pos", "value"))
+    both = n.select("song_id", F.lit(0).alias("side"), "start_ms", F.round(F.log2(F.col("end_ms") - F.col("start_ms")), 6).alias("value")).unionByName(
+        n.filter("note_id % 5 <> 0").select("song_id", F.lit(1).alias("side"), "start_ms", F.round(F.log2(F.col("end_ms") - F.col("start_ms")), 6).alias("value")))
+    x = al.sequence_agreement(al.positions_of(both, ["start_ms", "value"], 30000.0).select("song_id", "side", "pos", "value"))
+    return x.select("song_id", r6("mean_cost").alias("mean_cost"), r6("hit_share").alias("hit_share"))
 
 
 @query("a41_beat_match_lift", "notes beats", """

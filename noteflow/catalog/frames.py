@@ -58,9 +58,36 @@ def labelled(s, d):
     return t.withColumn("next_ms", F.coalesce("next_ms", F.col("t_ms") + 500.0)).join(m, ["song_id", "beat_idx"])
 
 
-@query("w23_section_assembly")
+# labels smoothed by a median of nine, mirrored at the ends; then one run a step goes to a neighbour
+SECTIONS = """
+lb as (select song_id, beat_idx, t_ms, coalesce(lead(t_ms) over (partition by song_id order by t_ms, beat_idx), t_ms + 500e0) as nx,
+  beat_idx // 7 % 3 + case when beat_idx % 11 = 0 then 1 else 0 end as l from beats),
+lw as (select *, coalesce(list(l) over (partition by song_id order by beat_idx rows between 4 preceding and 1 preceding), []) as bf,
+  coalesce(list(l) over (partition by song_id order by beat_idx rows between 1 following and 4 following), []) as af from lb),
+lm as (select song_id, beat_idx, t_ms, nx, list_sort(bf || [l] || af || (([l] || af)[1:4 - len(bf)]) || (([l] || list_reverse(bf))[1:4 - len(af)])) as v from lw),
+ls as (select song_id, beat_idx, t_ms, nx, v[len(v) // 2 + 1] as l from lm),
+lr as (select *, case when l = lag(l) over (partition by song_id order by t_ms, beat_idx) then 0 else 1 end as b from ls),
+li as (select *, sum(b) over (partition by song_id order by t_ms, beat_idx rows unbounded preceding) as isl from lr),
+lg as (select song_id, isl, any_value(l) as l, min(t_ms) as a, max(nx) as b from li group by all),
+sr(song_id, rs, go) as (
+  select song_id, list({'l': l, 'a': a, 'b': b} order by a), true from lg group by song_id
+  union all
+  select song_id, case when stop then rs else list_filter(list_transform(range(1, len(rs) + 1),
+      lambda i: case when i = k then null when i = host then {'l': rs[i].l, 'a': least(rs[i].a, rs[k].a), 'b': greatest(rs[i].b, rs[k].b)} else rs[i] end), lambda x: x is not null) end, not stop
+  from (select *, case when k = 1 then 2 when k = len(rs) or rs[k - 1].l = rs[k].l then k - 1 when rs[k + 1].l = rs[k].l or rs[k - 1].b - rs[k - 1].a < rs[k + 1].b - rs[k + 1].a then k + 1 else k - 1 end as host
+    from (select song_id, rs, m.i as k, len(rs) = 1 or m.d >= 2000e0 as stop
+      from (select song_id, rs, list_sort(list_transform(range(1, len(rs) + 1), lambda i: {'d': rs[i].b - rs[i].a, 's': rs[i].a, 'i': i}))[1] as m from sr where go) x) y) z),
+sf as (select song_id, unnest(rs) as r from sr where not go),
+sg as (select song_id, r.l as l, r.a as a, r.b as b, case when r.l = lag(r.l) over (partition by song_id order by r.a) then 0 else 1 end as n from sf),
+sh as (select *, sum(n) over (partition by song_id order by a rows unbounded preceding) as isl from sg),
+sj as (select song_id, isl, any_value(l) as l, min(a) as a, max(b) as b from sh group by all),
+sk as (select song_id, l, row_number() over (partition by song_id order by min(a)) as letter from sj group by song_id, l)"""
+
+
+@query("w23_section_assembly", "notes beats", SECTIONS, """
+select song_id, row_number() over (partition by song_id order by a) - 1 as idx, chr(cast(64 + letter as int)) as label, round(a, 6) as start_ms, round(b, 6) as end_ms from sj join sk using (song_id, l)""")
 def w23(s, d):
-    return f.assemble_sections(labelled(s, d), 2000.0)
+    return f.assemble_sections(labelled(s, d), 2000.0).withColumns({x: F.round(x, 6) for x in ("start_ms", "end_ms")})
 
 
 @query("w24_beat_clusters")
