@@ -32,13 +32,25 @@ def checkpoint(df, spark: SparkSession | None = None):
     and executors are one process; elsewhere that is an error, as executors
     could not read each other's part.
     """
+    _shared(spark or df.sparkSession)
+    return df.checkpoint()
+
+
+def _shared(spark: SparkSession) -> str:
+    """The context's checkpoint folder, set on first use."""
     import tempfile
 
-    spark = spark or df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="noteflow-ckpt-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared checkpoint folder, for tables written and read again."""
+    import uuid
+
+    return f"{_shared(spark)}/{tag}-{uuid.uuid4().hex}"

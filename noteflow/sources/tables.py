@@ -68,17 +68,21 @@ def write_replay(events: DataFrame, session: int | str, path: str) -> None:
     events.filter(F.col("session") == session).repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").json(path)
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """Tables a page can be rebuilt from, each partitioned by run."""
-    missing = {"notes", "annotations", "beats", "runs"} - set(tables)
+SNAPSHOT = ("notes", "annotations", "beats", "runs")
+
+
+def write_snapshot(tables: dict[str, DataFrame], path: str, buckets: int = 256) -> None:
+    """Tables a page can be rebuilt from, in a bounded number of run buckets."""
+    missing = set(SNAPSHOT) - set(tables)
     if missing:
         raise ValueError(f"a snapshot needs {sorted(missing)}")
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/{name}")
+        bucket = F.pmod(F.xxhash64("run_id"), F.lit(buckets))
+        df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("notes", "annotations", "beats", "runs")}
+    return {n: spark.read.parquet(f"{path}/{n}").drop("bucket") for n in SNAPSHOT}
 
 
 def write_notation(rows: DataFrame, path: str, buckets: int = 256) -> None:

@@ -35,14 +35,17 @@ MILESTONES = (
 OPTIONAL = ("separation_engine:solo_probe", "separation_engine:separation_guided", "separation_engine:separation_skipped")
 
 
-def read_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """JSON-lines telemetry as a stream; broken lines are dropped.
+def read_stream(spark: SparkSession, path: str, max_files: int = 100, broken: bool = False, time_format: str | None = None) -> DataFrame:
+    """JSON-lines telemetry as a stream; with ``broken``, the lines that are no events, for a quarantine.
 
     Writers publish files atomically, so the file source never meets a
     half-written last line.
     """
-    s = (spark.readStream.schema(EVENT + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-         .option("maxFilesPerTrigger", max_files).json(path))
+    s = (spark.readStream.schema(EVENT + ", _corrupt string").option("mode", "PERMISSIVE")
+         .option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", max_files))
+    s = (s.option("timestampFormat", time_format) if time_format else s).json(path)
+    if broken:
+        return s.filter("_corrupt is not null or session is null").select(F.coalesce("_corrupt", F.to_json(F.struct(*[c for c in s.columns if c != "_corrupt"]))).alias("line"))
     return s.filter("_corrupt is null and session is not null").drop("_corrupt")
 
 
