@@ -35,7 +35,7 @@ class Hasher:
 
     def words(self, text: str) -> np.ndarray:
         known, found = self.known, WORDS.findall(text.lower())
-        if len(known) > 100_000:
+        if len(known) > 50_000:
             known.clear()
         for w in set(found).difference(known):
             b = w.encode("utf-8", "replace")
@@ -103,7 +103,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, passes: int = 4, alpha: floa
     return Weights(index.astype(np.int32), w[index].astype(np.float32), float(bias()), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 12_000, **options) -> Weights:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 9_000, **options) -> Weights:
     """Fit on a bounded sample of ``labels``: about ``max_rows`` rows, a third of them at most with label 1, whole texts.
 
     Of each label the rows with the smallest hash of the id are taken, and the bias is shifted
@@ -128,8 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     rows = texts.join(F.broadcast(marks), "id").select("id", "y", hashed("text").alias("x")).limit(4 * max_rows)
-    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.collect())
-    model = fit([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got]), **options)
+    got = rows.collect()
+    got.sort(key=lambda r: (r["id"], r["y"], len(r["x"])))
+    model = fit([np.frombuffer(r["x"], np.int32) for r in got], np.array([r["y"] for r in got]), **options)
     if len(cut) == 2:  # the labels were drawn at two rates: shift the odds back
         model.bias += math.log(cut[0] / cut[1])
     return model

@@ -41,7 +41,7 @@ class CachedEncoder:
     Texts with other white space or the special tokens' strings are encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 90_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts, self.most = Tokenizer.from_file(path), {}, {}, most
