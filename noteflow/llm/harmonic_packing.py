@@ -41,7 +41,7 @@ class CachedEncoder:
     Texts with other white space or the special tokens' strings are encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 90_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts, self.most = Tokenizer.from_file(path), {}, {}, most
@@ -66,7 +66,9 @@ class CachedEncoder:
     def without_signs(word: str) -> list[str]:
         """A word and the ASCII signs behind its last letter, which are a part of their own."""
         m = SIGNS.search(word)
-        return [word[:m.start()], m[0]] if m and m.start() and word[m.start() - 1].isalpha() else [word]
+        if m and m.start() and (last := word[m.start() - 1]).isalpha() and len(last.lower()) == 1:
+            return [word[:m.start()], m[0]]
+        return [word]  # a letter whose lower case ends in a mark takes the signs with it
 
     def learn(self, words: list[str]) -> None:
         if len(self.words) > self.most:
@@ -85,16 +87,18 @@ class CachedEncoder:
         parts_known.update(zip(rest, self.direct(rest)))
         words_known.update((w, b"".join([parts_known[p] for p in parts])) for w, parts in split.items())
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or ODD_SPACE.search(text):
-            return self.direct([text])[0]
-        words = text.split()
-        distinct = set(words)
-        if missing := distinct.difference(self.words):
-            # a memory that is full is replaced, and then lacks all words of this text
-            self.learn(list(distinct if len(self.words) > self.most else missing))
-        known = self.words
-        return b"".join([known[w] for w in words])
+    def encode(self, texts: list[str], at_once: int = 64) -> Iterator[bytes]:
+        """Ids of each text; the words of some texts are looked up, and new ones encoded, together."""
+        for i in range(0, len(texts), at_once):
+            some = texts[i:i + at_once]
+            words = [None if "<|" in t or ODD_SPACE.search(t) else t.split() for t in some]
+            distinct = set().union(*[w for w in words if w])
+            if missing := distinct.difference(self.words):
+                # a memory that is full is replaced, and then lacks all words of these texts
+                self.learn(list(distinct if len(self.words) > self.most else missing))
+            known = self.words
+            for t, w in zip(some, words):
+                yield self.direct([t])[0] if w is None else b"".join([known[x] for x in w])
 
 
 def cuts(length: int, capacity: int, waste: float = 0.02, floor: int = 16) -> list[tuple[int, int]]:
@@ -115,20 +119,21 @@ def cuts(length: int, capacity: int, waste: float = 0.02, floor: int = 16) -> li
     return out
 
 
-def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, carry: tuple = ()) -> DataFrame:
+def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, remember: int = 400_000) -> DataFrame:
     """Pieces of every document: row, id_col, start, length, ids (little-endian 32-bit), doc_tokens, class.
 
-    ``row`` tells repeated rows apart.  A null or empty text is the end token alone.
+    ``row`` tells repeated rows apart.  A null or empty text is the end token alone.  A task
+    keeps the ids of about twice ``remember`` words; more memory saves time, the ids are the same.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = CachedEncoder(tokenizer), array.array("I", [END]).tobytes()
+        encoder, end = CachedEncoder(tokenizer, remember), array.array("I", [END]).tobytes()
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("row", "id", "start", "length", "ids", "doc_tokens", "class")}
-            for row, i, text in zip(b["row"].tolist(), b["id"].tolist(), b["text"].tolist()):
-                ids = (encoder.encode(text) if text else b"") + end
+            for row, i, ids in zip(b["row"].tolist(), b["id"].tolist(), encoder.encode([t or "" for t in b["text"]])):
+                ids += end
                 at, total = 0, len(ids) // 4
                 for n, k in cuts(total, capacity):
                     for c, v in zip(out, (row, i, at, n, ids[at * 4:(at + n) * 4], total, k)):

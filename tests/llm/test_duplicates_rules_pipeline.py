@@ -218,7 +218,7 @@ def test_pipeline_equals_brute_force(spark, sf, pipeline):
     from noteflow.llm.harmonic_packing import CachedEncoder
 
     e = CachedEncoder(queries.tokenizer_path())
-    assert sum(r["length"] for r in packed) == sum(len(e.encode(r["text"])) // 4 + 1 for r in mixed.collect())
+    assert sum(r["length"] for r in packed) == sum(len(ids) // 4 + 1 for ids in e.encode([r["text"] for r in mixed.collect()]))
     assert sorted({r["doc_id"] for r in packed}) == sorted({r["doc_id"] for r in mixed.collect()})
     run = pipeline.run(spark, sf).collect()
     digest = lambda rows: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
