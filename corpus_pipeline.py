@@ -64,7 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in training sequences, as digests of their token ids."""
     # executors still hold what earlier stages needed, so the word memory is small here
-    pieces = harmonic_packing.tokenize(docs, "doc_id", "text", tokenizer_path(), remember=60_000)
+    pieces = harmonic_packing.tokenize(docs, "doc_id", "text", tokenizer_path(), remember=60_000, keep=False)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return harmonic_packing.place(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

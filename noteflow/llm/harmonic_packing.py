@@ -41,7 +41,7 @@ class CachedEncoder:
     Texts with other white space or the special tokens' strings are encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts, self.most = Tokenizer.from_file(path), {}, {}, most
@@ -55,13 +55,21 @@ class CachedEncoder:
 
     def line(self, parts: list[str]) -> list[bytes]:
         """Ids of many parts by one call: a part's last id tells where it ends."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        lines = [" ".join(parts[i:i + 64]) for i in range(0, len(parts), 64)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]])
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(parts):  # a part that is split further
             return self.direct(parts)
         packed, at = ids.tobytes(), [0, *(stops * 4).tolist()]
         return [packed[a:b] for a, b in zip(at, at[1:])]
 
+    @classmethod
+    def split(cls, word: str) -> list[str]:
+        """Parts of a word between white space that no rule joins."""
+        if word.isascii():
+            return [word.lower()] if word.isalpha() else PARTS.findall(word.lower())
+        return [word] if word.isalpha() else cls.without_signs(word)
+
     @staticmethod
     def without_signs(word: str) -> list[str]:
         """A word and the ASCII signs behind its last letter, which are a part of their own."""
@@ -77,7 +85,7 @@ class CachedEncoder:
             self.old_parts, self.parts = self.parts, {}
         words_known, parts_known, old_words, old_parts = self.words, self.parts, self.old_words, self.old_parts
         words_known.update((w, old_words[w]) for w in words if w in old_words)
-        split = {w: PARTS.findall(w.lower()) if w.isascii() else self.without_signs(w) for w in words if w not in words_known}
+        split = {w: self.split(w) for w in words if w not in words_known}
         new = {p for parts in split.values() for p in parts}.difference(parts_known)
         parts_known.update((p, old_parts[p]) for p in new if p in old_parts)
         new = new.difference(old_parts)
@@ -101,6 +109,18 @@ class CachedEncoder:
                 yield self.direct([t])[0] if w is None else b"".join([known[x] for x in w])
 
 
+_kept: dict[tuple[str, int], CachedEncoder] = {}
+
+
+def encoder(path: str, remember: int, keep: bool) -> CachedEncoder:
+    """A new encoder, or with ``keep`` the one this process already has."""
+    if not keep:
+        return CachedEncoder(path, remember)
+    if (path, remember) not in _kept:
+        _kept[path, remember] = CachedEncoder(path, remember)
+    return _kept[path, remember]
+
+
 def cuts(length: int, capacity: int, waste: float = 0.02, floor: int = 16) -> list[tuple[int, int]]:
     """Pieces (length, class) of a document of ``length`` tokens, in order.
 
@@ -119,20 +139,21 @@ def cuts(length: int, capacity: int, waste: float = 0.02, floor: int = 16) -> li
     return out
 
 
-def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, remember: int = 400_000) -> DataFrame:
+def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, remember: int = 200_000, keep: bool = True) -> DataFrame:
     """Pieces of every document: row, id_col, start, length, ids (little-endian 32-bit), doc_tokens, class.
 
-    ``row`` tells repeated rows apart.  A null or empty text is the end token alone.  A task
-    keeps the ids of about twice ``remember`` words; more memory saves time, the ids are the same.
+    ``row`` tells repeated rows apart.  A null or empty text is the end token alone.  A worker
+    holds the ids of about twice ``remember`` words, with ``keep`` for its later tasks too; more
+    memory saves time, the ids are the same.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = CachedEncoder(tokenizer, remember), array.array("I", [END]).tobytes()
+        known, end = encoder(tokenizer, remember, keep), array.array("I", [END]).tobytes()
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("row", "id", "start", "length", "ids", "doc_tokens", "class")}
-            for row, i, ids in zip(b["row"].tolist(), b["id"].tolist(), encoder.encode([t or "" for t in b["text"]])):
+            for row, i, ids in zip(b["row"].tolist(), b["id"].tolist(), known.encode([t or "" for t in b["text"]])):
                 ids += end
                 at, total = 0, len(ids) // 4
                 for n, k in cuts(total, capacity):
