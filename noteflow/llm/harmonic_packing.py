@@ -95,7 +95,7 @@ class CachedEncoder:
         parts_known.update(zip(rest, self.direct(rest)))
         words_known.update((w, b"".join([parts_known[p] for p in parts])) for w, parts in split.items())
 
-    def encode(self, texts: list[str], at_once: int = 64) -> Iterator[bytes]:
+    def encode(self, texts: list[str], at_once: int = 8) -> Iterator[bytes]:
         """Ids of each text; the words of some texts are looked up, and new ones encoded, together."""
         for i in range(0, len(texts), at_once):
             some = texts[i:i + at_once]
@@ -139,7 +139,7 @@ def cuts(length: int, capacity: int, waste: float = 0.02, floor: int = 16) -> li
     return out
 
 
-def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, remember: int = 200_000, keep: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, remember: int = 1_000_000, keep: bool = True) -> DataFrame:
     """Pieces of every document: row, id_col, start, length, ids (little-endian 32-bit), doc_tokens, class.
 
     ``row`` tells repeated rows apart.  A null or empty text is the end token alone.  A worker
