@@ -139,7 +139,7 @@ def cuts(length: int, capacity: int, waste: float = 0.02, floor: int = 16) -> li
     return out
 
 
-def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, remember: int = 1_000_000, keep: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, remember: int = 1_000_000, keep: bool = False) -> DataFrame:
     """Pieces of every document: row, id_col, start, length, ids (little-endian 32-bit), doc_tokens, class.
 
     ``row`` tells repeated rows apart.  A null or empty text is the end token alone.  A worker
