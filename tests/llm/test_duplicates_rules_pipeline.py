@@ -93,6 +93,37 @@ def test_large_group_of_near_copies_and_common_passage(spark):
     assert all(got[i] == 0 for i in range(400)) and all(got[i] == i for i in range(400, 700))
 
 
+def test_links_hidden_behind_a_foreign_hub(spark):
+    """Two alike texts whose every common sketch also occurs in an earlier, dissimilar text."""
+    rng = random.Random(8)
+    base = prose(rng, 200, 5000).split()
+    hubs = [prose(rng, 30, 5000).split() + base + prose(rng, 30, 5000).split() for _ in range(14)]
+    alike = [[f"n{j}" if j % 25 == 7 + i else w for j, w in enumerate(base)] for i in range(3)]
+    passages = [prose(rng, 25, 5000).split() for _ in range(30)]
+    drawn = [sum(rng.sample(passages, 6), []) for _ in range(80)]
+    texts = [" ".join(t) for t in [*hubs, base, *alike, *drawn]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    label, words = list(range(len(texts))), [order_minhash.word_hashes(t) for t in texts]
+    for i, j in combinations(range(len(texts)), 2):
+        if order_minhash.similarity_at_least(words[i], words[j], 0.8) is not None:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert classes(order_minhash.near_duplicates(docs).collect()) == dict(enumerate(label))
+
+
+def test_pairs_at_the_threshold_meet(spark):
+    rng = random.Random(9)
+    pairs = []
+    for n in [5, 6, 9, 12, 14, 20, 40, 80, 150, 300] * 15:
+        a = prose(rng, n, 20_000).split()
+        edits = set(rng.sample(range(n), n // 5))
+        pairs += [" ".join(a), " ".join("e" + w if i in edits else w for i, w in enumerate(a))]
+        if n % 5 == 0:  # every fifth word
+            pairs += [" ".join(a + ["z%d" % len(pairs)]), " ".join(["f" + w if i % 5 == 2 else w for i, w in enumerate(a)] + ["z%d" % len(pairs)])]
+    docs = spark.createDataFrame(list(enumerate(pairs)), "doc_id bigint, text string").repartition(4)
+    got = classes(order_minhash.near_duplicates(docs).collect())
+    assert sum(got[i] == got[i + 1] for i in range(0, len(pairs), 2)) >= 0.99 * len(pairs) / 2
+
+
 def test_duplicates_awkward_and_empty(awkward, empty_docs):
     rows = order_minhash.near_duplicates(awkward).collect()
     got = classes(rows)
