@@ -79,7 +79,9 @@ def j21(s, d):
 
 def paired(s, d):
     i = F.col("note_id")
-    e = c.notes(s, d).withColumns({"family": F.col("stem"), "motif": F.when(i % 3 != 0, F.col("pitch") % 4), "occurrence": F.when(i % 3 != 0, F.floor(F.col("start_ms") / 2000))})
+    n = c.notes(s, d)
+    label = tx.section_lookup(n, c.sections(s, d)).select("note_id", F.col("label").alias("section"))
+    e = n.join(label, "note_id", "left").withColumns({"family": F.col("stem"), "motif": F.when(i % 3 != 0, F.col("pitch") % 4), "occurrence": F.when(i % 3 != 0, F.floor(F.col("start_ms") / 2000))})
     return tx.edge_scores(tx.motif_pairs(e, 480.0, 2.0), 480.0)
 
 
@@ -91,6 +93,6 @@ def j19(s, d):
 @query("j19_a38_witness_auc")
 def j19b(s, d):
     """How well each edge score tells a motif's own continuation from its rivals."""
-    names = ("pitch_prox", "register", "ioi_regular", "metric_pos", "duration_compat", "overlap", "stem_same")
+    names = ("pitch_prox", "register", "ioi_regular", "metric_pos", "duration_compat", "overlap", "family_same", "stem_same", "motif_cont", "section_same")
     x = paired(s, d).select("positive", F.explode(F.array(*[F.struct(F.lit(n).alias("witness"), F.col(n).alias("score")) for n in names])).alias("w"))
     return ev.auc(x.select("positive", "w.witness", "w.score"), ["witness"], "score", "positive", 0.01)

@@ -52,3 +52,15 @@ def test_vector(spark):
     want = direct([(i, t, e, p) for _, _, i, t, e, p in rows], 0.0, 4000.0, 60.0)
     assert np.allclose([got.chordality, got.motion, got.regularity, got.independence, got.sustain, got.ostinato], want)
     assert tx.texture(df, 60.0).first().n == 30
+
+
+def test_motif_pairs_carry_sections_and_all_ten_witnesses_are_graded(spark, sf):
+    from noteflow.catalog import alignment
+    from noteflow.sources import corpus
+
+    where = {r["note_id"]: int(r["start_ms"] // 4000) for r in corpus.notes(spark, sf).select("note_id", "start_ms").collect()}
+    rows = alignment.j19(spark, sf).select("a_id", "b_id", "section_same").collect()
+    kind = {n: "ABC"[i * i % 3] for n, i in where.items()}
+    assert rows and all(r["section_same"] == float(kind[r["a_id"]] == kind[r["b_id"]]) for r in rows)
+    assert {r["witness"] for r in alignment.j19b(spark, sf).select("witness").collect()} == {
+        "pitch_prox", "register", "ioi_regular", "metric_pos", "duration_compat", "overlap", "family_same", "stem_same", "motif_cont", "section_same"}
