@@ -91,6 +91,11 @@ def box_distance(low: np.ndarray, high: np.ndarray, q: np.ndarray) -> np.ndarray
     return (gap * gap).sum(axis=1)
 
 
+def slack(q: np.ndarray) -> float:
+    """Squared projected distance that equal vectors may have by rounding alone: their products differ with the batch."""
+    return 1e-18 * float((q * q).sum())
+
+
 def search_block(vecs: np.ndarray, proj: np.ndarray, ids: np.ndarray, queries: pd.DataFrame, k: int, limit: float) -> pd.DataFrame:
     """The best ``k`` rows of one block for every query, not farther than its ``bound``."""
     leaves = kd_groups(proj, 64)
@@ -100,7 +105,7 @@ def search_block(vecs: np.ndarray, proj: np.ndarray, ids: np.ndarray, queries: p
         near = box_distance(low, high, qp)
         best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
         for leaf in np.argsort(near, kind="stable"):
-            if near[leaf] > limit * bound * bound:
+            if near[leaf] > limit * bound * bound + slack(qp):
                 break
             g = leaves[leaf]
             diff = vecs[g] - qv
@@ -160,7 +165,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     def open_parts(proj: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
         out = []
         for p, c, b in zip(matrix(proj), cell, bound):
-            near = (box_distance(low, high, p) <= limit * b * b) & (numbers != c)
+            near = (box_distance(low, high, p) <= limit * b * b + slack(p)) & (numbers != c)
             out.append([int(x) * 65536 + s for x in numbers[near] for s in range(parts_of[int(x)])])
         return pd.Series(out)
 

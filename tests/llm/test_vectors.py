@@ -142,3 +142,16 @@ def test_components_of_chains_stars_and_pairs(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(rows, "a bigint, b bigint"), "a", "b").collect()}
     assert set(got.values()) == {0, 1000, 2000, 2002} and len(got) == 301 + 400 + 3
     assert all(got[i] == 0 for i in range(301)) and all(got[i] == 1000 for i in range(1000, 1400)) and got[2001] == 2000
+
+
+def test_copies_whose_projections_differ_by_rounding_all_count():
+    import pandas as pd
+
+    vec, proj = np.ones(4), np.arange(1.0, 9.0)
+    n = 640
+    ids = np.arange(n)[::-1].copy()
+    projs = np.tile(proj, (n, 1))
+    projs[300:] += np.spacing(projs[300:])  # the smaller ids
+    ask = pd.DataFrame({"q_id": [-1], "q_vec": [vec], "q_proj": [proj], "q_bound": [np.inf]})
+    got = stable_ann.search_block(np.tile(vec, (n, 1)), projs, ids, ask, 10, stable_ann.chi_square_quantile(0.98, 8))
+    assert sorted(got["vec_id"]) == list(range(10)) and not got["score"].any()
