@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, cover_tree, ftrl, harmonic_packing, hilbert_sharding, license_templates, mixing, order_minhash, stable_ann, url_rules
+from . import byte_cnn, cover_tree, ftrl, harmonic_packing, hilbert_sharding, interval_search, license_templates, mixing, order_minhash, stable_ann, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+OP13_SQL = r"""
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+i as (
+  select row_number() over () as item, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term from (select distinct item_id, text from benchmark)),
+s as (select count(*) as docs, cast(sum(len(t)) as bigint) as length from d where len(t) > 0),
+p as (
+  select row, doc_id, n, term, count(*) as tf from (select row, doc_id, cast(len(t) as bigint) as n, unnest(t) as term from d)
+  where term in (select term from i) group by all),
+w as (select term, cast(floor(1000 * ln(cast(2 * any_value(docs) + 2 as double) / (2 * count(*) + 1))) as bigint) as weight from p, s group by term),
+r as (
+  select item, item_id, row, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) as bigint) as score
+  from i join p using (term) join w using (term), s group by all),
+o as (select item_id, cast(row_number() over (partition by item order by score desc, doc_id nulls last) as integer) as rank, doc_id, score from r where score > 0)
+select item_id, rank, doc_id, score from o where rank <= 50"""
+
+
+@query("op13_interval_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interval_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
