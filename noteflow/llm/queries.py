@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, cover_tree, ftrl, harmonic_packing, hilbert_sharding, interval_search, license_templates, mixing, order_minhash, stable_ann, url_rules
+from . import byte_cnn, conversation_trie, cover_tree, factor_machine, ftrl, harmonic_packing, hilbert_sharding, interval_search, license_templates, mixing, order_minhash, stable_ann, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,6 +174,60 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+OP11_SQL = r"""
+with recursive c as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+t as (select c, row_number() over (partition by c order by turn nulls first, role, text) - 1 as pos, role, text from c),
+n as (select c, count(*) as n from t group by c),
+h as (
+  select c, n, c - c % 100 as base, list_reduce(list_concat([cast(4294967295 as bigint)], flatten(list_transform(string_split(cast(c as varchar), ''),
+      lambda x: [cast(ascii(x) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end) end) as crc from n),
+k as (select h.c, h.n, base, xor(crc, 4294967295) % 6 as h, least(xor(crc, 4294967295) % 6, coalesce(b.n, 0)) as taken from h left join n b on b.c = base),
+r as (
+  select k.c, pos, role, text from k join t on t.c = base where pos < taken
+  union all select k.c, pos - h + taken, role, text from k join t on t.c = k.c where pos >= h),
+l as (select k.c, taken + greatest(n - h, 0) as length from k),
+p as (
+  select r.c, r.pos + 1 as depth, r.text, sha256(string_agg(concat(strlen(q.role), ':', q.role, strlen(q.text), ':', q.text), '' order by q.pos)) as prefix
+  from r join r q on q.c = r.c and q.pos <= r.pos group by all
+  union all select c, 0, '', '' from l),
+m as (select depth, prefix, min(c) as conv_id, count(*) as n_convs, any_value(text) as text from p group by depth, prefix),
+g as (
+  select depth, prefix, lower(sha256(coalesce(string_agg(cast(l.c as varchar), ',' order by l.c), ''))) as ends_sha256
+  from p left join l on l.c = p.c and l.length = p.depth group by depth, prefix),
+a as (select p.depth, p.prefix, m.depth as up_depth, m.prefix as up from m join p q on q.c = m.conv_id and q.depth = m.depth join p on p.c = m.conv_id and p.depth <= m.depth),
+f as (select m.*, (select count(*) from a where a.depth = m.depth and a.prefix = m.prefix and a.up_depth = m.depth + 1) as n_children from m),
+s as (
+  select a.depth, a.prefix, sum(case when f.n_children = 0 then 1 else 0 end) as n_leaves, sum((f.n_convs - 1) * length(f.text)) as saved_tokens
+  from a join f on f.depth = a.up_depth and f.prefix = a.up group by a.depth, a.prefix)
+select f.conv_id, f.depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, ends_sha256
+from f join s using (depth, prefix) join g using (depth, prefix) left join (select a.up_depth, a.up, a.depth, m.conv_id from a join m using (depth, prefix)) u
+  on u.up_depth = f.depth and u.up = f.prefix and u.depth = f.depth - 1"""
+
+
+@query("op11_conversation_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, lengths = conversation_trie.place_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return conversation_trie.prefix_trie(*conversation_trie.share_openings(placed, lengths))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame):
+    return factor_machine.train(docs, labels.filter(fold("doc_id", 4) != 2), "doc_id", "text", "quality", [length_class()])
+
+
+def length_class():
+    """The one column of ``documents`` that may describe a text: its length, in half octaves."""
+    return F.floor(2 * F.log2(F.greatest(F.col("n_chars"), F.lit(0)) + 1))
+
+
+@query("op12_factor_machine")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    scored = factor_machine.score(docs, quality_model(docs, table(spark, sf_dir, "labels")), metadata=[length_class()])
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 OP13_SQL = r"""
 with d as (
   select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
