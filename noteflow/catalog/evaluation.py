@@ -182,12 +182,21 @@ def w44(s, d):
     return e.label_consistency(x, "label", "texture").select("song_id", "label", "texture", r6("share").alias("share"))
 
 
-@query("w43_offset_injection", "", "", """
-select o as offset_ms, cast(o as double) as recovered, 1e0 as slope from (values (-40e0), (-20e0), (0e0), (20e0), (40e0)) v(o)""")
+@query("w43_offset_injection", "notes", """
+ofs(o) as (values (-40e0), (-20e0), (0e0), (20e0), (40e0)),
+rr as (select *, row_number() over (partition by song_id, pitch order by start_ms, note_id) as k from notes),
+gm(song_id, pitch, o, k, used, err) as (
+  select song_id, pitch, o, 0, cast([] as bigint[]), cast(null as double) from (select distinct song_id, pitch from notes) q, ofs
+  union all
+  select song_id, pitch, o, k, case when b.cid is null then used else list_append(used, b.cid) end, b.t - rt from (
+    select g.song_id, g.pitch, g.o, r.k, r.start_ms as rt, g.used, (select arg_min({'cid': c.note_id, 't': c.start_ms + g.o}, [abs(c.start_ms + g.o - r.start_ms), c.start_ms + g.o, c.note_id])
+      from notes c where c.song_id = r.song_id and c.pitch = r.pitch and abs(c.start_ms + g.o - r.start_ms) < 250 and not list_contains(g.used, c.note_id)) as b
+    from gm g join rr r on r.song_id = g.song_id and r.pitch = g.pitch and r.k = g.k + 1) z),
+rv as (select o, avg(err) as m from gm where k > 0 group by o)""", """
+select o as offset_ms, round(m, 6) as recovered, round((select regr_slope(m, o) from rv), 6) as slope from rv""")
 def w43(s, d):
-    """Every note shifted by a known offset is found again exactly that far away."""
-    n = c.notes(s, d).withColumn("pitch", F.col("note_id"))
-    b = e.injected_bias(n, (-40.0, -20.0, 0.0, 20.0, 40.0), 250.0)
+    """Every note shifted by a known offset against the unshifted notes of its song and pitch."""
+    b = e.injected_bias(c.notes(s, d), (-40.0, -20.0, 0.0, 20.0, 40.0), 250.0)
     return b.select("offset_ms", F.round("recovered", 6).alias("recovered"), F.round("slope", 6).alias("slope"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import annotations as an
 from ..operators import frames as f
 from ..operators import texture as tx
+from ..plans.timeline import row_no, scan
 from ..sources import corpus as c
 from .registry import query, r6
 
@@ -16,11 +17,16 @@ def wide_frames(s, d):
 ACTIVITY = """
 a0 as (select song_id, frame_idx, rms, flux, flatness, rms * flatness as hi, rms * 0.5e0 as lo, 20e0 * log10(greatest(rms, 1e-10)) as db from frames),
 a1 as materialized (select song_id, quantile_cont(db, 0.95) as loud, quantile_cont(flux, 0.95) as busy, min(frame_idx) as lf, max(frame_idx) as rf from a0 group by song_id),
-a2 as (select a0.*, loud, busy, lf, rf, k, frame_idx + k as i, greatest(0e0, least(1e0, flux / greatest(busy, 1e0))) as norm from a0 join a1 using (song_id), range(-51, 52) q(k)
-  where k = 0 or (k < 0 and frame_idx = lf) or (k > 0 and frame_idx = rf)),
-a3 as materialized (select *, least(quantile_cont(db, 0.15) over (partition by song_id order by i rows between 43 preceding and 42 following), loud - 18e0) as fl,
-  avg(db) over (partition by song_id order by i rows between 5 preceding and 5 following) as mean,
-  quantile_cont(norm, 0.5) over (partition by song_id order by i rows between 16 preceding and 15 following) as base from a2),
+a2 as materialized (
+  select song_id, frame_idx, rms, flux, flatness, hi, lo, db, loud, lf, rf, 0 as k, frame_idx as i, greatest(0e0, least(1e0, flux / greatest(busy, 1e0))) as norm from a0 join a1 using (song_id)
+  union all select song_id, frame_idx, rms, flux, flatness, hi, lo, db, loud, lf, rf, k, frame_idx + k, greatest(0e0, least(1e0, flux / greatest(busy, 1e0)))
+  from (select a0.*, loud, busy, lf, rf, unnest(case when frame_idx = lf then range(-51, 0) else [] end || case when frame_idx = rf then range(1, 52) else [] end) as k
+    from a0 join a1 using (song_id) where frame_idx = lf or frame_idx = rf) e),
+-- surroundings by a join on the position: moving quantiles as window functions fail on some builds
+qa as materialized (select a.song_id, a.i, quantile_cont(b.db, 0.15) as low, quantile_cont(b.norm, 0.5) filter (where b.i between a.i - 16 and a.i + 15) as base
+  from a2 a join a2 b on a.song_id = b.song_id and b.i between a.i - 43 and a.i + 42 where a.k = 0 or abs(a.k) = 1 group by a.song_id, a.i),
+a3 as materialized (select a2.*, least(low, loud - 18e0) as fl, base,
+  avg(db) over (partition by song_id order by i rows between 5 preceding and 5 following) as mean from a2 left join qa using (song_id, i)),
 a4 as (select *, case when db < -60 then 0e0 else greatest(0e0, least(1e0, (db - fl) / 18e0)) end as level, lag(mean) over w as pm, lead(mean) over w as nm,
   greatest(0e0, least(1e0, (norm - base) / greatest(1e0 - base, 0.25e0))) as hit from a3 window w as (partition by song_id order by i)),
 a5 as materialized (select *, greatest(0e0, least(1e0, ((case when lf = rf then 0e0 when i = lf then mean - nm when i = rf then pm - mean else (pm - nm) / 2e0 end) - 0.02e0) / 0.08e0)) as fall,
@@ -49,6 +55,32 @@ def w22(s, d):
     return f.regions(c.frames(s, d), "rms", 0.5, 2).select("song_id", "first_frame", "last_frame", r6("mean_score").alias("mean_score"))
 
 
+@query("j20_recurrence_edges", "", """
+bt as (select label as song_id, row_number() over (partition by label order by vec_id) - 1 as i, list_transform(embedding, lambda x: cast(x as double)) as f from embeddings),
+nn as (select song_id, cast(2 * ceil(sqrt(greatest(count(*) - 5, 0))) as bigint) as k from bt group by song_id),
+dd as (select a.song_id, a.i, b.i as j, round(1 - list_dot_product(a.f, b.f) / sqrt(list_dot_product(a.f, a.f) * list_dot_product(b.f, b.f)), 12) as d
+  from bt a join bt b on a.song_id = b.song_id and abs(a.i - b.i) >= 3),
+ne as (select * from (select dd.*, k, row_number() over (partition by dd.song_id, i order by d, j) as rn from dd join nn using (song_id)) q where rn <= k),
+wd as (select song_id, median(d) as w from ne where rn = k group by song_id),
+af as (select song_id, i, j, exp(-d / greatest(w, 1e-12)) as a from ne join wd using (song_id)),
+sy as (select song_id, i, j, max(a) as affinity from (select * from af union all select song_id, j, i, a from af) q group by all),
+st as (select song_id, i, list_sum(list_transform(list_zip(f, g), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d
+  from (select *, lead(f) over (partition by song_id order by i) as g from bt) q where g is not null),
+sg as (select song_id, median(d) as s from st group by song_id),
+p0 as (select song_id, i, i + 1 as j, exp(-d / (s + 1e-9)) as path from st join sg using (song_id)),
+pa as (select * from p0 union all select song_id, j, i, path from p0),
+ed as (select song_id, i, j, coalesce(affinity, 0) as affinity, coalesce(path, 0) as path from sy full join pa using (song_id, i, j)),
+dg as (select song_id, i, sum(path) as p, sum(affinity) as r from ed group by song_id, i),
+mu as (select song_id, sum(p * (p + r)) / (sum((p + r) * (p + r)) + 1e-9) as mu from dg group by song_id)""", """
+select song_id, i, j, round(affinity + 1.37e-8, 6) as affinity, round(path + 1.37e-8, 6) as path, round(mu * affinity + (1 - mu) * path + 1.37e-8, 6) as weight from ed join mu using (song_id)""")
+def j20(s, d):
+    """Vectors of one label stand for the beats of one song, in order of their ids."""
+    v = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("song_id"), "vec_id", F.col("embedding").alias("feat"))
+    at = scan(v.withColumn("_at", F.col("vec_id").cast("double")), ["song_id"], ["_at"], {"rn": row_no()}, 10000.0)
+    e = f.recurrence_edges(at.select("song_id", (F.col("rn") - 1).cast("bigint").alias("i"), "feat"))
+    return e.select("song_id", "i", "j", *[r6(x).alias(x) for x in ("affinity", "path", "weight")])
+
+
 def labelled(s, d):
     b = c.beats(s, d).withColumn("label", F.floor(F.col("beat_idx") / 7) % 3 + F.when(F.col("beat_idx") % 11 == 0, 1).otherwise(0))
     m = f.median_labels(b)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from typing import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.carry import carry
 from ..plans.grouping import anchor_groups
+from ..plans.groups import Group, map_groups
 from ..plans.joins import nearest
-from ..plans.timeline import exact_percentiles, islands, nxt, prev, run_sum, scan, settle
+from ..plans.timeline import CHUNK, CHUNK_MS, exact_percentiles, halo, islands, nxt, prev, run_sum, scan, settle
 
 
 def stage_survival(notes: DataFrame, reference: DataFrame, stages: Sequence[tuple[Column, Column]],
@@ -32,20 +35,80 @@ def stage_survival(notes: DataFrame, reference: DataFrame, stages: Sequence[tupl
     return g.withColumn("delta", delta).withColumn("flagged", F.coalesce(F.col("delta") <= -0.05, F.lit(False)))
 
 
-def claim_once(reference: DataFrame, candidates: DataFrame, cap: float, keys=("song_id", "pitch"), inclusive: bool = False) -> DataFrame:
+def _claim(t: list[float], side: list[int], cap: float, inclusive: bool) -> list[int]:
+    """Which candidate each row takes (-1: none, or a candidate's row); rows in order of time, side and id."""
+    places = [i for i, s in enumerate(side) if not s]
+    times = [t[i] for i in places]
+    free = [True] * len(places)
+    taken = [-1] * len(t)
+    for i, s in enumerate(side):
+        if not s:
+            continue
+        best, least = -1, (cap, 0.0)
+        for j in range(bisect_left(times, t[i] - cap - 1e-6), len(times)):
+            gap = abs(times[j] - t[i])
+            if times[j] - t[i] > cap:
+                break
+            # of equal distances the earlier candidate, of equal times the smaller id
+            if free[j] and (gap <= cap if inclusive else gap < cap) and (best < 0 or (gap, times[j]) < least):
+                best, least = j, (gap, times[j])
+        if best >= 0:
+            free[best] = False
+            taken[i] = places[best]
+    return taken
+
+
+def claim_once(reference: DataFrame, candidates: DataFrame, cap: float, keys=("song_id", "pitch"), inclusive: bool = False, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Greedy one-to-one matching: in time order each reference note takes the nearest unused candidate.
 
-    ``reference`` has keys, ref_id, t; ``candidates`` has keys, cand_id, t.  A
-    reference is decided once every candidate within the cap behind it has been
-    seen, so the state of the sequence is the unused candidates of the last two
-    caps.  Adds cand_id and error (signed, candidate - reference).
+    ``reference`` has keys, ref_id, t; ``candidates`` has keys, cand_id, t.  No claim
+    reaches over a pause longer than the cap, so a sequence falls into pieces there that do not
+    depend on each other.  Pieces inside a (keys, chunk) are worked where they lie, any number of
+    keys in one pass; only those a chunk border cuts, seen by the copies of the rows
+    within the cap behind it, are left to ``_claim_across``.  Adds cand_id and error (signed, candidate - reference).
     """
     keys = list(keys)
     both = reference.select(*keys, F.col("t").cast("double").alias("t"), F.lit(1).alias("side"), F.col("ref_id").cast("bigint").alias("id")).unionByName(
         candidates.select(*keys, F.col("t").cast("double").alias("t"), F.lit(0).alias("side"), F.col("cand_id").cast("bigint").alias("id")))
+    seen = halo(both, "t", float(cap), float(cap), max(float(chunk_ms), float(cap)))
+
+    def one(p: Group) -> dict:
+        t, home = p["t"], p["_home"].astype(bool)
+        piece = np.cumsum(np.concatenate([[False], np.diff(t) > cap]))
+        cut = np.zeros(piece[-1] + 1, bool)
+        cut[piece[~home]] = True
+        whole = ~cut[piece]
+        side, ids = p["side"].tolist(), p["id"].tolist()
+        times = t.tolist()
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(piece) > 0])).tolist() + [len(t)]
+        rows, taken = [], [-1] * len(times)
+        for lo, hi in zip(edges, edges[1:]):
+            if not whole[lo]:
+                rows += [i for i in range(lo, hi) if home[i]]
+                continue
+            rows += [i for i in range(lo, hi) if side[i]]
+            if 0 < sum(side[lo:hi]) < hi - lo:
+                taken[lo:hi] = [lo + x if x >= 0 else -1 for x in _claim(times[lo:hi], side[lo:hi], cap, inclusive)]
+        return {**p.key(keys, len(rows)), "t": [times[i] for i in rows], "side": [side[i] for i in rows], "id": [ids[i] for i in rows], "open": [not whole[i] for i in rows],
+                "cand_id": [ids[taken[i]] if taken[i] >= 0 else None for i in rows], "error": [times[taken[i]] - times[i] if taken[i] >= 0 else None for i in rows]}
+
+    schema = T.StructType([*[both.schema[k] for k in keys], T.StructField("t", T.DoubleType()), T.StructField("side", T.IntegerType()), T.StructField("id", T.LongType()),
+                           T.StructField("open", T.BooleanType()), T.StructField("cand_id", T.LongType()), T.StructField("error", T.DoubleType())])
+    made = settle(map_groups(seen, None, [*keys, CHUNK], ["t", "side", "id"], one, schema))
+    done = made.filter("not open").select(*keys, F.col("id").alias("ref_id"), "cand_id", "error")
+    rest = made.filter("open").select(*keys, "t", "side", "id")
+    return done if rest.isEmpty() else done.unionByName(_claim_across(rest, cap, keys, inclusive, chunk_ms))
+
+
+def _claim_across(both: DataFrame, cap: float, keys: list[str], inclusive: bool, chunk_ms: float) -> DataFrame:
+    """``claim_once`` for sequences of any length (keys, t, side, id), carried over chunk borders.
+
+    A reference is decided once every candidate within the cap behind it has been
+    seen, so the state of the sequence is the unused candidates of the last two caps.
+    """
     both = settle(both.withColumns({"_at": F.col("t") + F.col("side") * float(cap), "_row": F.col("id") * 2 + F.col("side")}))
 
-    def run(p, entry, end):
+    def run(p: Group, entry: list, end: float):
         open_ = [[~k, *s] for k, s in enumerate(entry)]
         labels = list(range(len(p)))
         for a, (at, t, side, i) in enumerate(zip(p["_at"].tolist(), p["t"].tolist(), p["side"].tolist(), p["id"].tolist())):
@@ -60,10 +123,10 @@ def claim_once(reference: DataFrame, candidates: DataFrame, cap: float, keys=("s
                 open_.remove(best)
         return labels, [(c[0], c[1:]) for c in open_ if c[1] + 2 * cap + 1e-6 >= end]
 
-    made = carry(both, keys, ["_at", "side", "t", "id"], [], run, "_row", "_with")
+    made = carry(both, keys, ["_at", "side", "t", "id"], [], run, "_row", "_with", chunk_ms)
     cand = F.when(F.col("_with") != F.col("_row"), F.floor(F.col("_with") / 2))
     m = made.filter("side = 1").select(*keys, F.col("id").alias("ref_id"), cand.alias("cand_id"), F.col("t").alias("_t"))
-    at = candidates.select(*keys, F.col("cand_id").cast("bigint").alias("cand_id"), F.col("t").cast("double").alias("_c"))
+    at = both.filter("side = 0").select(*keys, F.col("id").alias("cand_id"), F.col("t").alias("_c"))
     return m.join(at, [*keys, "cand_id"], "left").select(*keys, "ref_id", "cand_id", (F.col("_c") - F.col("_t")).alias("error"))
 
 
@@ -171,19 +234,29 @@ def grid_error(notes: DataFrame, beat_ms: float) -> DataFrame:
     return notes.groupBy("song_id").agg(F.avg(F.abs(sub - F.bround(sub))).alias("grid_error"), (F.sum(F.col("end_ms") - F.col("start_ms"))).alias("sounding_ms"))
 
 
-def pareto_front(points: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """Points no other point of the group beats on every axis.
+def pareto_front(points: DataFrame, axes: Sequence[str], deals: int = 64) -> DataFrame:
+    """Points no other point of the song beats on every axis (smaller is better); equal points stay together.
 
-    Candidates to dominate are first reduced to the best value of the last axis
-    per combination of the others; the front itself is an anti join on the group.
+    A skyline in two phases: a song's points are dealt to ``deals`` shares and each keeps its own front,
+    then the fronts of a song meet once.  A null beats nothing and is not beaten.
     """
-    rest, last = list(axes[:-1]), axes[-1]
-    best = points.groupBy("song_id", *rest).agg(F.min(last).alias(last))
-    o = best.select("song_id", *[F.col(x).alias(f"_{x}") for x in axes])
-    no_worse, better = F.lit(True), F.lit(False)
-    for x in axes:
-        no_worse, better = no_worse & (F.col(f"_{x}") <= F.col(x)), better | (F.col(f"_{x}") < F.col(x))
-    return points.join(o, (points["song_id"] == o["song_id"]) & no_worse & better, "left_anti")
+    axes, names = list(axes), points.columns
+
+    def front(p: Group) -> dict:
+        x = np.stack([p[a].astype(float) for a in axes], axis=1)
+        order = np.lexsort(x.T[::-1])
+        kept: list[int] = []
+        held = np.zeros((0, len(axes)))
+        for at in order:  # nothing later in this order beats an earlier point
+            if not ((held <= x[at]).all(axis=1) & (held < x[at]).any(axis=1)).any():
+                kept.append(int(at))
+                held = np.concatenate([held, x[at][None]])
+        return {c: p[c][kept].tolist() for c in names}
+
+    schema = points.schema
+    dealt = points.withColumn(CHUNK, F.pmod(F.xxhash64(*axes), F.lit(deals)))
+    local = map_groups(dealt, None, ["song_id", CHUNK], axes, front, schema)
+    return map_groups(local, None, ["song_id"], axes, front, schema)
 
 
 def auc(samples: DataFrame, keys: Sequence[str], score: str, positive: str, width: float) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.carry import carry
 from ..plans.grouping import anchor_groups
+from ..plans.groups import Group
 from ..plans.timeline import CHUNK_MS, settle
 from .filters import family_ladder
 
@@ -19,6 +19,8 @@ def assign_min_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     if cost.shape[0] > cost.shape[1]:
         return [(i, j) for j, i in assign_min_cost(cost.T)]
     n, m = cost.shape
+    if n == 1:
+        return [(0, int(cost[0].argmin()))]
     owner = np.full(m, -1)
     u, v = np.zeros(n), np.zeros(m)
     for i in range(n):
@@ -47,10 +49,10 @@ def assign_min_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
 
 
-def _voice_run(p: pd.DataFrame, entry: list, end: float):
+def _voice_run(p: Group, entry: list, end: float):
     """Chord groups (25 ms) joined to open lines at least total cost; state = (pitch, end, start) per line."""
     lines = [[~k, *s] for k, s in enumerate(entry)]
-    t, e, pitch, group = (p[c].to_numpy() for c in ("start_ms", "end_ms", "pitch", "group_ms"))
+    t, e, pitch, group = (p[c].tolist() for c in ("start_ms", "end_ms", "pitch", "group_ms"))
     labels = [0] * len(p)
     i = 0
     while i < len(p):
@@ -93,12 +95,12 @@ def voice_lines(notes: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
 def _thread_run(beat_ms: float):
     limit = 2.0 * max(beat_ms, 1.0)
 
-    def run(p: pd.DataFrame, entry: list, end: float):
+    def run(p: Group, entry: list, end: float):
         threads = [[~k, *s] for k, s in enumerate(entry)]
         labels = []
-        for a, (t, pitch) in enumerate(zip(p["start_ms"].to_numpy(), p["pitch"].to_numpy())):
+        for a, (t, pitch) in enumerate(zip(p["start_ms"].tolist(), p["pitch"].tolist())):
             threads = [th for th in threads if t - th[1] <= limit]
-            best, least = None, np.inf
+            best, least = None, float("inf")
             for th in threads:
                 gap, jump = t - th[1], abs(pitch - th[2])
                 if gap <= 45.0 or jump > 12:

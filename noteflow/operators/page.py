@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.carry import Kept, carry
+from ..plans.groups import Group
 from ..plans.joins import points_in
 from ..plans.timeline import CHUNK_MS, islands, nxt, prev, row_no, scan, settle
 from .filters import position_level
@@ -91,11 +91,11 @@ def gridded_chords(notes: DataFrame, offset: Column, keys=("song_id", "part")) -
     return n.join(at, [*keys, "offset"]).withColumn("place", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def _free_voice_run(p: pd.DataFrame, entry: list, end: float):
+def _free_voice_run(p: Group, entry: list, end: float):
     """Nearest free voice by pitch, else a new one; state = (free at, last pitch) per voice."""
     voices = [[~k, *s, False] for k, s in enumerate(entry)]
     labels = []
-    for a, (t, e, pitch) in enumerate(zip(p["start_ms"].to_numpy(), p["end_ms"].to_numpy(), p["pitch"].to_numpy())):
+    for a, (t, e, pitch) in enumerate(zip(p["start_ms"].tolist(), p["end_ms"].tolist(), p["pitch"].tolist())):
         free = [v for v in voices if t >= v[1]]
         if free:
             v = min(free, key=lambda x: abs(x[2] - pitch))
@@ -121,10 +121,10 @@ def register_voices(events: DataFrame, keys=("song_id", "stem"), per_staff: int
 
 
 def _staff_run(max_voices: int, slack_ms: float):
-    def run(p: pd.DataFrame, entry: list, end: float):
+    def run(p: Group, entry: list, end: float):
         voices = [[~k, *s, False] for k, s in enumerate(entry)]
         labels = []
-        for a, (t, e, pitch) in enumerate(zip(p["start_ms"].to_numpy(), p["end_ms"].to_numpy(), p["pitch"].to_numpy())):
+        for a, (t, e, pitch) in enumerate(zip(p["start_ms"].tolist(), p["end_ms"].tolist(), p["pitch"].tolist())):
             free = [v for v in voices if v[1] <= t + slack_ms]
             if free:
                 v = min(free, key=lambda x: abs(x[2] - pitch))
@@ -206,10 +206,10 @@ def route_parts(notes: DataFrame, families: DataFrame | None = None) -> DataFram
 def tempo_segments(beats: DataFrame, tolerance_bpm: float = 1.5, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Runs of beats whose next interval stays within the tolerance of the run's mean tempo."""
 
-    def run(p: pd.DataFrame, entry: list, end: float):
+    def run(p: Group, entry: list, end: float):
         state = [~0, *entry[0]] if entry else None
         labels = []
-        for a, (t, nx) in enumerate(zip(p["t_ms"].to_numpy(), p["next_ms"].to_numpy(dtype=float))):
+        for a, (t, nx) in enumerate(zip(p["t_ms"].tolist(), p["next_ms"].astype(float).tolist())):
             if state is None:
                 state = [a, float(t), 0]
             elif state[2] > 0 and nx == nx:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+import json
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions.music import clip
 from ..plans.grouping import anchor_groups, blocks
+from ..plans.groups import Group, map_groups
 from ..plans.joins import nearest
-from ..plans.timeline import CHUNK_MS, nxt, prev, row_no, scan, settle
+from ..plans.timeline import CHUNK, CHUNK_MS, nxt, prev, row_no, scan, settle
 from .filters import denominator_for
 from .tempo import interpolate_at
 
@@ -43,17 +45,33 @@ def intervals(onsets: DataFrame, lo: float, hi: float, chunk_ms: float = CHUNK_M
     return s.withColumn("ioi", F.col("_n") - F.col("t_ms")).filter((F.col("ioi") > lo) & (F.col("ioi") < hi)).drop("_n")
 
 
-def density(values: DataFrame, value: str, stats: DataFrame, points: int) -> DataFrame:
+def density(values: DataFrame, value: str, t: str, stats: DataFrame, points: int, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Gaussian kernel density per song on ``points`` grid points between x_lo and x_hi.
 
-    ``stats`` has song_id, n, h, x_lo, x_hi.  Each value adds to every grid point
-    and the sums combine map-side, so a song is never gathered in one place.
+    ``stats`` has song_id, h, x_lo, x_hi.  Values of one (song, time chunk) meet the grid as a matrix of
+    distinct values, weighted by their counts, and leave one partial sum per grid point; a song
+    is never gathered in one place and no row is made per value and point.
     """
-    j = values.join(stats, "song_id").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("x_lo") + F.col("g") * (F.col("x_hi") - F.col("x_lo")) / float(points - 1)
-    z = (x - F.col(value)) / F.col("h")
-    return j.select("song_id", "g", x.alias("x"), F.exp(-0.5 * z * z).alias("k")).groupBy("song_id", "g").agg(
-        F.first("x").alias("x"), F.round(F.sum("k"), 9).alias("density"))
+    part = ["song_id", CHUNK]
+    rows = values.select("song_id", F.col(value).cast("double").alias("_x"), F.floor(F.col(t) / F.lit(float(chunk_ms))).alias(CHUNK))
+    grid = stats.select("song_id", F.to_json(F.array(*[F.col(c).cast("double") for c in ("h", "x_lo", "x_hi")])).alias("want"))
+    entries = rows.select(*part).distinct().join(grid, "song_id").select(*part, "want")
+
+    def sums(p: Group) -> dict:
+        if p.want is None:  # a song without a width
+            return {}
+        h, lo, hi = json.loads(p.want)
+        seen, times = np.unique(p["_x"], return_counts=True)
+        x = lo + np.arange(points) * (hi - lo) / float(points - 1)
+        total = np.zeros(points)
+        for i in range(0, len(seen), 4096):
+            z = (x[None] - seen[i:i + 4096, None]) / h
+            total += times[i:i + 4096] @ np.exp(-0.5 * z * z)
+        return {**p.key(["song_id"], points), "g": list(range(points)), "x": x.tolist(), "k": total.tolist()}
+
+    schema = T.StructType([values.schema["song_id"], T.StructField("g", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("k", T.DoubleType())])
+    made = map_groups(rows.join(grid.select("song_id"), "song_id", "left_semi"), entries, part, ["_x"], sums, schema)
+    return made.groupBy("song_id", "g").agg(F.first("x").alias("x"), F.round(F.sum("k"), 9).alias("density"))
 
 
 def peaks(dens: DataFrame) -> DataFrame:
@@ -74,7 +92,7 @@ def modal_tempo(notes: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
     onset_n = onsets.groupBy("song_id").agg(F.count(F.lit(1)).alias("_o")).filter("_o >= 8")
     st = st.filter("n >= 6").join(onset_n, "song_id", "left_semi")
     smooth = st.filter("sd > 0").withColumn("h", F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd"))
-    pk = peaks(density(iois.select("song_id", "ioi"), "ioi", smooth.select("song_id", "h", "x_lo", "x_hi"), 400))
+    pk = peaks(density(iois, "ioi", "t_ms", smooth.select("song_id", "h", "x_lo", "x_hi"), 400, chunk_ms))
     top = pk.groupBy("song_id").agg(
         F.min_by("x", F.when(F.col("peak"), F.struct(-F.col("density"), F.col("g")))).alias("a"),
         F.min_by("x", F.struct(-F.col("density"), F.col("g"))).alias("b"))
@@ -91,12 +109,12 @@ def modal_tempo(notes: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
 def ratio_families(iois: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Share of interval-ratio density peaks per rhythmic family (one row per song and family)."""
     s = scan(iois, ["song_id"], ["t_ms"], {"_1": nxt("ioi"), "_2": nxt("ioi", 2)}, chunk_ms)
-    r = s.select("song_id", F.explode(F.array(F.col("_1") / F.col("ioi"), F.col("_2") / F.col("ioi"))).alias("ratio"))
+    r = s.select("song_id", "t_ms", F.explode(F.array(F.col("_1") / F.col("ioi"), F.col("_2") / F.col("ioi"))).alias("ratio"))
     r = settle(r.filter((F.col("ratio") > 0.4) & (F.col("ratio") < 2.6)))
     st = r.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), (0.15 * F.stddev_samp("ratio")).alias("h"))
     st = st.filter("n >= 5 and h > 0").select("song_id", "h", F.lit(0.4).alias("x_lo"), F.lit(2.6).alias("x_hi"),
                                             (F.col("n") * F.col("h") * float(np.sqrt(2 * np.pi))).alias("scale"))
-    pk = peaks(density(r, "ratio", st.drop("scale"), 200)).filter("peak")
+    pk = peaks(density(r, "ratio", "t_ms", st.drop("scale"), 200, chunk_ms)).filter("peak")
     fam = F
     for name, ideals in FAMILIES:
         near = [F.abs(F.col("x") - i) < 0.1 for i in ideals]
@@ -113,14 +131,24 @@ def ratio_families(iois: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
     return grid.select("song_id", "family", F.when(F.col("_ok"), share).otherwise(0.5).alias("score"))
 
 
+def _round_half_up(x: float, places: int) -> float:
+    """Rounded as Spark and most SQL engines round doubles: by their decimal text."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
+def _multiples(bases: list[float]) -> set[float]:
+    """Six multiples of each base period that lie within 20..300 bpm."""
+    made = {_round_half_up(b * m, 6) for b in bases for m in (1, 2, 3, 4, 6, 8)}
+    return {p for p in made if 0.2 <= p <= 3.0}
+
+
 def lattice(onsets: DataFrame, families: DataFrame, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Best regular time lattice per song.
 
-    Candidate periods (twenty shortest intervals, a half-bpm grid, six
-    multiples) are exploded next to each onset and the scores are plain
-    averages, so partial aggregation shrinks each input partition to one row
-    per (song, period) before anything is shuffled.  Periods outside
-    20..300 bpm are dropped before the explode.
+    Candidate periods are the twenty shortest intervals of the song, a half-bpm grid, and six
+    multiples of each.  The onsets of one (song, time chunk) meet all of them as a matrix and leave
+    one partial sum per period, so no row is made per onset and period.  Periods outside
+    20..300 bpm are not tried.
     """
     s = scan(onsets.select("song_id", "t_ms"), ["song_id"], ["t_ms"], {"_n": nxt("t_ms")}, chunk_ms)
     gap = F.col("_n") - F.col("t_ms")
@@ -132,19 +160,31 @@ def lattice(onsets: DataFrame, families: DataFrame, chunk_ms: float = CHUNK_MS)
         F.count("ioi").alias("n_ioi"), F.count(F.lit(1)).alias("events"),
         # distinct intervals at 0.1 ms inside (0.05, 2) s: at most 19 500 values
         F.slice(F.array_sort(F.collect_set(F.when(r4 > 0.05, r4))), 1, 20).alias("own")).filter("n_ioi >= 3 and events >= 4")
-    system = F.transform(F.sequence(F.lit(40), F.lit(599)), lambda i: F.round(F.lit(60.0) / (i / 2.0), 4))
-    mults = F.array(*[F.lit(m) for m in (1, 2, 3, 4, 6, 8)])
-
-    def multiples(arr: Column) -> Column:
-        return F.filter(F.flatten(F.transform(arr, lambda b: F.transform(mults, lambda m: F.round(b * m, 6)))),
-                        lambda p: (p >= 0.2) & (p <= 3.0))
-
-    cand = own.select("song_id", "events", F.array_distinct(F.concat(multiples(F.col("own")), multiples(system))).alias("periods"))
-    x = s.join(cand, "song_id").select("song_id", "t", "ioi", F.explode("periods").alias("period"))
-    rem = F.pmod("t", "period")
-    z = F.pmod("ioi", "period") / F.col("period")
-    g = x.groupBy("song_id", "period").agg(
-        F.avg(F.least(rem, F.col("period") - rem)).alias("d"), F.stddev_pop(z).alias("sd"))
+    common = _multiples([_round_half_up(60.0 / (i / 2.0), 4) for i in range(40, 600)])
+    part = ["song_id", CHUNK]
+    rows = s.select("song_id", "t", "ioi", F.floor(F.col("t_ms") / F.lit(float(chunk_ms))).alias(CHUNK)).join(own.select("song_id"), "song_id", "left_semi")
+    entries = rows.select(*part).distinct().join(own.select("song_id", F.to_json("own").alias("want")), "song_id").select(*part, "want")
+
+    def sums(p: Group) -> dict:
+        periods = np.array(sorted(common | _multiples(json.loads(p.want))))
+        t, ioi = p["t"], p["ioi"].astype(float)
+        ioi = ioi[~np.isnan(ioi)]
+        d, z, zz = (np.zeros(len(periods)) for _ in range(3))
+        for i in range(0, len(t), 256):
+            rem = np.mod(t[i:i + 256, None], periods[None])
+            d += np.minimum(rem, periods[None] - rem).sum(axis=0)
+        for i in range(0, len(ioi), 256):
+            at = np.mod(ioi[i:i + 256, None], periods[None]) / periods[None] - 0.5
+            z += at.sum(axis=0)
+            zz += (at * at).sum(axis=0)
+        k = len(periods)
+        return {**p.key(["song_id"], k), "period": periods.tolist(), "n": [len(t)] * k, "m": [len(ioi)] * k, "d": d.tolist(), "z": z.tolist(), "zz": zz.tolist()}
+
+    schema = T.StructType([s.schema["song_id"], T.StructField("period", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("m", T.LongType()),
+                           *[T.StructField(c, T.DoubleType()) for c in ("d", "z", "zz")]])
+    g = map_groups(rows, entries, part, ["t"], sums, schema).groupBy("song_id", "period").agg(*[F.sum(c).alias(c) for c in ("n", "m", "d", "z", "zz")])
+    mean = F.col("z") / F.col("m")
+    g = g.select("song_id", "period", (F.col("d") / F.col("n")).alias("d"), F.sqrt(F.greatest(F.lit(0.0), F.col("zz") / F.col("m") - mean * mean)).alias("sd"))
     fam = families.groupBy("song_id").agg(
         F.max("score").alias("ratio_score"),
         F.max_by("family", F.struct("score", *[(F.col("family") == n).cast("int") for n, _ in FAMILIES])).alias("ratio_family"))

@@ -25,13 +25,12 @@ import json
 from dataclasses import dataclass
 from typing import Any, Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint
-from .groups import map_groups
+from .groups import Group, map_groups
 from .timeline import CHUNK, CHUNK_MS
 
 
@@ -45,7 +44,7 @@ class Kept:
 # run(rows in order, entry states, chunk end) -> (label per row, [(label, state)]):
 # a label is a row position (a line that row opens) or ~k for the k-th entry state;
 # a state is a list of numbers, or Kept for an entry line.
-Run = Callable[[pd.DataFrame, list, float], tuple[list[int], list[tuple[int, Any]]]]
+Run = Callable[[Group, list, float], tuple[list[int], list[tuple[int, Any]]]]
 
 
 def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], run: Run,
@@ -62,28 +61,21 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
     key_fields = [rows.schema[k] for k in part]
     id_type = rows.schema[row_id].dataType
 
-    def execute(p: pd.DataFrame, entry: str):
-        end = (float(p[CHUNK].iloc[0]) + 1.0) * width
-        return run(p, json.loads(entry), end)
+    def execute(p: Group):
+        end = (float(p[CHUNK][0]) + 1.0) * width
+        return run(p, json.loads(p.want), end)
 
-    def summarise(p: pd.DataFrame) -> dict:
-        entry = p["want"].iloc[0]
-        _, leaving = execute(p, entry)
+    def summarise(p: Group) -> dict:
+        _, leaving = execute(p)
         ids = p[row_id].tolist()
-        out = {k: [p[k].iloc[0]] for k in part}
         states = [{"k": ~a, "d": list(s.add)} if isinstance(s, Kept) else {"s": s} for a, s in leaving]
-        out["used"], out["leave"] = [entry], [json.dumps(states)]
-        out["ids"] = [[ids[a] if a >= 0 else None for a, _ in leaving]]
-        out["slots"] = [[-1 if a >= 0 else ~a for a, _ in leaving]]
-        return out
+        return {**p.key(part), "used": [p.want], "leave": [json.dumps(states)], "ids": [[ids[a] if a >= 0 else None for a, _ in leaving]],
+                "slots": [[-1 if a >= 0 else ~a for a, _ in leaving]]}
 
-    def emit(p: pd.DataFrame) -> dict:
-        labels, _ = execute(p, p["want"].iloc[0])
+    def emit(p: Group) -> dict:
+        labels, _ = execute(p)
         ids = p[row_id].tolist()
-        out = {k: p[k].tolist() for k in [row_id, *part]}
-        out["_own"] = [ids[a] if a >= 0 else None for a in labels]
-        out["_slot"] = [-1 if a >= 0 else ~a for a in labels]
-        return out
+        return {row_id: ids, **p.key(part, len(p)), "_own": [ids[a] if a >= 0 else None for a in labels], "_slot": [-1 if a >= 0 else ~a for a in labels]}
 
     def apply(entries: DataFrame, one, schema: T.StructType, some: bool = False) -> DataFrame:
         given = rows.join(entries.select(*part), part, "left_semi") if some else rows
@@ -93,9 +85,8 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
                                T.StructField("ids", T.ArrayType(id_type)), T.StructField("slots", T.ArrayType(T.IntegerType()))])
     out_schema = T.StructType([rows.schema[row_id], *key_fields, T.StructField("_own", id_type), T.StructField("_slot", T.IntegerType())])
 
-    def compose(t: pd.DataFrame) -> pd.DataFrame:
+    def compose(t: Group) -> dict:
         """Entry state of each chunk from the exits before it: one small row per chunk of a song."""
-        t = t.sort_values(CHUNK).reset_index(drop=True)
         now: list = []
         want = []
         for used, leave in zip(t["used"], t["leave"]):
@@ -107,13 +98,12 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
                 elif x["k"] < len(now):
                     after.append([a + b for a, b in zip(now[x["k"]], x["d"])] if x["d"] else now[x["k"]])
             now = after + now[known:]  # lines the chunk has not met yet pass it by
-        t["want"] = want
-        return t
+        return {**{c: t[c].tolist() for c in sum_schema.fieldNames()}, "want": want}
 
     want_schema = T.StructType([*sum_schema.fields, T.StructField("want", T.StringType())])
 
     def wanted(table: DataFrame) -> DataFrame:
-        return table.groupBy(*keys).applyInPandas(compose, want_schema)
+        return map_groups(table, None, keys, [CHUNK], compose, want_schema)
 
     start = rows.select(*part).distinct().withColumn("want", F.lit("[]"))
     table = checkpoint(apply(start, summarise, sum_schema))
@@ -128,17 +118,14 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
     done = apply(state, emit, out_schema)
 
     # thread ids through the exit tables: one small row per chunk
-    def resolve(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(CHUNK).reset_index(drop=True)
+    def resolve(t: Group) -> dict:
         before: list = []
         got = []
         for ids, slots in zip(t["ids"], t["slots"]):
             got.append(list(before))
             before = [before[s] if s >= 0 else i for i, s in zip(ids, slots)]
-        t["entry_ids"] = got
-        return t[[*part, "entry_ids"]]
+        return {**{c: t[c].tolist() for c in part}, "entry_ids": got}
 
-    ids = table.select(*part, "ids", "slots").groupBy(*keys).applyInPandas(
-        resolve, T.StructType([*key_fields, T.StructField("entry_ids", T.ArrayType(id_type))]))
+    ids = map_groups(table.select(*part, "ids", "slots"), None, keys, [CHUNK], resolve, T.StructType([*key_fields, T.StructField("entry_ids", T.ArrayType(id_type))]))
     out = done.join(ids, part).select(row_id, *keys, F.coalesce("_own", F.get("entry_ids", F.col("_slot"))).alias(name))
     return checkpoint(df.join(out, [row_id, *keys]))

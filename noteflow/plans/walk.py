@@ -14,13 +14,12 @@ import json
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint
-from .groups import map_groups
+from .groups import Group, map_groups
 from .timeline import CHUNK
 
 
@@ -57,13 +56,13 @@ def walk(rows: DataFrame, keys: Sequence[str], x: str, reach: str, width: float,
     longest = float(r.agg(F.max("_r")).first()[0] or 0.0)
     fields = [r.schema[k] for k in part]
 
-    def table(p: pd.DataFrame) -> dict:
-        at, far = p["_x"].to_numpy(), p["_r"].to_numpy()
+    def table(p: Group) -> dict:
+        at, far = p["_x"], p["_r"]
         to = _leaps(at, far, closed).tolist()
         left = [0] * len(at)
         for i in range(len(at) - 1, -1, -1):
             left[i] = i if to[i] >= len(at) else left[to[i]]
-        start = float(p[CHUNK].iloc[0]) * width
+        start = float(p[CHUNK][0]) * width
         steps, i = [], 0
         while i < len(at) and (i == 0 or at[i - 1] <= start + longest):
             if steps and steps[-1][3] == left[i]:
@@ -71,11 +70,11 @@ def walk(rows: DataFrame, keys: Sequence[str], x: str, reach: str, width: float,
             else:
                 steps.append([at[i], at[left[i]], far[left[i]], left[i]])
             i += 1
-        return {**{k: [p[k].iloc[0]] for k in part}, "steps": [json.dumps([s[:3] for s in steps])]}
+        return {**p.key(part), "steps": [json.dumps([s[:3] for s in steps])]}
 
     tables = checkpoint(map_groups(r, None, part, ["_x"], table, T.StructType([*fields, T.StructField("steps", T.StringType())])))
 
-    def follow(p: pd.DataFrame) -> dict:
+    def follow(p: Group) -> dict:
         state, want = None, []
         for steps in p["steps"]:
             want.append(json.dumps(state))
@@ -87,14 +86,14 @@ def walk(rows: DataFrame, keys: Sequence[str], x: str, reach: str, width: float,
 
     entries = map_groups(tables, None, keys, [CHUNK], follow, T.StructType([*fields, T.StructField("want", T.StringType())]))
 
-    def mark(p: pd.DataFrame) -> dict:
-        at, state = p["_x"].to_numpy(), json.loads(p["want"].iloc[0])
-        to, got = _leaps(at, p["_r"].to_numpy(), closed), [] if state is None else [state[0]]
+    def mark(p: Group) -> dict:
+        at, state = p["_x"], json.loads(p.want)
+        to, got = _leaps(at, p["_r"], closed), [] if state is None else [state[0]]
         i = _enter(at, state, closed)
         while i < len(at):
             got.append(float(at[i]))
             i = int(to[i])
-        return {**{k: [p[k].iloc[0]] * len(got) for k in part}, "_x": got}
+        return {**p.key(part, len(got)), "_x": got}
 
     marks = map_groups(r, entries, part, ["_x"], mark, T.StructType([*fields, T.StructField("_x", T.DoubleType())]))
     return marks.withColumnRenamed("_x", x)
