@@ -128,11 +128,31 @@ def a32(s, d):
     return m.join(e.grid_error(a, 480.0), "song_id").select("song_id", r6("match_rate").alias("match_rate"), F.round("grid_error", 6).alias("grid_error"), F.round("sounding_ms", 4).alias("sounding_ms"))
 
 
-@query("a33_distortion")
+@query("a33_distortion", "notes", """
+sn as (select * from notes where stem <> 'drums'),
+cn as (select song_id, pitch, note_id as cid, round_even(start_ms / 120, 0) * 120 as t, round_even(end_ms / 120, 0) * 120 as c1 from sn where note_id % 9 <> 0),
+rr as (select *, row_number() over (partition by song_id, pitch order by start_ms, note_id) as k from sn),
+gm(song_id, pitch, k, rid, cid, used) as (
+  select song_id, pitch, 0, cast(null as bigint), cast(null as bigint), cast([] as bigint[]) from (select distinct song_id, pitch from sn) q
+  union all
+  select song_id, pitch, k, rid, b, case when b is null then used else list_append(used, b) end from (
+    select g.song_id, g.pitch, r.k, r.note_id as rid, g.used, (select arg_min(c.cid, [abs(c.t - r.start_ms), c.t, c.cid]) from cn c
+      where c.song_id = r.song_id and c.pitch = r.pitch and abs(c.t - r.start_ms) <= 250 and not list_contains(g.used, c.cid)) as b
+    from gm g join rr r on r.song_id = g.song_id and r.pitch = g.pitch and r.k = g.k + 1) z),
+ma as (select * from gm where k > 0),
+mt as (select n.song_id, n.start_ms, n.end_ms, c.t as c0, c.c1, row_number() over (partition by n.song_id order by n.start_ms, n.end_ms, n.pitch, n.note_id) as k
+  from ma join sn n on n.note_id = ma.rid join cn c on c.cid = ma.cid),
+ov as (select a.song_id, a.k, count(*) filter (where b.c0 < a.c1) as kept, count(*) filter (where b.c0 >= a.c1) as lost from mt a join mt b on b.song_id = a.song_id and b.k - a.k between 1 and 11 and b.start_ms < a.end_ms group by all),
+n1 as (select *, lead(start_ms) over (partition by song_id order by k) as s1, lead(c0) over (partition by song_id order by k) as d0 from mt),
+dr as (select song_id, avg(case when cid is null then 1e0 else 0e0 end) as dropped from ma group by song_id),
+sm as (select n1.song_id, avg(abs(c0 - start_ms)) as onset, avg(abs(c1 - c0 - (end_ms - start_ms)) / greatest(end_ms - start_ms, 1)) as duration, coalesce(sum(kept), 0) as kept, coalesce(sum(lost), 0) as lost,
+    count(*) filter (where s1 <> start_ms and (c0 - d0) * (start_ms - s1) < 0) as flips, count(*) filter (where s1 <> start_ms) as moves
+  from n1 left join ov on ov.song_id = n1.song_id and ov.k = n1.k group by n1.song_id)""", """
+select dr.song_id, round(dropped + 1.37e-8, 6) as dropped, round(onset + 1.37e-8, 6) as onset, round(duration + 1.37e-8, 6) as duration, round(lost / greatest(kept + lost, 1) + 1.37e-8, 6) as overlap, round(flips / greatest(moves, 1) + 1.37e-8, 6) as ordering from dr left join sm using (song_id)""")
 def a33(s, d):
     n = c.notes(s, d).filter("stem <> 'drums'")
     page = n.filter("note_id % 9 <> 0").withColumns({"start_ms": F.bround(F.col("start_ms") / 120) * 120.0, "end_ms": F.bround(F.col("end_ms") / 120) * 120.0})
-    return e.distortion(n, page)
+    return e.distortion(n, page).select("song_id", *[r6(x).alias(x) for x in ("dropped", "onset", "duration", "overlap", "ordering")])
 
 
 @query("a34_pareto_front", "notes", """
@@ -200,7 +220,16 @@ def w43(s, d):
     return b.select("offset_ms", F.round("recovered", 6).alias("recovered"), F.round("slope", 6).alias("slope"))
 
 
-@query("w43_degradation")
+def drawn(salt):
+    """The uniform draw of a note, as ``evaluation.uniform`` makes it."""
+    step = f"((note_id % 1000000007) * 48271 + {salt} * 69621 + 1013904223) % 2147483647"
+    return f"(((({step}) * 48271 + note_id % 65521) % 2147483647 * 16807 + {salt}) % 2147483647 + 0.5e0) / 2147483647e0"
+
+
+@query("w43_degradation", "notes", f"""
+nd as (select note_id, start_ms, end_ms, sqrt(-2e0 * ln({drawn(1)})) * cos(2 * pi() * {drawn(2)}) as a, sqrt(-2e0 * ln({drawn(3)})) * cos(2 * pi() * {drawn(4)}) as b from notes),
+ns as (select note_id, greatest(0e0, start_ms + 60e0 * a) as s, (end_ms - start_ms) * greatest(0.15e0, 1 + 1.39e0 * b) as u from nd)""", """
+select note_id, round(s, 6) as start_ms, round(s + u, 6) as end_ms from ns""")
 def w43b(s, d):
     g = e.degrade(c.notes(s, d))
-    return g.select("note_id", "start_ms", "end_ms")
+    return g.select("note_id", F.round("start_ms", 6).alias("start_ms"), F.round("end_ms", 6).alias("end_ms"))

@@ -106,7 +106,26 @@ def w36(s, d):
     return h.monophonic_share(c.notes(s, d)).select("song_id", "stem", F.round("share", 6).alias("share"))
 
 
-@query("v05_hand_split")
+@query("v05_hand_split", "notes", WN + """,
+wx as (select song_id, pitch, unnest(range(cast(floor(start_ms / 480) as bigint), greatest(cast(floor(start_ms / 480) as bigint) + 1, cast(ceil(end_ms / 480) as bigint)))) as w from wn),
+ws as (select song_id, w, list_sort(list(distinct pitch)) as ps from wx group by all),
+hb as (select song_id, w, b, list_filter(ps, lambda x: x < b) as l, list_filter(ps, lambda x: x >= b) as r from ws, range(52, 75, 2) q(b)),
+hh as (select song_id, w, b, l as p from hb union all select song_id, w, b, r from hb),
+hg as (select *, list_sort([p[k] - p[k-1] for k in range(2, len(p) + 1)]) as g from hh),
+hc as (select song_id, w, b, cast(sum(case when len(p) = 0 then 0 else greatest(0, p[-1] - p[1] - 14) + greatest(0, len(p) - 5) * 3 + coalesce(list_sum([greatest(0, x - 5) for x in g[1:greatest(len(g) - 1, 0)]]), 0) * 1.5 end) as double) as cost from hg group by all),
+hk as (select song_id, w, row_number() over (partition by song_id order by w) as k, list(cost order by b) as cs from hc group by song_id, w),
+-- cheapest cost of a path to each of the twelve boundaries, with the paths; moving costs 0.8 a step of two
+hp(song_id, k, c, path, ws) as (
+  select song_id, k, cs, list_transform(range(1, 13), lambda i: [i]), [w] from hk where k = 1
+  union all
+  select song_id, k, list_transform(f, lambda x: x.c), list_transform(range(1, 13), lambda j: list_append(path[f[j].i], j)), list_append(ws, w)
+  from (select h.song_id, h.k, h.w, p.path, p.ws, list_transform(range(1, 13), lambda j: {'c': list_min(list_transform(range(1, 13), lambda i: p.c[i] + 0.4e0 * (2 * abs(i - j)))) + h.cs[j],
+      'i': list_position(list_transform(range(1, 13), lambda i: p.c[i] + 0.4e0 * (2 * abs(i - j))), list_min(list_transform(range(1, 13), lambda i: p.c[i] + 0.4e0 * (2 * abs(i - j)))))}) as f
+    from hp p join hk h on h.song_id = p.song_id and h.k = p.k + 1) q),
+hl as (select song_id, path[list_position(c, list_min(c))] as best, ws from (select *, row_number() over (partition by song_id order by k desc) as rn from hp) q where rn = 1),
+hv as (select song_id, unnest(ws) as w, 50 + 2 * unnest(best) as boundary from hl)""", """
+select n.song_id, note_id, case when pitch >= boundary then 'treble' else 'bass' end as hand, cast(boundary as bigint) as boundary
+from wn n left join hv on hv.song_id = n.song_id and hv.w = cast(floor(start_ms / 480) as bigint)""")
 def v05(s, d):
     return h.assign_hands(wide(s, d), 480.0).select("song_id", "note_id", "hand", "boundary")
 

@@ -56,7 +56,35 @@ def a05(s, d):
     return k.key_of_songs(c.notes(s, d)).select("song_id", "key", F.round("confidence", 6).alias("confidence"))
 
 
-@query("a06_key_stability")
+def centre(key):
+    """Tonic of a key, of the relative major for a minor one."""
+    tonic = f"list_position(['C','Db','D','Eb','E','F','F#','G','Ab','A','Bb','B'], replace(replace(replace(rtrim({key}, 'm'), 'C#', 'Db'), 'D#', 'Eb'), 'G#', 'Ab'))"
+    return f"(case when {key} like '%m' then ({tonic} + 2) % 12 else {tonic} - 1 end)"
+
+
+SONGKEY = "select song_id, case when flip then okey else key end as key, greatest(0, least(1, (case when flip then orr else r end + 0.5) / 1.5)) as raw from fl"
+WINDOWED = FRAMED.replace("from notes", "from nw").replace("notes n join", "nw n join")
+
+
+@query("a06_key_stability", "notes", f"""
+gk as (with {FRAMED}, {PROFILES} {SONGKEY}),
+ns as (select n.*, min(start_ms) over (partition by song_id) as a, max(end_ms) over (partition by song_id) as z from notes n where stem <> 'drums'),
+nv as materialized (select *, unnest(range(12)) as w from ns),
+nw as materialized (select song_id as song, w, song_id || ':' || w as song_id, stem, pitch, start_ms, end_ms from nv
+  where start_ms >= a + w * (greatest(1, z - a) / 12) and start_ms < least(z, a + w * (greatest(1, z - a) / 12) + greatest(1, z - a) / 12 * 2)),
+wk as (with {WINDOWED}, {PROFILES} {SONGKEY}),
+wh as (select song, w, key, count(*) over (partition by song) as m from (select song, w, any_value(song_id) as sid, count(*) as held from nw group by song, w) q join wk on wk.song_id = sid where held >= 12),
+hs as (select song_id, count(*) as n from ns group by song_id),
+hk as materialized (select kc.song_id, kc.key, count(*) filter (where list_contains([0, 2, 4, 5, 7, 9, 11], (kc.pitch - {centre('kc.key')} + 120) % 12)) / any_value(kc.n) as cover from (select hs.song_id, n, pitch, unnest({KEY_LIST}) as key from hs join ns using (song_id)) kc group by kc.song_id, kc.key),
+j0 as (select gk.song_id, gk.key as global_key, raw, hs.n, case when hs.n >= 24 then coalesce((select list(key order by w) from wh where wh.song = gk.song_id), []) else [] end as ks from gk join hs using (song_id)),
+j1 as (select *, len(ks) as m, case when len(ks) > 0 then len(list_filter(ks, lambda k: {centre('k')} = {centre('global_key')})) / len(ks) else 1e0 end as agreement,
+  list_sort(list_transform(list_distinct(ks), lambda k: {{'c': -len(list_filter(ks, lambda x: x = k)), 'o': list_position(ks, k), 'k': k}}))[1] as top from j0),
+j2 as (select *, agreement >= 0.70 as stable, case when agreement < 0.70 and -top.c > m / 2 and {centre('top.k')} <> {centre('global_key')} then top.k else global_key end as chosen from j1),
+j3 as (select j2.*, (select c.cover from hk c where c.song_id = j2.song_id and c.key = chosen) as own,
+  (select arg_min({{'k': c.key, 'c': c.cover}}, {{'c': -c.cover, 'k': c.key}}) from hk c where c.song_id = j2.song_id and (c.key = chosen or list_contains(ks, c.key))) as best from j2),
+j4 as (select *, case when m > 0 and best.c > own + 0.04 then best.k else chosen end as reported from j3),
+j5 as (select *, case when reported <> global_key and m > 0 then len(list_filter(ks, lambda k: {centre('k')} = {centre('reported')})) / m else agreement end as final from j4)""", """
+select song_id, global_key, reported as key, round(raw + 1.37e-8, 6) as raw_confidence, round(final + 1.37e-8, 6) as agreement, round(raw * final + 1.37e-8, 6) as confidence, stable, cast(m as int) as windows from j5""")
 def a06(s, d):
     r = k.key_stability(c.notes(s, d))
     return r.select("song_id", "global_key", "key", *[r6(x).alias(x) for x in ("raw_confidence", "agreement", "confidence")], "stable", "windows")

@@ -9,7 +9,34 @@ from .patterns import dense, small
 from .registry import query
 
 
-@query("v01_voice_lines")
+# one step per chord: open lines as a list of (id, last pitch, last end), chords of up to three notes by all their choices
+VOICES = """
+vs as (select distinct song_id, stem, start_ms as t from notes),
+va(song_id, stem, g) as (select song_id, stem, min(t) from vs group by all
+  union all select song_id, stem, t from (select a.song_id, a.stem, (select min(s.t) from vs s where s.song_id = a.song_id and s.stem = a.stem and s.t - a.g > 25) as t from va a) q where t is not null),
+vn as (select n.*, (select max(a.g) from va a where a.song_id = n.song_id and a.stem = n.stem and a.g <= n.start_ms) as g from notes n),
+vg as (select song_id, stem, row_number() over (partition by song_id, stem order by g) as k, list({'id': note_id, 't': start_ms, 'e': end_ms, 'p': pitch} order by start_ms, pitch, note_id) as ns
+  from vn group by song_id, stem, g),
+-- one step per chord: the cheapest choice of an open line or none (a million) for each of its notes
+vl(song_id, stem, k, ids, lines, open) as (
+  select distinct song_id, stem, cast(0 as bigint), cast([] as bigint[]), cast([] as bigint[]), cast([] as struct(id bigint, p bigint, e double)[]) from vg
+  union all
+  select song_id, stem, k, list_transform(ns, lambda n: n.id), list_transform(range(1, len(ns) + 1), lambda j: case when take[j] = 0 then ns[j].id else live[take[j]].id end),
+    list_concat(list_transform(range(1, len(live) + 1), lambda i: case when list_contains(take, i) then {'id': live[i].id, 'p': ns[list_position(take, i)].p, 'e': ns[list_position(take, i)].e} else live[i] end),
+      list_transform(list_filter(range(1, len(ns) + 1), lambda j: take[j] = 0), lambda j: {'id': ns[j].id, 'p': ns[j].p, 'e': ns[j].e}))
+  from (select song_id, stem, k, ns, live, case len(ns)
+      when 1 then [list_sort(o[1])[1].i]
+      when 2 then list_sort(flatten(list_transform(o[1], lambda x: list_transform(list_filter(o[2], lambda y: y.i = 0 or y.i <> x.i), lambda y: {'c': x.c + y.c, 'w': [x.i, y.i]}))))[1].w
+      else list_sort(flatten(list_transform(o[1], lambda x: flatten(list_transform(list_filter(o[2], lambda y: y.i = 0 or y.i <> x.i), lambda y:
+        list_transform(list_filter(o[3], lambda z: z.i = 0 or (z.i <> x.i and z.i <> y.i)), lambda z: {'c': x.c + y.c + z.c, 'w': [x.i, y.i, z.i]}))))))[1].w end as take
+    from (select song_id, stem, k, ns, live, list_transform(ns, lambda n: list_concat([{'c': 1000000e0, 'i': 0}], list_filter(list_transform(range(1, len(live) + 1), lambda i:
+        {'c': case when live[i].e - n.t > 30 or abs(n.p - live[i].p) > 12 or n.t - live[i].e > 300 then 1e9
+          when live[i].e > n.t then abs(n.p - live[i].p) + (live[i].e - n.t) / 30e0 else abs(n.p - live[i].p) + (n.t - live[i].e) / 50e0 end, 'i': i}), lambda x: x.c <= 12))) as o
+      from (select g.song_id, g.stem, g.k, g.ns, list_filter(l.open, lambda x: g.ns[1].t - x.e <= 300) as live
+        from vl l join vg g on g.song_id = l.song_id and g.stem = l.stem and g.k = l.k + 1) a) b) c)"""
+
+
+@query("v01_voice_lines", "notes", VOICES, "select song_id, stem, unnest(ids) as note_id, unnest(lines) as line_id from vl")
 def v01(s, d):
     return ln.voice_lines(c.notes(s, d)).select("song_id", "stem", "note_id", "line_id")
 

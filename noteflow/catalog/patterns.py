@@ -6,7 +6,7 @@ from ..functions.music import chord_masks
 from ..operators import patterns as p
 from ..plans.timeline import prev, scan, settle
 from ..sources import corpus as c
-from .registry import query
+from .registry import ORACLES, query
 
 STREAM = "st as (select song_id, stem, note_id, start_ms, end_ms, confidence, {pitch} as pitch, row_number() over (partition by song_id, stem order by start_ms, note_id) - 1 as pos from notes)"
 MASKS = "[" + ", ".join(map(str, chord_masks())) + "]"
@@ -191,7 +191,22 @@ def c05(s, d):
     return g.select("song_id", "stem", F.round(F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(1.0), 6).alias("monotonicity"))
 
 
-@query("x01_detector_registry")
+def detector_counts():
+    """The detectors' own statements, counted, all over pitches folded onto five values at one beat."""
+    folds = ["60 + (velocity - 1) % 4", "60 + (velocity - 1) % 2", "60 + (velocity - 1) % 7", "([48, 52, 55, 60])[cast((velocity - 1) % 4 as int) + 1]",
+             "([48, 52, 55])[cast((velocity - 1) % 3 as int) + 1]"]
+    names = ("w09_scale_runs", "w10_arpeggios", "w11_sequences", "w12_ostinati", "w13_pedal_points", "w14_rearticulations", "w15_alberti_figures",
+             "w16_neighbor_tones", "w17_gap_fills", "w18_c06_chord_figures")
+    parts = []
+    for detector, name in zip(p.DETECTORS, names):
+        sql = ORACLES[name].replace("0.3 * 1600", "0.3 * 480")
+        for fold in folds:
+            sql = sql.replace(fold, "60 + (velocity - 1) % 5")
+        parts.append(f"select '{detector}' as pattern, '{p.tier(detector)}' as tier, (select count(*) from ({sql}) q) as observations")
+    return " union all ".join(parts)
+
+
+@query("x01_detector_registry", "", "", detector_counts())
 def x01(s, d):
     """Every registered detector over every stem, with its tier."""
     n = dense(s, d, small(5))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import filters as f
 from ..operators import quantize as q
 from ..plans.grouping import anchor_groups
+from ..plans.timeline import row_no, scan
 from ..sources import corpus as c
 from .registry import query
 from .rhythm import ANCH
@@ -88,9 +89,43 @@ def q05(s, d):
     return o.select("song_id", "beat_no", F.size("fr").cast("bigint").alias("onsets"), F.col("r.divisor").alias("divisor"), F.round("r.error", 6).alias("error"))
 
 
-@query("q06_voice_rhythm")
+def at_beat(x):
+    """Time of a beat position, from ``bi`` as lists per song."""
+    i = f"cast(greatest(0, least(floor({x}), len(ts) - 2)) as int)"
+    return f"(ts[{i} + 1] + ({x} - {i}) * gaps[{i} + 1])"
+
+
+@query("q06_voice_rhythm", "notes beats", MAP + f""",
+vo(i, d, n, pos, prior) as (values {FILL}),
+bl as (select song_id, list(t_ms order by i) as ts, list(gap order by i) as gaps from bi group by song_id),
+qs as (select distinct song_id, stem, start_ms as t from notes),
+qa(song_id, stem, g) as (select song_id, stem, min(t) from qs group by all
+  union all select song_id, stem, t from (select a.song_id, a.stem, (select min(s.t) from qs s where s.song_id = a.song_id and s.stem = a.stem and s.t - a.g > 40) as t from qa a) q where t is not null),
+qn as (select n.*, (select max(a.g) from qa a where a.song_id = n.song_id and a.stem = n.stem and a.g <= n.start_ms) as g from notes n),
+qg as (select song_id, stem, g, max(end_ms) as e from qn group by all),
+qx as (select *, lead(g) over (partition by song_id, stem order by g) as nx from qg),
+qp as (select qx.song_id, stem, g, e, qx.nx, b.i + (g - b.t_ms) / b.gap as bp from qx join bi b on b.song_id = qx.song_id and (g >= b.t_ms or b.pv is null) and (g < b.nx or b.nx is null)),
+qb as (select *, case when bp - floor(bp) > 1 - 1e0 / 16 then floor(bp) + 1 else floor(bp) end as bn from qp),
+qt as (select qb.*, {at_beat('bn')} as b0, {at_beat('(bn + 1)')} as b1 from qb join bl using (song_id)),
+qf as (select *, greatest(1, b1 - b0) as bl, greatest(0, least(0.999e0, (g - b0) / greatest(1, b1 - b0))) as fr, row_number() over (partition by song_id, stem, bn order by g) as k from qt),
+ql as (select song_id, stem, bn, list(fr order by fr) as fs from qf group by all),
+qc as (select song_id, stem, bn, i, d, pos, n, prior, list_sum([(fs[k] - pos[k]) * (fs[k] - pos[k]) for k in range(1, 7) if k <= n]) as sse from ql join vo on len(fs) = n),
+qr as (select *, row_number() over (partition by song_id, stem, bn order by round(-sse / (2 * 0.08e0 * 0.08e0) + prior, 9) desc, i) as rn from qc),
+rd as (select qf.*, d, pos, n, b0 + pos[k] * bl as ps, case when k < n then b0 + pos[k + 1] * bl end as nxt from qf join qr using (song_id, stem, bn) where rn = 1 and sqrt(sse / n) <= 0.1),
+rh as (select *, (least(e, coalesce(nx, 'infinity'::double)) - ps) / bl as avail from rd),
+rw as (select *, coalesce(list_max([v for v in {W} if v <= least(avail, 8e0) + 1e-9]), 0) as held from rh),
+rj as (select row_number() over () as note_id, song_id, stem, g, bn, bp, g as start_ms, e as end_ms from qf anti join rd on rd.song_id = qf.song_id and rd.stem = qf.stem and rd.g = qf.g),
+rs as (with {HYP.replace("from notes", "from rj")} select * from simp),
+rq as (select rj.*, round_even(round(bp * 4, 9), 0) / 4e0 as sp, round_even(round(bp * 4, 9), 0) / 4e0 + coalesce(rs.ms, end_ms - start_ms) / 480e0 as ep from rj left join rs using (note_id))""", f"""
+select song_id, stem, round(g, 5) as group_ms, cast(bn as bigint) as beat_no, round(ps, 5) as page_start_ms,
+  round(case when nxt is not null then nxt when d in (3, 6) or avail <= (b1 - ps) / bl or held * bl <= b1 - ps then b1 else ps + held * bl end, 5) as page_end_ms,
+  d in (3, 6) as is_tuplet, cast(d as bigint) as subdivision, true as by_rhythm from rw
+union all
+select song_id, stem, round(g, 5), cast(bn as bigint), round({at_beat('sp')}, 5), round({at_beat('ep')}, 5), false, null, false from rq join bl using (song_id)""")
 def q06(s, d):
-    return q.voice_rhythm(c.notes(s, d), c.beats(s, d))
+    v = q.voice_rhythm(c.notes(s, d), c.beats(s, d), beat_ms=480.0)
+    return v.select("song_id", "stem", F.round("group_ms", 5).alias("group_ms"), F.col("beat_no").cast("bigint").alias("beat_no"), F.round("page_start_ms", 5).alias("page_start_ms"),
+                    F.round("page_end_ms", 5).alias("page_end_ms"), "is_tuplet", "subdivision", "by_rhythm")
 
 
 @query("s01_note_contract", "notes", "x as (select *, case when note_id % 11 = 0 then start_ms - 5 else end_ms end as e2, case when note_id % 13 = 0 then pitch + 90 else pitch end as p2 from notes)", """
@@ -144,12 +179,33 @@ def w04(s, d):
     return q.octave_stacks(n, 400.0).select("note_id", "pitch", "octaves", "low", "high")
 
 
-@query("w06_x02_pitch_wobble")
+@query("w06_x02_pitch_wobble", "notes frames", """
+wn as (select *, row_number() over (partition by song_id, stem order by start_ms, note_id) as k from notes),
+wm as (select song_id, stem, note_id, confidence, k, k * 90e0 + k // 12 * 100 as s, k * 90e0 + k // 12 * 100 + 80 as e, 60 + k % 2 + case when note_id % 17 = 0 then 5 else 0 end as p from wn),
+-- one step per fragment: the open group's first fragment, anchor and pitch range
+wr(song_id, stem, k, note_id, gid, ac, ap, lo, hi, p, e) as (
+  select song_id, stem, k, note_id, note_id, confidence, p, p, p, p, e from wm where k = 1
+  union all
+  select song_id, stem, k, note_id, case when fits then gid else note_id end, case when fits then nc else confidence end, case when fits then na else p end,
+    case when fits then nl else p end, case when fits then nh else p end, p, e
+  from (select *, linked and greatest(na - nl, nh - na) <= 1.2 as fits
+    from (select n.song_id, n.stem, n.k, n.note_id, n.confidence, n.p, n.e, w.gid, n.s - w.e between 0 and 30 and n.p <> w.p as linked, greatest(n.confidence, w.ac) as nc,
+        case when n.confidence > w.ac then n.p else w.ap end as na, least(w.lo, n.p) as nl, greatest(w.hi, n.p) as nh
+      from wr w join wm n on n.song_id = w.song_id and n.stem = w.stem and n.k = w.k + 1) a) b),
+wd as (select wr.*, wm.s, p - lag(p) over v as d, lag(p) over v - lag(p, 2) over v as b from (select song_id, stem, k, note_id, gid, ac, ap, p, e from wr) wr join (select note_id, s from wm) wm using (note_id) window v as (partition by song_id, stem, gid order by k)),
+wg as (select song_id, stem, gid, count(*) as members, abs(sum(d)) as net, sum(abs(d)) as way, avg(case when b is not null and d is not null then case when abs(d) + abs(b) > 0 then abs(d + b) / (abs(d) + abs(b)) else 1e0 end end) as local,
+  min(s) as w0, max(e) as w1, arg_max(ap, k) as anchor from wd group by all having count(*) >= 2),
+wf as (select * from wg where case when way > 0 then net / way else 1e0 end < 0.5 and coalesce(local < 0.8, true))""", """
+select wf.song_id, stem, gid as first_id, cast(members as int) as members, anchor as anchor_pitch, count(*) as voiced, round(max(69 + 12 * log2((262 + rms) / 440)) - min(69 + 12 * log2((262 + rms) / 440)), 6) as spread
+from wf join frames f on f.song_id = wf.song_id and hz > 0 and t_ms between w0 and w1 group by all having count(*) >= 2 and max(69 + 12 * log2((262 + rms) / 440)) - min(69 + 12 * log2((262 + rms) / 440)) <= 0.6""")
 def w06(s, d):
-    """Whole corpus at a slow tempo; fragments are shortened so that neighbours can flicker."""
-    n = c.notes(s, d).withColumns({"end_ms": F.least("end_ms", F.col("start_ms") + 90.0), "pitch": 60 + F.col("note_id") % 2})
+    """Each stem's notes as fragments of 80 ms that flicker between two pitches, with pauses and leaps in between, over an f0 that stays."""
+    at = scan(c.notes(s, d), ["song_id", "stem"], ["start_ms", "note_id"], {"k": row_no()})
+    start = F.col("k") * 90.0 + F.floor(F.col("k") / 12) * 100.0
+    pitch = 60 + F.col("k") % 2 + F.when(F.col("note_id") % 17 == 0, 5).otherwise(0)
+    n = at.withColumns({"start_ms": start, "end_ms": start + 80.0, "pitch": pitch})
     steady = c.frames(s, d).withColumn("hz", F.when(F.col("hz") > 0, 262.0 + F.col("rms")).otherwise(0.0))
-    return q.wobble_groups(n, steady, 60.0)
+    return q.wobble_groups(n, steady, 60.0).withColumn("spread", F.round("spread", 6))
 
 
 @query("w27_proportional_durations", "notes", ANCH.format(w=90) + """,

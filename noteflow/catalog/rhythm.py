@@ -106,7 +106,19 @@ def r04(s, d):
     return lat.select("song_id", F.round("period", 6).alias("period"), *[F.round(x, 5).alias(x) for x in ("error", "entropy", "confidence")])
 
 
-@query("r05_tactus")
+@query("r05_tactus", "notes onsets", LATT + """,
+be as (select * from bl where rn = 1),
+pr as (select ev.song_id, t % period as r, period from ev join be using (song_id)),
+pl as (select song_id, min(r) as lo, max(r) as hi from pr group by song_id),
+ph as (select song_id, any_value(period) as period, any_value(lo) as lo, any_value(hi) as hi, b, count(*) as n
+  from (select pr.*, lo, hi, case when (hi - lo) / 20 > 0 then least(19, floor((r - lo) / ((hi - lo) / 20))) else 0 end as b from pr join pl using (song_id)) q group by song_id, b),
+pc2 as (select song_id, (lo + (hi - lo) / 20 * (b + 0.5e0)) / period as phase from (select *, row_number() over (partition by song_id order by n desc, b) as rn from ph) q where rn = 1),
+tc as (select be.song_id, conf, phase * period as ph, i, period * m as p from be join pc2 using (song_id) cross join (values (0, 1e0/8e0), (1, 1e0/6e0), (2, 0.25e0), (3, 1e0/3e0), (4, 0.5e0), (5, 1e0), (6, 2e0), (7, 3e0), (8, 4e0), (9, 6e0), (10, 8e0)) x(i, m)
+  where 60 / (period * m) between 20 and 300),
+ta as (select song_id, i, p, any_value(conf) as conf, avg(case when least(rem, p - rem) < p * 0.15e0 then 1e0 else 0e0 end) as align
+  from (select tc.*, (((ev.t - ph) % p) + p) % p as rem from tc join ev using (song_id)) q group by song_id, i, p),
+tb as (select *, row_number() over (partition by song_id order by round(align * 0.8e0 + exp(-0.5e0 * power(log2(60 / p / 110) / 0.9e0, 2)) * 0.2e0, 9) desc, i) as rn from ta)""", """
+select song_id, 60 / p as tempo_bpm, greatest(0, least(1, conf * 0.5e0 + align * 0.5e0)) as confidence, 0.6e0 as weight from tb where rn = 1""")
 def r05(s, d):
     return r.tactus(r.combined_onsets(c.onsets(s, d)), lattice(s, d))
 
@@ -190,20 +202,67 @@ def r13a(s, d):
     return r.autocorrelation(c.frames(s, d), "flux", 60, 128).select("song_id", F.col("lag").cast("bigint").alias("lag"), F.round("ac", 5).alias("ac"))
 
 
-@query("r13_octave_correction")
+def ac_at(bpm):
+    """Autocorrelation at a tempo's lag, between two frames."""
+    pos = f"(60e0 / ({bpm}) / 0.02322e0)"
+    return (f"(case when floor{pos} < 1 or floor{pos} + 1 >= frames then 0e0 else greatest(0e0, coalesce(a[cast(floor{pos} as int) + 1] * (1 - ({pos} - floor{pos}))"
+            f" + a[cast(floor{pos} as int) + 2] * ({pos} - floor{pos}), 0)) end)")
+
+
+def ac_peak(k):
+    return f"greatest(0e0, {ac_at(f'bpm * {k}')} - 0.5e0 * ({ac_at(f'bpm * ({k} + 0.5e0)')} + {ac_at(f'bpm * ({k} - 0.5e0)')}))"
+
+
+@query("r13_octave_correction", "tempo_witnesses frames", REF + f""",
+ra as (select a.song_id, b.frame_idx - a.frame_idx as lag, sum(a.flux * b.flux) as ac from frames a join frames b on a.song_id = b.song_id and b.frame_idx between a.frame_idx and a.frame_idx + 130 group by all),
+al as (select song_id, list_transform(list(ac order by lag), lambda x: case when max(case when lag = 0 then ac end) > 0 then x / max(case when lag = 0 then ac end) else x end) as a from ra group by song_id),
+fn as (select song_id, count(*) as frames from frames group by song_id),
+cc as (select res.song_id, bpm as raw, conf, frames, a, i, bpm * n / d as bpm from res join al using (song_id) join fn using (song_id)
+  cross join (values (0, 1e0, 1e0), (1, 1e0, 2e0), (2, 2e0, 1e0), (3, 1e0, 3e0), (4, 3e0, 1e0), (5, 2e0, 3e0), (6, 3e0, 2e0), (7, 3e0, 4e0), (8, 4e0, 3e0), (9, 5e0, 6e0), (10, 4e0, 5e0), (11, 5e0, 4e0)) x(i, n, d)),
+ce as (select song_id, raw, conf, frames, i, bpm, exp(-0.5e0 * power(log2(bpm / 110) / 0.9e0, 2)) as prior, round(greatest(0e0, {ac_at('bpm')} - 0.3e0 * greatest({ac_at('bpm * 2')}, {ac_at('bpm * 3')})) * exp(-0.5e0 * power(log2(bpm / 110) / 0.9e0, 2)), 9) as eff,
+  least({ac_peak(2)}, {ac_peak(3)}) as coh from cc where bpm between 20 and 300),
+co2 as (select *, row_number() over (partition by song_id order by eff desc, i) as rn from ce),
+bb as (select song_id, any_value(raw) as raw, any_value(conf) as conf, any_value(frames) as frames, arg_min({{'i': i, 'bpm': bpm, 'eff': eff, 'coh': coh}}, rn) as b,
+  coalesce(arg_min({{'i': i, 'bpm': bpm, 'eff': eff, 'coh': coh}}, rn) filter (where i = 0), arg_min({{'i': i, 'bpm': bpm, 'eff': eff, 'coh': coh}}, rn)) as e from co2 group by song_id),
+rb as (select *, case when b.i = 0 or b.eff - e.eff < 0.15e0 * (1 + greatest(0, least(1, conf))) then e else b end as r from bb),
+sl as (select rb.song_id, arg_min(ce.bpm, [-ce.coh, cast(ce.i as double)]) as slow from rb join ce on ce.song_id = rb.song_id and ce.bpm < r.bpm and ce.coh >= 0.05 and ce.prior >= 0.4 and ce.coh >= r.coh + 0.04 group by rb.song_id)""", """
+select song_id, round(case when frames >= 8 and raw > 0 then coalesce(slow, r.bpm) else raw end + 1.37e-8, 6) as tempo_bpm,
+  case when not (frames >= 8 and raw > 0) then 'insufficient_evidence' when slow is not null then 'compound_tactus' when r.i = 0 then 'no_correction_needed' else 'related_ratio' end as reason from rb left join sl using (song_id)""")
 def r13(s, d):
-    return r.correct_octave(t.resolve_tempo(c.tempo_witnesses(s, d)), c.frames(s, d), 23.22)
+    x = r.correct_octave(t.resolve_tempo(c.tempo_witnesses(s, d)), c.frames(s, d), 23.22)
+    return x.select("song_id", r6("tempo_bpm").alias("tempo_bpm"), "reason")
 
 
-def curve(s, d):
-    return r.local_tempo(c.frames(s, d), t.resolve_tempo(c.tempo_witnesses(s, d)).select("song_id", "tempo_bpm"), 23.22, 3.0, 0.5)
+# frames four times as far apart, so that the songs of the tables hold several windows of 12 s
+CURVE = REF + """,
+fn as (select song_id, count(*) as n from frames group by song_id),
+wx as (select f.song_id, w, list(flux order by frame_idx) as x from (select song_id, w from fn, range(0, 1000) q(w) where w * 32 < greatest(1, n - 129)) w join frames f on f.song_id = w.song_id and f.frame_idx >= w * 32 and f.frame_idx < w * 32 + 129 group by all),
+we as (select wx.song_id, w, bpm, list_transform(x, lambda v: v - list_avg(x)) as e, len(x) as n from wx join res using (song_id)),
+wl as (select *, least(cast(floor(60 / (0.09288e0 * (bpm * 0.75e0))) as int), n - 2) as l1, greatest(2, cast(floor(60 / (0.09288e0 * (bpm * 1.33e0))) as int)) as l0 from we where n >= 8),
+wa as (select song_id, w, bpm, l0, l1, list_transform(range(0, l1 + 1), lambda l: list_dot_product(e[1:n - l], e[l + 1:n]) / list_dot_product(e, e)) as ac from wl where l1 > l0 and list_dot_product(e, e) > 0),
+wk as (select *, l0 - 1 + list_position(ac[l0 + 1:l1], list_max(ac[l0 + 1:l1])) as k from wa),
+wd as (select *, ac[k] - 2 * ac[k + 1] + ac[k + 2] as d from wk),
+cu as (select song_id, w, bpm, 60 / (0.09288e0 * (k + greatest(-1, least(1, case when abs(d) > 1e-12 then 0.5e0 * (ac[k] - ac[k + 2]) / d else 0 end)))) as local_bpm from wd)"""
 
 
-@query("r14_local_tempo_curve")
-def r14(s, d):
-    return curve(s, d)
+def curve(s, d):
+    return r.local_tempo(c.frames(s, d), t.resolve_tempo(c.tempo_witnesses(s, d)).select("song_id", "tempo_bpm"), 92.88)
 
 
-@query("r15_drift_class")
+@query("r14_local_tempo_curve", "tempo_witnesses frames", CURVE, """
+select song_id, w, round((w * 32 + 129 / 2e0) / (1000 / 92.88e0) + 1.37e-8, 6) as t_s, round(bpm + 1.37e-8, 6) as tempo_bpm, round(local_bpm + 1.37e-8, 6) as local_bpm from cu""")
+def r14(s, d):
+    return curve(s, d).select("song_id", "w", *[r6(x).alias(x) for x in ("t_s", "tempo_bpm", "local_bpm")])
+
+
+@query("r15_drift_class", "tempo_witnesses frames", CURVE + """,
+c1 as (select song_id, w, bpm, count(*) over (partition by song_id) as n, local_bpm as b, lag(local_bpm) over v as p1, lag(local_bpm, 2) over v as p2, lag(local_bpm, 3) over v as p3, lag(local_bpm, 4) over v as p4 from cu window v as (partition by song_id order by w)),
+c2 as (select song_id, w, bpm, n, case when n >= 5 then (b + p1 + p2 + p3 + p4) / 5 else b end as sm from c1),
+c3 as (select *, sm - lag(sm) over (partition by song_id order by w) as d from c2 where sm is not null),
+c4 as (select song_id, any_value(n) as n, any_value(bpm) as ref, max(sm) - min(sm) as span, avg(case when d > 0 then 1e0 when d is not null then 0e0 end) as up, avg(case when d < 0 then 1e0 when d is not null then 0e0 end) as down,
+  coalesce(max(abs(d)), 0) as biggest, median(abs(d)) as med from c3 group by song_id),
+c5 as (select *, greatest(up, down) as mono, span / greatest(ref, 1) <= 0.06 as steady, biggest >= 0.10e0 * ref and biggest > 2.5e0 * (med + 1e-9) as step from c4)""", """
+select song_id, case when n < 4 or steady then 'steady' when step then 'step_change' when mono >= 0.85 and up > down then 'accelerando' when mono >= 0.85 then 'ritardando' else 'steady' end as kind,
+  round(span + 1.37e-8, 6) as span_bpm, round(case when n < 4 then 0e0 when steady then 0.9e0 when step then 0.7e0 when mono >= 0.85 then least(0.85e0, mono) else 0.5e0 end + 1.37e-8, 6) as confidence from c5""")
 def r15(s, d):
-    return r.drift_class(curve(s, d))
+    return r.drift_class(curve(s, d)).select("song_id", "kind", *[r6(x).alias(x) for x in ("span_bpm", "confidence")])

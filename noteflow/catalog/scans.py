@@ -7,7 +7,7 @@ from ..operators import patterns as pt
 from ..sources import corpus as c
 from ..sources import musicxml as mx
 from ..sources import tables as tb
-from .patterns import dense, small
+from .patterns import EQ, STREAM, dense, small
 from .registry import query, r6
 
 NAMES = ("C", "D", "E", "F", "G", "A", "B")
@@ -74,7 +74,11 @@ def s08(s, d):
     return r.select("run_id", "notes", "modified", F.array_join(F.map_keys("stems"), ",").alias("stems"), "reproducible")
 
 
-@query("s12_corpus_documents")
+@query("s12_corpus_documents", "notes", STREAM.format(pitch="60 + (velocity - 1) % 2") + "," + EQ.format(ioi="1e300") + """,
+ob as (select song_id, stem, min(start_ms) as start_ms, arg_max(end_ms, pos) as end_ms from ii group by song_id, stem, isl having count(*) >= 3 and (arg_max(end_ms, pos) - min(start_ms)) / 480 >= 2),
+dc as (select *, cast(floor(start_ms / 60000) as bigint) as page, row_number() over (partition by song_id, floor(start_ms / 60000) order by start_ms, stem) as r from ob)""", """
+select song_id, page, (r - 1) // 1000 as part, count(*) as observations, '[' || string_agg('{"_r":' || r || ',"pattern":"pedal_point","stem":"' || stem || '","start_ms":' || round(start_ms, 1) || ',"end_ms":' || round(end_ms, 1) || ',"confidence":0.75}', ',' order by r) || ']' as list
+from dc group by song_id, page, (r - 1) // 1000""")
 def s12(s, d):
     n = dense(s, d, small(2))
     o = pt.with_notes(pt.pedals(n, 480.0), n)

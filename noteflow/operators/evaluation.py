@@ -347,14 +347,19 @@ def injected_bias(reference: DataFrame, offsets_ms: Sequence[float], cap_ms: flo
     return per.crossJoin(F.broadcast(slope))
 
 
+def uniform(number: Column, salt: int, seed: int = 0) -> Column:
+    """A draw in (0, 1) from a whole number, by modular multiplications that any engine can repeat."""
+    m = 2147483647
+    a = F.pmod(F.pmod(number, F.lit(1_000_000_007)) * 48271 + F.lit(salt * 69621 + seed * 30269 + 1013904223), F.lit(m))
+    b = F.pmod(a * 48271 + F.pmod(number, F.lit(65521)), F.lit(m))
+    return (F.pmod(b * 16807 + F.lit(salt), F.lit(m)) + 0.5) / float(m)
+
+
 def degrade(notes: DataFrame, seed: int = 0, onset_sd: float = 60.0, duration_sd: float = 1.39, floor: float = 0.15) -> DataFrame:
     """Controlled noise on onsets and durations; a note's draw depends only on its id and the seed."""
-    def uniform(salt: int) -> Column:
-        return F.xxhash64("note_id", F.lit(seed), F.lit(salt)) / F.lit(2.0**64) + 0.5
-
     def normal(salt: int) -> Column:
-        u = F.greatest(uniform(salt), F.lit(1e-12))
-        return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * np.pi * uniform(salt + 1))
+        number = F.col("note_id").cast("bigint")
+        return F.sqrt(-2.0 * F.log(uniform(number, salt, seed))) * F.cos(2.0 * np.pi * uniform(number, salt + 1, seed))
 
     start = F.greatest(F.lit(0.0), F.col("start_ms") + onset_sd * normal(1))
     dur = (F.col("end_ms") - F.col("start_ms")) * F.greatest(F.lit(floor), 1.0 + duration_sd * normal(3))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.music import clip, hz_to_midi, nearest_value
+from ..plans.carry import carry
 from ..plans.grouping import anchor_groups
+from ..plans.groups import Group
 from ..plans.joins import points_in
 from ..plans.timeline import CHUNK_MS, islands, nxt, prev, row_no, scan, settle
 from .tempo import tempo_map
@@ -204,18 +206,19 @@ def beat_fractions(notes: DataFrame, beats: DataFrame, tolerance_ms: float = 40.
     return m.withColumn("frac", clip((F.col("group_ms") - F.col("beat_start")) / F.col("beat_len"), 0.0, 0.999))
 
 
-def voice_rhythm(notes: DataFrame, beats: DataFrame, swing: float = 0.5, chunk_ms: float = CHUNK_MS) -> DataFrame:
+def voice_rhythm(notes: DataFrame, beats: DataFrame, swing: float = 0.5, beat_ms: float = 500.0, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Page timing of every chord group from the rhythm its beat was read as.
 
     Groups of one beat are at least the chord tolerance apart, so the array per
-    (song, stem, beat) is short whatever the song's size.
+    (song, stem, beat) is short whatever the song's size.  Groups of a beat without a reading
+    are snapped one by one as ``notation_quantize`` does; ``by_rhythm`` tells which way was used.
     """
     m = beat_fractions(notes, beats, chunk_ms=chunk_ms)
     b = m.groupBy("song_id", "stem", "beat_no").agg(
         F.array_sort(F.collect_list(F.struct("group_ms", "frac", "g_end", "next_group_ms"))).alias("gs"),
         F.first("beat_start").alias("beat_start"), F.first("beat_end").alias("beat_end"), F.first("beat_len").alias("beat_len"))
-    b = b.withColumn("r", infer_beat(F.transform("gs", lambda x: x["frac"]), swing)).filter("r is not null")
-    e = b.select("song_id", "stem", "beat_no", "beat_start", "beat_end", "beat_len", "r", F.posexplode("gs").alias("k", "g"))
+    b = settle(b.withColumn("r", infer_beat(F.transform("gs", lambda x: x["frac"]), swing)))
+    e = b.filter("r is not null").select("song_id", "stem", "beat_no", "beat_start", "beat_end", "beat_len", "r", F.posexplode("gs").alias("k", "g"))
     start = F.col("beat_start") + F.get("r.slots", F.col("k")) * F.col("beat_len")
     e = e.withColumn("page_start_ms", start).withColumn(
         "_follow", F.col("beat_start") + F.get("r.slots", F.col("k") + 1) * F.col("beat_len"))
@@ -226,8 +229,13 @@ def voice_rhythm(notes: DataFrame, beats: DataFrame, swing: float = 0.5, chunk_m
     tuplet = F.col("r.divisor").isin(3, 6)
     end = (F.when(F.col("_follow").isNotNull(), F.col("_follow")).when(tuplet | inside, F.col("beat_end"))
            .otherwise(F.col("page_start_ms") + held * F.col("beat_len")))
-    return e.select("song_id", "stem", F.col("g.group_ms").alias("group_ms"), "beat_no", "page_start_ms", end.alias("page_end_ms"),
-                    tuplet.alias("is_tuplet"), F.col("r.divisor").alias("subdivision"))
+    read = e.select("song_id", "stem", F.col("g.group_ms").alias("group_ms"), "beat_no", "page_start_ms", end.alias("page_end_ms"),
+                    tuplet.alias("is_tuplet"), F.col("r.divisor").cast("bigint").alias("subdivision"), F.lit(True).alias("by_rhythm"))
+    left = b.filter("r is null").select("song_id", "stem", "beat_no", F.explode("gs").alias("g")).select(
+        "song_id", "stem", "beat_no", F.col("g.group_ms").alias("group_ms"), F.col("g.group_ms").alias("start_ms"), F.col("g.g_end").alias("end_ms"))
+    snapped = notation_quantize(settle(left), beats, beat_ms, chunk_ms=chunk_ms)
+    return read.unionByName(snapped.select("song_id", "stem", "group_ms", "beat_no", "page_start_ms", "page_end_ms", F.lit(False).alias("is_tuplet"),
+                                           F.lit(None).cast("bigint").alias("subdivision"), F.lit(False).alias("by_rhythm")))
 
 
 def f0_notes(frames: DataFrame, min_ms: float = 30.0, floor: float = 0.5, chunk_ms: float = CHUNK_MS) -> DataFrame:
@@ -340,57 +348,55 @@ def octave_stacks(notes: DataFrame, window_ms: float = 50.0, min_stack: int = 3,
         F.col("b.note_id").alias("note_id"), "song_id", "pitch", "pc", "octaves", "low", "high", F.col("b.confidence").alias("confidence"))
 
 
+def _wobble_run(d_max: float, g_max: float, radius: float = 1.2):
+    """A fragment joins the group before it while linked and no member leaves the anchor's radius.
+
+    State of the open group: confidence and pitch of its anchor, lowest and highest pitch, then end, pitch and length of its last fragment.
+    """
+    def run(p: Group, entry: list, end: float):
+        now, label = (list(entry[0]), ~0) if entry else (None, None)
+        labels = []
+        for a, (t, e, pitch, conf) in enumerate(zip(p["start_ms"].tolist(), p["end_ms"].tolist(), p["pitch"].tolist(), p["confidence"].tolist())):
+            fits = now is not None and 0.0 <= t - now[4] <= g_max and e - t < d_max and now[6] < d_max and pitch != now[5]
+            if fits:
+                c, anchor = (conf, pitch) if conf > now[0] else (now[0], now[1])
+                lo, hi = min(now[2], pitch), max(now[3], pitch)
+                fits = max(anchor - lo, hi - anchor) <= radius
+            if not fits:
+                label, (c, anchor, lo, hi) = a, (conf, pitch, pitch, pitch)
+            now = [float(c), float(anchor), float(lo), float(hi), float(e), float(pitch), float(e - t)]
+            labels.append(label)
+        return labels, [(label, now)] if now is not None and now[4] + g_max >= end else []
+
+    return run
+
+
 def wobble_groups(notes: DataFrame, f0: DataFrame, tempo_bpm: float, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Short neighbouring fragments whose sounding pitch never really moved.
 
-    Pairs are linked by the next-note rules, the radius rule is folded inside
-    each linked island, and the flatness of the f0 decides.
+    Fragments are linked by the next-note rules and grouped around an anchor, the most confident of them, by a
+    small state carried along the stem; the steps of a group are sums, so no run of fragments is
+    gathered.  The flatness of the f0 decides.
     """
     sixteenth = 60000.0 / (tempo_bpm * 4.0) if tempo_bpm > 0 else None
     d_max = min(150.0, 0.85 * sixteenth) if sixteenth else 150.0
     g_max = min(30.0, 0.5 * sixteenth) if sixteenth else 30.0
     keys, order = ["song_id", "stem"], ["start_ms", "note_id"]
-
-    def unlinked(p, r):
-        gap = r["start_ms"] - p["end_ms"]
-        short = (r["end_ms"] - r["start_ms"] < d_max) & (p["end_ms"] - p["start_ms"] < d_max)
-        return ~(gap.between(0.0, g_max) & short & (p["pitch"] != r["pitch"]))
-
-    n = islands(notes, keys, order, unlinked, ["end_ms", "pitch"], "_isl", chunk_ms)
-    row = F.struct("start_ms", "note_id", "end_ms", "pitch", "confidence")
-    i = n.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(row)).alias("rows")).filter("size(rows) >= 2")
-    member = i.schema["rows"].dataType.simpleString()
-    zero = F.struct(F.array().cast(member).alias("cur"), F.array().cast(f"array<{member}>").alias("done"))
-
-    def anchor(rows):
-        return F.array_max(F.transform(rows, lambda x, j: F.struct(x["confidence"].alias("c"), (-j).alias("j"), x["pitch"].alias("p"))))["p"]
-
-    def step(acc, x):
-        trial = F.concat(acc["cur"], F.array(x))
-        a = anchor(trial)
-        fits = ~F.exists(trial, lambda m: F.abs(m["pitch"] - a) > 1.2)
-        closed = F.when(F.size(acc["cur"]) >= 2, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-        return F.when(fits, F.struct(trial.alias("cur"), acc["done"].alias("done"))).otherwise(
-            F.struct(F.array(x).alias("cur"), closed.alias("done")))
-
-    folded = F.aggregate("rows", zero, step)
-    groups = F.when(F.size(folded["cur"]) >= 2, F.concat(folded["done"], F.array(folded["cur"]))).otherwise(folded["done"])
-    g = i.select(*keys, F.explode(groups).alias("m"))
-    steps = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda j: F.get("m", j)["pitch"] - F.get("m", j - 1)["pitch"])
-    g = g.withColumn("d", steps)
-
-    def mono(arr):
-        tot = F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, x: a + F.abs(x))
-        net = F.abs(F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, x: a + x))
-        return F.when(tot > 0, net / tot).otherwise(1.0)
-
-    local = F.when(F.size("d") >= 2, F.transform(F.sequence(F.lit(1), F.size("d") - 1), lambda j: mono(F.slice("d", j, 2))))
-    avg_local = F.aggregate(local, F.lit(0.0), lambda a, x: a + x) / F.size(local)
-    g = g.filter((mono(F.col("d")) < 0.5) & F.coalesce(avg_local < 0.8, F.lit(True)))
-    g = g.select(*keys, F.col("m")[0]["note_id"].alias("first_id"), F.col("m")[0]["start_ms"].alias("w0"),
-                 F.element_at("m", -1)["end_ms"].alias("w1"), F.size("m").alias("members"), anchor(F.col("m")).alias("anchor_pitch"))
+    n = carry(notes.select(*keys, *order, "end_ms", "pitch", "confidence"), keys, order, ["end_ms", "pitch", "confidence"], _wobble_run(d_max, g_max), "note_id", "first_id", chunk_ms)
+    seen = F.struct("first_id", "pitch")
+    n = scan(n, keys, order, {"_p1": prev(seen), "_p2": prev(seen, 2)}, chunk_ms)
+    step = F.when(F.col("_p1.first_id") == F.col("first_id"), F.col("pitch") - F.col("_p1.pitch"))
+    before = F.when(step.isNotNull() & (F.col("_p2.first_id") == F.col("first_id")), F.col("_p1.pitch") - F.col("_p2.pitch"))
+    n = n.withColumns({"_d": step, "_b": before})
+    # how far two steps, or all of a group, go one way: 1 straight, 0 back to where they began
+    both = F.abs("_d") + F.abs("_b")
+    local = F.when(F.col("_b").isNotNull(), F.when(both > 0, F.abs(F.col("_d") + F.col("_b")) / both).otherwise(1.0))
+    g = n.groupBy(*keys, "first_id").agg(
+        F.count(F.lit(1)).cast("int").alias("members"), F.sum("_d").alias("net"), F.sum(F.abs("_d")).alias("way"), F.avg(local).alias("local"), F.min("start_ms").alias("w0"),
+        F.max_by("end_ms", F.struct(*order)).alias("w1"), F.min_by("pitch", F.struct(-F.col("confidence"), *order)).alias("anchor_pitch")).filter("members >= 2")
+    straight = F.when(F.col("way") > 0, F.abs("net") / F.col("way")).otherwise(1.0)
+    g = g.filter((straight < 0.5) & F.coalesce(F.col("local") < 0.8, F.lit(True))).drop("net", "way", "local")
     p = points_in(g, f0.filter("hz > 0").select("song_id", "t_ms", "hz"), ["song_id"], "w0", "w1", "t_ms")
     s = p.groupBy(*keys, "first_id", "members", "anchor_pitch").agg(
         F.count(F.lit(1)).alias("voiced"), (F.max(hz_to_midi("hz")) - F.min(hz_to_midi("hz"))).alias("spread"))
     return s.filter("voiced >= 2 and spread <= 0.6")
-
