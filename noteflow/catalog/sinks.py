@@ -1,4 +1,4 @@
-"""Tables and streams written below the shared folder and read again."""
+"""Tables and streams written below the shared folder and read again."""
 
 from pyspark.sql import functions as F
 
@@ -6,7 +6,8 @@ from ..session import scratch
 from ..sources import corpus as c
 from ..sources import tables as tb
 from ..streaming import telemetry as t
-from .registry import query
+from .lines import VOICES
+from .registry import query, r6
 
 
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -81,3 +82,34 @@ def s15(s, d):
     path = scratch(s, "notation")
     tb.write_notation(c.notes(s, d).select("song_id", "note_id", "pitch", F.round(F.col("start_ms") / 480.0, 6).alias("offset_beats")), path, 8)
     return s.read.parquet(path).drop("bucket")
+
+
+@query("s13_telemetry_replay", "telemetry", "", "select session, seq, stage, type, decision_type from telemetry where session = (select min(session) from telemetry)")
+def s13(s, d):
+    path = scratch(s, "replay")
+    e = c.telemetry(s, d).select("session", "seq", "stage", "type", "decision_type")
+    tb.write_replay(e, e.agg(F.min("session")).first()[0], path)
+    return s.read.json(path).select("session", "seq", "stage", "type", "decision_type")
+
+
+def notes_as_files(s, d):
+    """The notes in files by time, as a stream with event time ``at``; one note far ahead lets the last of the others settle."""
+    path = scratch(s, "notes")
+    n = c.notes(s, d).withColumn("at", F.timestamp_millis(F.floor("start_ms") + 1))  # an event at the epoch counts as late
+    n.repartitionByRange(4, "at").write.parquet(path)
+    far = n.limit(1).withColumns({"song_id": F.lit(-1).cast("bigint"), "note_id": F.lit(-1).cast("bigint"), "start_ms": F.lit(1e12), "end_ms": F.lit(1e12), "at": F.timestamp_millis(F.lit(10**12))})
+    far.write.mode("append").parquet(path)
+    return s.readStream.schema(n.schema).parquet(path)
+
+
+@query("l07_voice_line_stream", "notes", VOICES, "select song_id, stem, unnest(ids) as note_id, unnest(lines) as line_id from vl")
+def l07(s, d):
+    return drained(t.voice_line_stream(notes_as_files(s, d), "60 seconds"), "lines").filter("song_id >= 0")
+
+
+@query("l08_trouble_stream", "notes", """
+m as (select song_id, cast(floor(start_ms / 1920) as bigint) * 1920 as start_ms, avg(confidence) as a, count(*) as n from notes group by all)""", """
+select song_id, start_ms, round(a + 1.37e-8, 6) as avg_confidence, n as n_notes, concat_ws(',', case when a < 0.25 then 'low_confidence' end, case when n / 4e0 > 6 then 'fragmented' end) as reasons from m where a < 0.25 or n / 4e0 > 6""")
+def l08(s, d):
+    x = drained(t.trouble_stream(notes_as_files(s, d).withColumn("at", F.timestamp_millis(F.floor("start_ms"))), 1920, 4, "60 seconds"), "trouble").filter("song_id >= 0")
+    return x.select("song_id", "start_ms", r6("avg_confidence").alias("avg_confidence"), "n_notes", F.array_join("reasons", ",").alias("reasons"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.timeline import CHUNK_MS, fill, prev, row_no, scan, settle
 
@@ -183,53 +184,81 @@ def tee(events: DataFrame, ledger_path: str, live_path: str, checkpoint: str):
     return events.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
 
 
-def voice_line_stream(notes: DataFrame, delay: str = "1 second") -> DataFrame:
-    """Voice lines on a live note stream (event time ``at``).
+class VoiceLines(StatefulProcessor):
+    """Open voice lines of one (song, stem): notes that wait for their chord to close, and lines that may go on.
 
-    A chord group is settled once the watermark has passed it by 25 ms; open
-    lines are kept until 300 ms after their last end, then forgotten.
+    Both are list states; a timer stands at the time the first waiting chord closes or the last open line
+    is over, and is moved as the watermark passes.
     """
-    from ..operators.lines import _voice_run
-
-    cols = "note_id long, pitch double, start_ms double, end_ms double"
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        wait, open_, ids = state.get if state.exists else ([], [], [])
-        rows = [tuple(w) for w in wait]
-        for p in batches:
-            rows += [(int(i), float(h), float(a), float(b)) for i, h, a, b in zip(p["note_id"], p["pitch"], p["start_ms"], p["end_ms"])]
-        rows.sort(key=lambda r: (r[2], r[1], r[0]))
-        mark = state.getCurrentWatermarkMs()
-        groups, anchors = [], []
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "note_id long, pitch double, start_ms double, end_ms double")
+        self.lines = handle.getListState("lines", "line_id long, pitch double, end_ms double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for p in rows:
+            new = [(int(i), float(h), float(a), float(b)) for i, h, a, b in zip(p["note_id"], p["pitch"], p["start_ms"], p["end_ms"])]
+            self.waiting.appendList(new)
+            first = min([r[2] for r in new] + ([first] if first is not None else []))
+        if first is not None:
+            self.wake(first + 26.0, timerValues)
+        yield self.rows([], [], [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        from ..operators.lines import _voice_run
+
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(map(tuple, self.waiting.get() if self.waiting.exists() else []), key=lambda r: (r[2], r[1], r[0]))
+        held = list(map(tuple, self.lines.get() if self.lines.exists() else []))
+        groups: list[list[tuple]] = []
         for r in rows:
-            if not anchors or r[2] - anchors[-1] > 25.0:
-                anchors.append(r[2])
+            if not groups or r[2] - groups[-1][0][2] > 25.0:
                 groups.append([])
             groups[-1].append(r)
-        ready = [(a, g) for a, g in zip(anchors, groups) if a + 25.0 < mark]
-        left = [r for a, g in zip(anchors, groups) if not a + 25.0 < mark for r in g]
-        out = {"song_id": [], "stem": [], "note_id": [], "line_id": []}
+        ready = [(g[0][2], *r) for g in groups if g[0][2] + 25.0 < mark for r in g]
+        left = [r for g in groups if not g[0][2] + 25.0 < mark for r in g]
+        out = self.rows([], [], [], [])
         if ready:
-            flat = [(a, *r) for a, g in ready for r in g]
-            p = pd.DataFrame(flat, columns=["group_ms", "note_id", "pitch", "start_ms", "end_ms"])
-            labels, leaving = _voice_run(p, [list(o) for o in open_], float("-inf"))
-            got = [int(p["note_id"].iloc[a]) if a >= 0 else ids[~a] for a in labels]
-            ids = [int(p["note_id"].iloc[a]) if a >= 0 else ids[~a] for a, _ in leaving]
-            open_ = [tuple(s) for _, s in leaving]
-            out = {"song_id": [key[0]] * len(p), "stem": [key[1]] * len(p), "note_id": p["note_id"].tolist(), "line_id": got}
-        keep = [i for i, o in enumerate(open_) if o[1] + 300.0 >= mark]
-        open_, ids = [open_[i] for i in keep], [ids[i] for i in keep]
-        if left or open_:
-            state.update((left, open_, ids))
-            last = max([r[2] + 26.0 for r in left] + [o[1] + 301.0 for o in open_])
-            state.setTimeoutTimestamp(int(max(last, mark + 1)))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out)
+            p = pd.DataFrame(ready, columns=["group_ms", "note_id", "pitch", "start_ms", "end_ms"])
+            labels, leaving = _voice_run(p, [list(x[1:]) for x in held], float("-inf"))
+            name = p["note_id"].tolist()
+            out = self.rows([key[0]] * len(p), [key[1]] * len(p), name, [name[a] if a >= 0 else held[~a][0] for a in labels])
+            held = [(name[a] if a >= 0 else held[~a][0], *state) for a, state in leaving]
+        held = [x for x in held if x[2] + 300.0 >= mark]
+        for state, kept in ((self.waiting, left), (self.lines, held)):
+            if kept:
+                state.put(kept)
+            else:
+                state.clear()
+        if left or held:
+            self.wake(min([r[2] + 26.0 for r in left] or [max(x[2] for x in held) + 301.0]), timerValues)
+        yield out
+
+    @staticmethod
+    def rows(song: list, stem: list, note: list, line: list) -> pd.DataFrame:
+        return pd.DataFrame({"song_id": pd.Series(song, dtype="int64"), "stem": pd.Series(stem, dtype=object), "note_id": pd.Series(note, dtype="int64"), "line_id": pd.Series(line, dtype="int64")})
+
+    def wake(self, at: float, timerValues) -> None:
+        self.handle.registerTimer(max(int(at), timerValues.getCurrentWatermarkInMs() + 1))
+
+    def close(self) -> None:
+        pass
 
-    st = f"wait array<struct<{cols.replace(' long', ':bigint').replace(' double', ':double')}>>, open array<struct<pitch:double,end_ms:double>>, ids array<bigint>"
-    return notes.withWatermark("at", delay).groupBy("song_id", "stem").applyInPandasWithState(
-        step, "song_id long, stem string, note_id long, line_id long", st, "append", GroupStateTimeout.EventTimeTimeout)
+
+def voice_line_stream(notes: DataFrame, delay: str = "1 second") -> DataFrame:
+    """Voice lines on a live note stream (event time ``at``).
+
+    A chord group is settled once the watermark has passed it by 25 ms; open
+    lines are kept until 300 ms after their last end, then forgotten.  The state store has to be RocksDB,
+    which is set here where the session names no other.
+    """
+    conf, name = notes.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if not conf.get(name, "").endswith("RocksDBStateStoreProvider"):
+        conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return notes.withWatermark("at", delay).groupBy("song_id", "stem").transformWithStateInPandas(
+        VoiceLines(), "song_id long, stem string, note_id long, line_id long", "Append", "EventTime")
 
 
 def trouble_stream(notes: DataFrame, measure_ms: int, beats_per_measure: int, delay: str = "10 seconds", min_confidence: float = 0.25, max_density: float = 6.0) -> DataFrame:
