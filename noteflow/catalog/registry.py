@@ -67,8 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SECTIONS = (
     "filters", "lookups", "keys", "tempo", "rhythm",
-    "quantize", "patterns", "lines", "evaluation", "hands", "page", "frames", "scans", "telemetry", "alignment", "sinks",
-
+    "quantize", "patterns", "lines", "evaluation", "hands", "page", "frames", "scans", "telemetry", "alignment", "sinks", "borders",
 )
 
 
