@@ -7,7 +7,7 @@ from ..operators import evaluation as e
 from ..plans import joins
 from ..sources import corpus as c
 from .lookups import SECT
-from .registry import query, r6
+from .registry import drawn, query, r6
 from .rhythm import ANCH
 
 MATCH = """
@@ -220,14 +220,8 @@ def w43(s, d):
     return b.select("offset_ms", F.round("recovered", 6).alias("recovered"), F.round("slope", 6).alias("slope"))
 
 
-def drawn(salt):
-    """The uniform draw of a note, as ``evaluation.uniform`` makes it."""
-    step = f"((note_id % 1000000007) * 48271 + {salt} * 69621 + 1013904223) % 2147483647"
-    return f"(((({step}) * 48271 + note_id % 65521) % 2147483647 * 16807 + {salt}) % 2147483647 + 0.5e0) / 2147483647e0"
-
-
 @query("w43_degradation", "notes", f"""
-nd as (select note_id, start_ms, end_ms, sqrt(-2e0 * ln({drawn(1)})) * cos(2 * pi() * {drawn(2)}) as a, sqrt(-2e0 * ln({drawn(3)})) * cos(2 * pi() * {drawn(4)}) as b from notes),
+nd as (select note_id, start_ms, end_ms, sqrt(-2e0 * ln({drawn('note_id', 1)})) * cos(2 * pi() * {drawn('note_id', 2)}) as a, sqrt(-2e0 * ln({drawn('note_id', 3)})) * cos(2 * pi() * {drawn('note_id', 4)}) as b from notes),
 ns as (select note_id, greatest(0e0, start_ms + 60e0 * a) as s, (end_ms - start_ms) * greatest(0.15e0, 1 + 1.39e0 * b) as u from nd)""", """
 select note_id, round(s, 6) as start_ms, round(s + u, 6) as end_ms from ns""")
 def w43b(s, d):

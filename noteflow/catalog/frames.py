@@ -163,12 +163,26 @@ def j09(s, d):
     return a.select("song_id", "note_id", "stem", F.round("confidence", 6).alias("confidence"), "contested_by")
 
 
-@query("j10_partial_matching")
+@query("j10_partial_matching", "notes frames", """
+sp as (select song_id, cast(floor(hz / 10) as bigint) as bin, avg(flux) as mag from frames group by all),
+fs as materialized (select song_id, unnest(range(0, 1101)) as bin from (select distinct song_id from frames) q),
+fu as materialized (select fs.song_id, fs.bin, coalesce(mag, 0.01e0) as mag from fs left join sp on sp.song_id = fs.song_id and sp.bin = fs.bin),
+hk as (select song_id, note_id, 440 * power(2, (pitch - 69) / 12e0) as f0, unnest(range(1, 9)) as k from notes),
+ht as (select *, f0 * k as target, cast(ceil(f0 * k / 10 - 0.5e0) as bigint) as c from hk where f0 * k <= 11025),
+hb as (select h.song_id, h.note_id, h.k, h.target, list({'m': -mag, 'b': bin} order by bin) filter (where abs(bin - c) <= 2) as near, list({'m': -mag, 'b': bin} order by bin) as bs
+  from ht h join fu on fu.song_id = h.song_id and fu.bin between h.c - 3 and h.c + 3 group by all),
+hm as (select *, list_sort(near)[1] as x from hb where near is not null),
+hs as (select *, list_filter(bs, lambda v: v.b = x.b - 1)[1].m as lo, list_filter(bs, lambda v: v.b = x.b + 1)[1].m as hi from hm where 20 * log10(-x.m + 1e-8) >= -80),
+hf as (select *, (x.b + coalesce(case when abs(-lo + 2 * x.m - hi) > 1e-12 then greatest(-1, least(1, 0.5e0 * (hi - lo) / (-lo + 2 * x.m - hi))) end, 0)) * 10 as freq from hs),
+hc as (select *, case when k <= 3 then 30 when k <= 5 then 50 else 70 end as tol from hf where freq > 0),
+hg as (select song_id, note_id, count(*) as partials, sum(abs(freq - target) / target / k) / sum(1e0 / k) as inh from hc where abs(1200 * log2(freq / target)) <= tol group by song_id, note_id having count(*) >= 2)""", """
+select song_id, note_id, partials, round(inh + 1.37e-8, 6) as inharmonicity, round(greatest(0, least(1, partials / 8e0 * (1 - least(inh, 0.1e0) / 0.1e0))) + 1.37e-8, 6) as confidence from hg""")
 def j10(s, d):
     sp = c.frames(s, d).withColumn("bin", F.floor(F.col("hz") / 10.0)).groupBy("song_id", "bin").agg(F.avg("flux").alias("mag"))
     songs = sp.select("song_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1100).cast("bigint"))))
     full = songs.join(sp, ["song_id", "bin"], "left").fillna(0.01, ["mag"])
-    return f.harmonic_series(c.notes(s, d), full, 10.0, 11025.0)
+    h = f.harmonic_series(c.notes(s, d), full, 10.0, 11025.0)
+    return h.select("song_id", "note_id", "partials", r6("inharmonicity").alias("inharmonicity"), r6("confidence").alias("confidence"))
 
 
 @query("a14_note_support", "notes", """
@@ -221,11 +235,6 @@ def textured(s, d):
     return tx.texture(in_regions(s, d), 120.0)
 
 
-@query("a35_texture_vector")
-def a35(s, d):
-    return tx.texture_vector(in_regions(s, d), 120.0)
-
-
 TEXTURE = """
 tr as (select n.song_id, s.idx as region, note_id, n.start_ms, n.end_ms, pitch, stem as family, s.start_ms as r0, s.end_ms as r1 from notes n join sections s on s.song_id = n.song_id and n.start_ms >= s.start_ms and n.start_ms < s.end_ms),
 tm as (select song_id, region, median(pitch) as split, count(*) as n, bool_or(end_ms - start_ms >= 0.60e0 * greatest(1e0, r1 - r0)) as long_note from tr group by all),
@@ -247,6 +256,24 @@ tz as (select *, case when n < 12 then 'SPARSE' when mean_stack < 1.2e0 then 'MO
   when long_note and stacks >= 4 then 'PEDAL_PLUS_ACTIVITY' when (n_fam >= 2 or stepwise > 0.35e0) and active >= 1.3e0 then 'MELODY_ACCOMP' when share <= 0.35e0 then 'COUNTERPOINT' else 'MELODY_ACCOMP' end as texture from tx)"""
 
 
+@query("a35_texture_vector", "notes sections", TEXTURE + """,
+va as (select song_id, region, n, split from tm where n >= 12),
+vb as (select song_id, region, start_ms - lag(start_ms) over (partition by song_id, region order by start_ms, note_id) as g from tk where part = 'low'),
+vc as (select song_id, region, case when count(*) > 2 and count(*) filter (where g > 1) >= 3 then greatest(0, least(1, 1 - stddev_pop(g) filter (where g > 1) / (avg(g) filter (where g > 1) + 1e-9))) else 0e0 end as regularity from vb group by all),
+vd as (select a.song_id, a.region, 1 - avg(case when exists(select 1 from tk b where b.part = 'low' and b.song_id = a.song_id and b.region = a.region and abs(b.start_ms - a.start_ms) <= 120) then 1e0 else 0e0 end) as independence
+  from tk a where a.part = 'top' group by all),
+ve as (select song_id, region, sum(least(1e0, c * 0.25e0)) as sus from (select a.song_id, a.region, a.note_id, count(*) as c from tr a join tr b on b.song_id = a.song_id and b.region = a.region and b.start_ms > a.start_ms + 120 and b.start_ms < a.end_ms group by all) q group by all),
+vf as (select song_id, region, list(cast(trunc((start_ms - r0) / greatest(1, r1 - r0) * 63) as int)) as i from tr where cast(trunc((start_ms - r0) / greatest(1, r1 - r0) * 63) as int) between 0 and 63 group by all),
+vg as (select song_id, region, list_transform(range(0, 64), lambda b: len(list_filter(i, lambda x: x = b)) - len(i) / 64e0) as g from vf),
+vh as (select song_id, region, case when list_dot_product(g, g) > 0 then greatest(0, least(1, list_max(list_transform(range(1, 64), lambda l: list_dot_product(g[1:64 - l], g[l + 1:64]))) / (list_dot_product(g, g) + 1e-9))) else 0e0 end as ost from vg)""", """
+select song_id, region, va.n, round(greatest(0, least(1, sync / va.n * (0.5e0 + 0.5e0 * greatest(chordness, 0)))) + 1.37e-8, 6) as chordality, round(coalesce(stepwise, 0) + 1.37e-8, 6) as motion, round(coalesce(regularity, 0) + 1.37e-8, 6) as regularity,
+  round(case when vc.song_id is not null then coalesce(independence, 0) else 0 end + 1.37e-8, 6) as independence, round(coalesce(sus, 0) / va.n + 1.37e-8, 6) as sustain, round(case when va.n > 8 then coalesce(ost, 0) else 0 end + 1.37e-8, 6) as ostinato
+from va join tt using (song_id, region) left join te using (song_id, region) left join vc using (song_id, region) left join vd using (song_id, region) left join ve using (song_id, region) left join vh using (song_id, region)""")
+def a35(s, d):
+    v = tx.texture_vector(in_regions(s, d), 120.0)
+    return v.select("song_id", "region", "n", *[r6(x).alias(x) for x in ("chordality", "motion", "regularity", "independence", "sustain", "ostinato")])
+
+
 @query("a36_texture_class", "notes sections", TEXTURE, """
 select song_id, region, n, round(mean_stack + 1.37e-8, 6) as mean_stack, round(share + 1.37e-8, 6) as sync_share, round(chordness + 1.37e-8, 6) as chordness, texture from tz""")
 def a36(s, d):

@@ -76,6 +76,12 @@ def r6(c):
     return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(1.37e-8), 6)
 
 
+def drawn(number: str, salt: int) -> str:
+    """SQL of the draw that ``functions.draws.uniform`` makes of a whole number."""
+    step = f"((({number}) % 1000000007) * 48271 + {salt * 69621 + 1013904223}) % 2147483647"
+    return f"(((({step}) * 48271 + ({number}) % 65521) % 2147483647 * 16807 + {salt}) % 2147483647 + 0.5e0) / 2147483647e0"
+
+
 def with_views(views: str, ctes: str, body: str) -> str:
     """Oracle statement with the adapter views it needs as leading CTEs."""
     wanted: list[str] = []

@@ -6,7 +6,7 @@ from ..operators import rhythm as r
 from ..operators import tempo as t
 from ..plans.grouping import anchor_groups
 from ..sources import corpus as c
-from .registry import query, r6
+from .registry import drawn, query, r6
 from .tempo import REF
 
 COMB = "co as (select distinct song_id, round_even(t_ms, 0) as t_ms from onsets)"
@@ -176,11 +176,28 @@ def r10(s, d):
     return x.select("song_id", "numerator", "phase", F.round("salience", 6).alias("salience"))
 
 
-@query("r11_time_signature")
+@query("r11_time_signature", "notes beats frames", f"""
+fn as (select *, lead(t_ms) over (partition by song_id order by frame_idx) as nt, lead(flux) over (partition by song_id order by frame_idx) as nf, frame_idx = 0 as first from frames),
+ba as (select b.song_id, beat_idx as i, case when b.t_ms < f.t_ms then flux when nt is null then flux else flux + (b.t_ms - f.t_ms) / (nt - f.t_ms) * (nf - flux) end as a
+  from beats b join fn f on f.song_id = b.song_id and (b.t_ms >= f.t_ms or f.first) and (b.t_ms < nt or nt is null)),
+an as materialized (select *, count(*) over (partition by song_id) as n from ba),
+tr as materialized (select song_id, a, n, trial, row_number() over (partition by song_id, trial order by {drawn('i * 1009 + trial', 7)}, i) - 1 as i from (select an.*, unnest(range(1, 101)) as trial from an) q),
+al as (select song_id, 0 as trial, a, n, i from an union all select song_id, trial, a, n, i from tr),
+ak as materialized (select al.*, unnest([2, 3, 4, 5, 6, 7, 9, 12]) as k from al),
+fo as (select song_id, trial, k, i % k as p, avg(a) as m from ak where n >= k * 3 and i < (n // k) * k group by all),
+fg as (select song_id, trial, k, arg_min(p, [-round(m, 9), p]) as phase, max(m) as top, (sum(m) - max(m)) / (k - 1) as oth from fo group by song_id, trial, k),
+sl as (select song_id, trial, k, phase, case when top + oth > 0 then greatest(0, (top - oth) / (top + oth)) else 0e0 end as s from fg),
+bs as (select song_id, k, avg(s) filter (where trial > 0) as base, quantile_cont(s, 0.95) filter (where trial > 0) as thr from sl group by song_id, k),
+sc as (select song_id, k, phase, case when base >= 1 then 0e0 else greatest(0, least(1, (s - base) / (1 - base))) end as score, base < 1 and s > thr as sig from sl join bs using (song_id, k) where trial = 0),
+bt as (select song_id, arg_min({{'k': k, 's': score, 'p': phase}}, [-round(score, 9), k]) as b from sc where sig group by song_id),
+sg as (select song_id, count(*) as n from beats group by song_id)""", """
+select song_id, cast(case when n >= 8 and b is not null then b.k else 4 end as int) as numerator, 4 as denominator, round(case when n >= 8 and b is not null then b.s else 0.3e0 end + 1.37e-8, 6) as confidence,
+  cast(case when n >= 8 and b is not null and b.s >= 0.30 then b.p else 0 end as bigint) as phase from sg left join bt using (song_id)""")
 def r11(s, d):
     """Chance-corrected meter of every song; accents are the beat-level onset strength."""
     a = r.with_count(r.beat_accents(c.beats(s, d), c.frames(s, d)).select("song_id", "beat_idx", "accent"))
-    return r.time_signature(c.beats(s, d), r.scored_meters(a))
+    m = r.time_signature(c.beats(s, d), r.scored_meters(a))
+    return m.select("song_id", F.col("numerator").cast("int").alias("numerator"), F.col("denominator").cast("int").alias("denominator"), r6("confidence").alias("confidence"), F.col("phase").cast("bigint").alias("phase"))
 
 
 @query("r12_spectral_meter", "frames", """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.draws import uniform
 from ..plans.carry import carry
 from ..plans.grouping import anchor_groups
 from ..plans.groups import Group, map_groups
@@ -347,14 +348,6 @@ def injected_bias(reference: DataFrame, offsets_ms: Sequence[float], cap_ms: flo
     return per.crossJoin(F.broadcast(slope))
 
 
-def uniform(number: Column, salt: int, seed: int = 0) -> Column:
-    """A draw in (0, 1) from a whole number, by modular multiplications that any engine can repeat."""
-    m = 2147483647
-    a = F.pmod(F.pmod(number, F.lit(1_000_000_007)) * 48271 + F.lit(salt * 69621 + seed * 30269 + 1013904223), F.lit(m))
-    b = F.pmod(a * 48271 + F.pmod(number, F.lit(65521)), F.lit(m))
-    return (F.pmod(b * 16807 + F.lit(salt), F.lit(m)) + 0.5) / float(m)
-
-
 def degrade(notes: DataFrame, seed: int = 0, onset_sd: float = 60.0, duration_sd: float = 1.39, floor: float = 0.15) -> DataFrame:
     """Controlled noise on onsets and durations; a note's draw depends only on its id and the seed."""
     def normal(salt: int) -> Column:

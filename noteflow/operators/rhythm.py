@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.draws import uniform
 from ..functions.music import clip
 from ..plans.grouping import anchor_groups, blocks
 from ..plans.groups import Group, map_groups
@@ -302,15 +303,14 @@ def with_count(beats: DataFrame) -> DataFrame:
 
 
 def scored_meters(accents: DataFrame, trials: int = 100, seed: int = 0) -> DataFrame:
-    """Salience corrected for chance by shuffled accents (hash-ordered permutations).
+    """Salience corrected for chance by shuffled accents (permutations in the order of a draw per beat and trial).
 
     One permutation per trial serves all numerators.  Ranks come from a
-    two-level count over the uniform hash, so a long song is not sorted in one task.
+    two-level count over the draws, so a long song is not sorted in one task.
     """
     real = downbeat_salience(accents)
     t = accents.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    u = (F.xxhash64("beat_idx", "trial", F.lit(seed)) / F.lit(2.0**64)) + 0.5
-    t = scan(t.withColumn("_u", u), ["song_id", "trial"], ["_u", "beat_idx"], {"_rn": row_no()}, 0.25)
+    t = scan(t.withColumn("_u", uniform(F.col("beat_idx").cast("bigint") * 1009 + F.col("trial"), 7, seed)), ["song_id", "trial"], ["_u", "beat_idx"], {"_rn": row_no()}, 0.25)
     null = downbeat_salience(t.select("song_id", "trial", (F.col("_rn") - 1).alias("beat_idx"), "accent", "n"), keys=("song_id", "trial"))
     base = null.groupBy("song_id", "numerator").agg(
         F.avg("salience").alias("baseline"), F.percentile("salience", F.lit(0.95)).alias("threshold"))
