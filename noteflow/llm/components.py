@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import store
+from .storage import discard, store
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -23,9 +23,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while not links.isEmpty():
         both = links.union(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = store(both.groupBy(F.col("x").alias("label")).agg(F.min("y").alias("to")).filter("to < label"), "least")
-        member = store(member.join(least, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "members")
+        relabelled = store(member.join(least, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "members")
+        shorter = links
         for end in ("x", "y"):
-            links = links.join(least.withColumnRenamed("label", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        links = store(links.filter("x <> y").select("x", "y").distinct(), "links")
+            shorter = shorter.join(least.withColumnRenamed("label", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        shorter = store(shorter.filter("x <> y").select("x", "y").distinct(), "links")
+        discard(member, links, least)
+        member, links = relabelled, shorter
     smallest = member.groupBy("label").agg(F.min("node").alias("component"))
     return member.join(smallest, "label").select("node", "component")
