@@ -113,6 +113,48 @@ def v03(s, d):
     return v.select("song_id", "hand", "note_id", F.col("voice").cast("bigint").alias("voice"), "tops")
 
 
+# the same machine with gestures: a list of (gesture, voice), the latest owner of each
+GESTURES = """
+gn as (select song_id, case when pitch >= 60 then 'treble' else 'bass' end as hand, note_id, start_ms, end_ms, pitch, case when note_id % 3 <> 0 then cast(floor(start_ms / 700) as bigint) end as g from notes),
+gk as (select *, row_number() over (partition by song_id, hand order by start_ms, note_id) as k from gn),
+gv(song_id, hand, k, note_id, id, open, own) as (
+  select distinct song_id, hand, cast(0 as bigint), cast(null as bigint), cast(null as bigint), cast([] as struct(id bigint, e double, p bigint)[]), cast([] as struct(g bigint, id bigint)[]) from gk
+  union all
+  select song_id, hand, k, note_id, coalesce(pick, note_id),
+    case when pick is null then list_append(open, {'id': note_id, 'e': end_ms, 'p': pitch})
+      else list_transform(open, lambda x: case when x.id = pick then {'id': x.id, 'e': greatest(x.e, end_ms), 'p': pitch} else x end) end,
+    case when g is null or joined then own else list_append(list_filter(own, lambda x: x.g <> g), {'g': g, 'id': coalesce(pick, note_id)}) end
+  from (select *, len(free) = 0 and len(open) >= 4 as joined, case when mine is not null then mine when len(free) > 0 then list_sort(free)[1].id when len(open) >= 4 then list_sort(every)[1].id end as pick
+    from (select *, list_filter(own, lambda x: x.g = g and list_contains(list_transform(free, lambda f: f.id), x.id))[1].id as mine
+      from (select n.song_id, n.hand, n.k, n.note_id, n.start_ms, n.end_ms, n.pitch, n.g, gv.open, gv.own,
+        list_transform(list_filter(range(1, len(gv.open) + 1), lambda i: gv.open[i].e <= n.start_ms + 240e0), lambda i: {'c': abs(gv.open[i].p - n.pitch), 'i': i, 'id': gv.open[i].id}) as free,
+        list_transform(range(1, len(gv.open) + 1), lambda i: {'c': abs(gv.open[i].p - n.pitch), 'i': i, 'id': gv.open[i].id}) as every
+      from gv join gk n on n.song_id = gv.song_id and n.hand = gv.hand and n.k = gv.k + 1) a) b) c)"""
+
+
+@query("v03_gesture_voices", "notes", GESTURES, "select song_id, hand, note_id, id as voice_start from gv where note_id is not null")
+def v03b(s, d):
+    """Two notes of three belong to a figure of 0.7 s, which keeps its voice while that is free."""
+    n = staffed(s, d).withColumn("gesture", F.when(F.col("note_id") % 3 != 0, F.floor(F.col("start_ms") / 700)))
+    return p.staff_voices(n, ms_per_beat=480.0).select("song_id", "hand", "note_id", "voice_start")
+
+
+@query("w35_gated_smoothing", "notes", """
+en as (select *, (note_id * 37 % 101) / 100e0 as res, (note_id * 53 % 97) / 96e0 as void from notes),
+sb as (select *, case when pitch = lag(pitch) over w and start_ms - lag(end_ms) over w <= 240e0 then 0 else 1 end as b from en window w as (partition by song_id order by start_ms, note_id)),
+si as (select *, sum(b) over (partition by song_id order by start_ms, note_id rows unbounded preceding) as isl from sb),
+sm as (select song_id, min(start_ms) as start_ms, max(end_ms) as end_ms, arg_min(note_id, [start_ms, note_id]) as note_id, arg_min(res, [start_ms, note_id]) as res, arg_min(void, [start_ms, note_id]) as void from si group by song_id, isl),
+ca as (select song_id, case when count(*) >= 30 then quantile_cont(res, 0.25) end as ring, case when count(*) >= 30 then quantile_cont(void, 0.9) end as still from sm group by song_id),
+sx as (select sm.*, lead(start_ms) over (partition by song_id order by start_ms, note_id) as nx, case when ring is null then 480e0 when void >= still then 0e0 when res >= ring then 960e0 else 480e0 end as lim from sm join ca using (song_id)),
+sf as (select *, case when nx - end_ms > 0 and nx - end_ms <= lim then nx else end_ms end as e from sx),
+sh as (select *, ceil(e / 480e0 - 1e-9) * 480e0 as beat, ceil(e / 960e0 - 1e-9) * 960e0 as half, ceil(e / 1920e0 - 1e-9) * 1920e0 as bar from sf)""", """
+select song_id, note_id, round(start_ms, 6) as start_ms, round(case when coalesce(nx > e, true) then greatest(e, least(case when half - e <= 960e0 then half else beat end, bar, coalesce(nx, 1e300))) else e end, 6) as end_ms from sh""")
+def w35b(s, d):
+    """One voice a song, so that its evidence is enough to calibrate the gate."""
+    n = c.notes(s, d).withColumns({"resonance": (F.col("note_id") * 37 % 101) / 100.0, "void": (F.col("note_id") * 53 % 97) / 96.0})
+    return p.smooth_voice(n, ["song_id"], 480.0).select("song_id", "note_id", F.round("start_ms", 6).alias("start_ms"), F.round("end_ms", 6).alias("end_ms"))
+
+
 @query("w35_gap_smoothing", "notes", """
 sb as (select *, case when pitch = lag(pitch) over w and start_ms - lag(end_ms) over w <= 240e0 then 0 else 1 end as b from notes window w as (partition by song_id, stem order by start_ms, note_id)),
 si as (select *, sum(b) over (partition by song_id, stem order by start_ms, note_id rows unbounded preceding) as isl from sb),

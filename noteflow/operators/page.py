@@ -12,6 +12,7 @@ from ..plans.joins import points_in
 from ..plans.timeline import CHUNK_MS, islands, nxt, prev, row_no, scan, settle
 from .filters import position_level
 from .hands import max_simultaneity
+from .tempo import gate_limit, resonance_gate
 
 # Writable shapes in ticks of 1/96 beat, longest first (base values and dotted; two-thirds of the base values).
 BINARY_SHAPES = (1152, 768, 576, 384, 288, 192, 144, 96, 72, 48, 36, 24)
@@ -121,21 +122,32 @@ def register_voices(events: DataFrame, keys=("song_id", "stem"), per_staff: int
 
 
 def _staff_run(max_voices: int, slack_ms: float):
+    """State of a voice: free at, last pitch, then number and last onset of every gesture it owns and that still goes on."""
     def run(p: Group, entry: list, end: float):
-        voices = [[~k, *s, False] for k, s in enumerate(entry)]
+        voices = [[~k, s[0], s[1], False, dict(zip(s[2::2], s[3::2]))] for k, s in enumerate(entry)]
         labels = []
-        for a, (t, e, pitch) in enumerate(zip(p["start_ms"].tolist(), p["end_ms"].tolist(), p["pitch"].tolist())):
+        for a, (t, e, pitch, gesture, over) in enumerate(zip(*(p[c].tolist() for c in ("start_ms", "end_ms", "pitch", "_gesture", "_over")))):
             free = [v for v in voices if v[1] <= t + slack_ms]
-            if free:
+            owner = [v for v in free if gesture in v[4]] if gesture >= 0 else []
+            if owner:
+                v = owner[0]
+            elif free:
                 v = min(free, key=lambda x: abs(x[2] - pitch))
             elif len(voices) < max_voices:
-                v = [a, 0.0, 0.0, True]
+                v = [a, 0.0, 0.0, True, {}]
                 voices.append(v)
             else:
                 v = min(voices, key=lambda x: abs(x[2] - pitch))
+                gesture = -1  # joined as a chord tone: the voice does not come to own the gesture
+            if gesture >= 0:
+                for other in voices:
+                    if other[4].pop(gesture, None) is not None:
+                        other[3] = True
+                if over > t:
+                    v[4][gesture] = over
             v[1], v[2], v[3] = max(v[1], float(e)), float(pitch), True
             labels.append(v[0])
-        return labels, [(v[0], v[1:3] if v[3] else Kept()) for v in voices]
+        return labels, [(v[0], [v[1], v[2], *(x for g, o in sorted(v[4].items()) if o >= end for x in (g, o))] if v[3] else Kept()) for v in voices]
 
     return run
 
@@ -143,11 +155,18 @@ def _staff_run(max_voices: int, slack_ms: float):
 def staff_voices(slots: DataFrame, keys=("song_id", "hand"), max_voices: int = 4, ms_per_beat: float = 500.0, chunk_ms: float = CHUNK_MS) -> DataFrame:
     """Voices of a staff: the free voice of nearest pitch (half a beat of overlap allowed), at most ``max_voices``.
 
-    When all are busy a slot joins the nearest voice, so no note is lost.
+    Where ``slots`` has a column ``gesture`` (a number of the keys, null for none), the free voice that the gesture's
+    last slot went to comes first, so a figure stays in one voice.  When all are busy a slot joins the nearest
+    voice, so no note is lost.
     """
     keys = list(keys)
-    v = carry(slots, keys, ["start_ms", "note_id"], ["end_ms", "pitch"], _staff_run(max_voices, 0.5 * ms_per_beat), "note_id", "voice_start", chunk_ms)
-    return v
+    if "gesture" in slots.columns:
+        ends = slots.filter("gesture is not null").groupBy(*keys, "gesture").agg(F.max("start_ms").alias("_over"))
+        rows = slots.join(ends, [*keys, "gesture"], "left").withColumns({"_gesture": F.coalesce(F.col("gesture").cast("double"), F.lit(-1.0)), "_over": F.coalesce("_over", F.lit(0.0))})
+    else:
+        rows = slots.withColumns({"_gesture": F.lit(-1.0), "_over": F.lit(0.0)})
+    rows = settle(rows)
+    return carry(rows, keys, ["start_ms", "note_id"], ["end_ms", "pitch", "_gesture", "_over"], _staff_run(max_voices, 0.5 * ms_per_beat), "note_id", "voice_start", chunk_ms).drop("_gesture", "_over")
 
 
 def top_line_order(voiced: DataFrame, keys=("song_id", "hand"), bucket_ms: float = 1000.0) -> DataFrame:
@@ -167,16 +186,24 @@ def smooth_voice(voiced: DataFrame, keys, ms_per_beat: float, merge_beats: float
     """Close small gaps in a voice: same-pitch merges, fills to the next note, holds to a beat or half bar.
 
     ``voiced`` has keys, note_id, pitch, start_ms, end_ms; a hold never passes a
-    barline or the next note.
+    barline or the next note.  With columns ``resonance`` and ``void`` (what the sound does after a note) a
+    voice's own percentiles decide how far its gaps close: silent ones stay open, ringing ones close twice as far.
     """
     keys = list(keys)
     order = ["start_ms", "note_id"]
+    evidence = [x for x in ("resonance", "void") if {"resonance", "void"} <= set(voiced.columns)]
     n = islands(voiced, keys, order, lambda p, r: (p["pitch"] != r["pitch"]) | (r["start_ms"] - p["end_ms"] > merge_beats * ms_per_beat), ["pitch", "end_ms"], "_isl", chunk_ms)
     m = n.groupBy(*keys, "_isl").agg(F.min("pitch").alias("pitch"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
-                                     F.min_by("note_id", F.struct(*order)).alias("note_id"), F.count(F.lit(1)).alias("merged")).drop("_isl")
-    m = scan(settle(m), keys, order, {"_n": nxt("start_ms")}, chunk_ms)
+                                     F.min_by("note_id", F.struct(*order)).alias("note_id"), F.count(F.lit(1)).alias("merged"),
+                                     *[F.min_by(x, F.struct(*order)).alias(x) for x in evidence]).drop("_isl")
+    m = settle(m)
+    fill = F.lit(fill_beats * ms_per_beat)
+    if evidence:
+        m = settle(m.join(resonance_gate(m, keys), keys, "left"))
+        fill = gate_limit(F.col("resonance"), F.col("void"), fill, F.lit(None).cast("double"), F.col("ring_at"), F.col("hold_at"), F.col("void_at"))
+    m = scan(m, keys, order, {"_n": nxt("start_ms")}, chunk_ms)
     gap = F.col("_n") - F.col("end_ms")
-    filled = F.when((gap > 0) & (gap <= fill_beats * ms_per_beat), F.col("_n")).otherwise(F.col("end_ms"))
+    filled = F.when((gap > 0) & (gap <= fill), F.col("_n")).otherwise(F.col("end_ms"))
     m = m.withColumn("_e", filled)
     beat = F.ceil(F.col("_e") / ms_per_beat - 1e-9) * ms_per_beat
     half = F.ceil(F.col("_e") / (ms_per_beat * beats_per_bar / 2) - 1e-9) * (ms_per_beat * beats_per_bar / 2)
@@ -184,7 +211,7 @@ def smooth_voice(voiced: DataFrame, keys, ms_per_beat: float, merge_beats: float
     target = F.when(half - F.col("_e") <= reach_beats * ms_per_beat, half).otherwise(beat)
     hold = F.least(target, bar, F.coalesce("_n", F.lit(float("inf"))))
     open_gap = F.coalesce(F.col("_n") > F.col("_e"), F.lit(True))
-    return m.withColumn("end_ms", F.when(open_gap, F.greatest("_e", hold)).otherwise(F.col("_e"))).drop("_n", "_e")
+    return m.withColumn("end_ms", F.when(open_gap, F.greatest("_e", hold)).otherwise(F.col("_e"))).drop("_n", "_e", *evidence, "ring_at", "hold_at", "void_at", "blind")
 
 
 def route_parts(notes: DataFrame, families: DataFrame | None = None) -> DataFrame:
