@@ -139,32 +139,57 @@ def cuts(length: int, capacity: int, waste: float = 0.02, floor: int = 16) -> li
     return out
 
 
-def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, remember: int = 200_000, keep: bool = True) -> DataFrame:
+def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
+    """The first bin with room for each length, in order, and the offset there; a tree of the largest room finds it."""
+    leaves = 1
+    while leaves < len(lengths):
+        leaves *= 2
+    room = [capacity] * (2 * leaves)
+    bins, offsets = [], []
+    for n in lengths:
+        at = 1
+        while at < leaves:
+            at = 2 * at if room[2 * at] >= n else 2 * at + 1
+        bins.append(at - leaves)
+        offsets.append(capacity - room[at])
+        room[at] -= n
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
+    return bins, offsets
+
+
+def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 2048, remember: int = 200_000, keep: bool = True,
+             digest: bool = False) -> DataFrame:
     """Pieces of every document: row, id_col, start, length, ids (little-endian 32-bit), doc_tokens, class.
 
+    With ``digest`` the unsigned CRC-32 of the ids is given as ids_crc32 in place of the ids.
+
     ``row`` tells repeated rows apart.  A null or empty text is the end token alone.  A worker
     holds the ids of about twice ``remember`` words, with ``keep`` for its later tasks too; more
     memory saves time, the ids are the same.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    given, given_type = ("ids_crc32", "bigint") if digest else ("ids", "binary")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, end = encoder(tokenizer, remember, keep), array.array("I", [END]).tobytes()
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("row", "id", "start", "length", "ids", "doc_tokens", "class")}
+            out: dict[str, list] = {c: [] for c in ("row", "id", "start", "length", given, "doc_tokens", "class")}
             for row, i, ids in zip(b["row"].tolist(), b["id"].tolist(), known.encode([t or "" for t in b["text"]])):
                 ids += end
                 at, total = 0, len(ids) // 4
                 for n, k in cuts(total, capacity):
-                    for c, v in zip(out, (row, i, at, n, ids[at * 4:(at + n) * 4], total, k)):
+                    piece = ids[at * 4:(at + n) * 4]
+                    for c, v in zip(out, (row, i, at, n, crc(piece) if digest else piece, total, k)):
                         out[c].append(v)
                     at += n
             for at in range(0, len(out["row"]), 2000):
                 yield pd.DataFrame({c: v[at:at + 2000] for c, v in out.items()})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    pieces = rows.mapInPandas(run, f"row bigint, id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, class bigint")
+    pieces = rows.mapInPandas(run, f"row bigint, id {kind}, start bigint, length bigint, {given} {given_type}, doc_tokens bigint, class bigint")
     return pieces.withColumnRenamed("id", id_col)
 
 
@@ -177,7 +202,8 @@ def place(pieces: DataFrame, capacity: int = 2048, order: tuple = ("row", "start
     is gathered: those go into shared sequences by first fit, longest first.
     """
     made = store(pieces.withColumn("_worker", F.spark_partition_id()), "pieces")
-    narrow = made.select("_worker", "class", "length", *order)
+    light = [c for c in made.columns if c not in ("_worker", "class", "ids")]
+    narrow = made.select("_worker", "class", *light)
     counts = narrow.groupBy("class", "_worker").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("class").orderBy("_worker").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("class")
@@ -194,29 +220,22 @@ def place(pieces: DataFrame, capacity: int = 2048, order: tuple = ("row", "start
     grouped = Window.partitionBy("sequence_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     done = spot.filter("_full").withColumn("sequence_id", F.col("_base") + F.expr("_at div class")).withColumn(
         "offset", F.coalesce(F.sum("length").over(grouped), F.lit(0)))
-    tail = spot.filter("not _full").select("length", *order)
-
+    tail = spot.filter("not _full").select(*light)
     kinds = dict(tail.dtypes)
 
-    def first_fit(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
+    def fit(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["length", *order], ascending=[False] + [True] * len(order)).reset_index(drop=True)
-        used: list[int] = []
-        bins, offs = [], []
-        for n in t["length"]:
-            k = next((i for i, u in enumerate(used) if u + n <= capacity), len(used))
-            if k == len(used):
-                used.append(0)
-            bins.append(k)
-            offs.append(used[k])
-            used[k] += n
-        t["k"], t["offset"] = bins, offs
+        t["k"], t["offset"] = first_fit(t["length"].tolist(), capacity)
         return t[[*order, "k", "offset"]]
 
-    rest = tail.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(first_fit, ", ".join(f"{c} {kinds[c]}" for c in order) + ", k bigint, offset bigint")
+    rest = tail.select("length", *order).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, ", ".join(f"{c} {kinds[c]}" for c in order) + ", k bigint, offset bigint")
     filled = counts.groupBy("class").agg(F.sum("_n").alias("_all")).agg(F.coalesce(F.sum(F.expr("_all div class")), F.lit(0)).cast("long").alias("_end"))
     rest = rest.crossJoin(F.broadcast(filled)).select(*order, (F.col("_end") + F.col("k")).alias("sequence_id"), "offset")  # one row
-    placed = done.select(*order, "sequence_id", "offset").unionByName(rest)
-    return made.drop("_worker", "class").join(placed, list(order))
+    placed = done.select(*light, "sequence_id", "offset").unionByName(tail.join(rest, list(order)).select(*light, "sequence_id", "offset"))
+    if "ids" not in made.columns:
+        return placed
+    # only the ids were left behind
+    return made.select(*order, "ids").join(placed, list(order)).select(*[c for c in made.columns if c not in ("_worker", "class")], "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> DataFrame:

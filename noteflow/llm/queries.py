@@ -32,6 +32,11 @@ def fold(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def held_out(id_col: str, n: int, rest: int):
+    """Whether a document lies in the fold ``rest``; one without an id never does."""
+    return F.coalesce(fold(id_col, n) == rest, F.lit(False))
+
+
 @query("op1_hilbert_sharding")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -61,7 +66,7 @@ def language_model(docs: DataFrame):
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = byte_cnn.identify(docs, language_model(docs))
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame):
@@ -73,7 +78,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame):
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = ftrl.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def tokenizer_path() -> str:
@@ -85,8 +90,7 @@ def tokenizer_path() -> str:
 @query("op5_harmonic_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = harmonic_packing.tokenize(docs, "doc_id", "text", tokenizer_path())
-    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = harmonic_packing.tokenize(docs, "doc_id", "text", tokenizer_path(), digest=True)
     return harmonic_packing.place(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -224,8 +228,7 @@ def length_class():
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     scored = factor_machine.score(docs, quality_model(docs, table(spark, sf_dir, "labels")), metadata=[length_class()])
-    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 OP13_SQL = r"""

@@ -63,3 +63,20 @@ def test_pack_awkward_and_empty(awkward, empty_docs):
     made = harmonic_packing.sequences(rows).collect()
     assert all(len(r["tokens"]) == 2048 * 4 for r in made)
     assert harmonic_packing.pack(empty_docs, queries.tokenizer_path()).count() == 0
+
+
+def test_first_fit_equals_the_scan_over_bins():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(50):
+        lengths = [rng.randint(1, 40) for _ in range(rng.randint(0, 60))]
+        bins, offsets, used = [], [], []
+        for n in lengths:
+            k = next((i for i, u in enumerate(used) if u + n <= 40), len(used))
+            if k == len(used):
+                used.append(0)
+            bins.append(k)
+            offsets.append(used[k])
+            used[k] += n
+        assert harmonic_packing.first_fit(lengths, 40) == (bins, offsets)
