@@ -169,12 +169,20 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame, width: int = 4, chunk: int
     key = ["block", *S]
     groups = blocks.groupBy(*key, "content").agg(F.count(F.lit(1)).alias("n"), F.min("conv").alias("conv"), F.first("chars").alias("chars"))
     groups = store(groups, "groups")
-    forks = groups.groupBy(*key).agg(F.count(F.lit(1)).alias("ways"))
+    forks = groups.groupBy(*key).agg(F.count(F.lit(1)).alias("ways"), F.first(F.struct("content", "n", "conv", "chars")).alias("one"))
+    forks = store(forks, "forks")
     sums = [F.col(s) for s in S]
-    opened = groups.join(forks, key).select(*key, "n", "conv", "ways", "content", F.posexplode("chars").alias("i", "chars"))
-    opened = opened.select(*key, "n", "conv", "ways", "chars", (F.col("i") + 1).alias("turns"), F.substring(F.col("content"), F.lit(1), (F.col("i") + 1) * 16).alias("content"))
-    alone = opened.filter("ways = 1").drop("ways")
-    split = opened.filter("ways > 1").groupBy(*key, "content", "turns").agg(F.sum("n").alias("n"), F.min("conv").alias("conv"), F.first("chars").alias("chars"))
+    # one prefix may go on in very many ways: its blocks are dealt by their content as well
+    salt = F.pmod(F.xxhash64("content"), F.lit(16))
+    many = forks.filter("ways > 1").select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("salt"))
+
+    def opened(blocks: DataFrame) -> DataFrame:
+        rows = blocks.select(*key, "n", "conv", "content", F.posexplode("chars").alias("i", "chars"))
+        return rows.select(*key, "n", "conv", "chars", (F.col("i") + 1).alias("turns"), F.substring(F.col("content"), F.lit(1), (F.col("i") + 1) * 16).alias("content"))
+
+    alone = opened(forks.filter("ways = 1").select(*key, "one.*"))
+    split = opened(groups.withColumn("salt", salt).join(many, [*key, "salt"])).groupBy(*key, "content", "turns").agg(
+        F.sum("n").alias("n"), F.min("conv").alias("conv"), F.first("chars").alias("chars"))
     shorter = F.substring(F.col("content"), F.lit(1), (F.col("turns") - 1) * 16)
     nodes = alone.unionByName(split).select(
         _node(F.col("block"), sums, F.col("content"), F.col("turns"), width).alias("node"), _name(F.col("block"), sums, shorter).alias("parent"),
