@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by cover trees and dual traversal.
 
 On unit vectors cosine >= c is a distance of at most sqrt(2 - 2c).  Rows are dealt to the nodes
-of a shallow cover tree fitted on a bounded sample; a node with many rows is dealt to several
-blocks.  Pairs of blocks whose covering radii leave them within reach meet in one task, where
+of a shallow cover tree fitted on a bounded sample; nodes near each other share a block, one with many
+rows is dealt to several.  A row is sent to the pairs of its block with every block that may hold a row
+within reach, by two tests on its distances from the nodes.  In a pair's task
 each block is a cover tree of its own (levels of halving radii) and both are walked together: a
 node pair farther apart than the reach and both radii is dropped, one that lies within it as a
 whole is counted without forming pairs, and leaves are compared by exact cosines.
@@ -177,22 +178,29 @@ def cover_pivots(x: np.ndarray, cells: int) -> np.ndarray:
     return x[centres]
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, block_rows: int = 8192,
-                    sample_rows: int = 4096) -> DataFrame:
+def neighbours_first(pivots: np.ndarray) -> np.ndarray:
+    """The pivots in an order that keeps close ones together: by the coarse pivot each is nearest to, then by the distance from it."""
+    coarse = distances(pivots, pivots[:max(1, int(len(pivots) ** 0.5))])
+    return np.lexsort((coarse.min(axis=1), coarse.argmin(axis=1)))
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, cell_rows: int = 4096,
+                    block_rows: int = 40_000, sample_rows: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     n_links counts the other usable vectors of cosine >= ``least``, component_id is the smallest
     id reachable over links.  Vectors that take no part (``vectors.usable``) link with nothing
     and are kept as components of their own.  Rows with the same id give equal rows; a null id
-    has a null component and is not kept.  Links are exact: the sample only chooses the cells.
+    has a null component and is not kept.  Links are exact: the sample, of ``sample_rows`` or, for
+    very many rows, up to 16 times as many, only chooses the cells.  A task holds two blocks
+    of about ``block_rows``.
     """
     data = store(usable(rows, id_col, vec_col), "vectors")
     n = data.count()
-    fitted = matrix(sample(data, n, sample_rows, "vec")["vec"]) if n else np.zeros((0, 1))
+    fitted = matrix(sample(data, n, max(sample_rows, min(16 * sample_rows, 8 * (n // cell_rows))), "vec")["vec"]) if n else np.zeros((0, 1))
     unit = fitted / np.sqrt((fitted * fitted).sum(axis=1))[:, None] if len(fitted) else fitted
-    pivots = cover_pivots(unit, max(1, min(sample_rows // 8, n // block_rows)))
-    if not len(pivots):
-        pivots = np.zeros((1, 1))
+    pivots = cover_pivots(unit, max(1, min(len(unit) // 8, n // cell_rows)))
+    pivots = pivots[neighbours_first(pivots)] if len(pivots) else np.zeros((1, 1))
 
     @F.pandas_udf("struct<cell:bigint,off:double>")
     def placed(vec: pd.Series) -> pd.DataFrame:
@@ -202,32 +210,43 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         return pd.DataFrame({"cell": d.argmin(axis=1), "off": d.min(axis=1)})
 
     index = store(data.withColumn("p", placed("vec")).select("id", "vec", "p.cell", "p.off"), "index")
-    # one row per cell, at most sample_rows / 8
+    # one row per cell, at most an eighth of the sample
     stats = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")).orderBy("cell").collect()
-    radius = {r["cell"]: r["radius"] for r in stats}
-    parts = {r["cell"]: -(-r["n"] // block_rows) for r in stats}
+    radius = np.full(len(pivots), -np.inf)  # of cells with rows
+    first, parts, block, filled = np.zeros(len(pivots), int), np.ones(len(pivots), int), 0, 0
+    for r in stats:
+        c = r["cell"]
+        radius[c], parts[c] = r["radius"], -(-r["n"] // block_rows)
+        if filled and (parts[c] > 1 or filled + r["n"] > block_rows):
+            block, filled = block + 1, 0
+        first[c], filled = block, filled + r["n"]
+        if parts[c] > 1:
+            block, filled = block + int(parts[c]), 0
+    total = block + 1
+    holds = np.zeros((len(pivots), total), np.float32)  # which blocks a cell's rows lie in
+    for r in stats:
+        holds[r["cell"], first[r["cell"]]:first[r["cell"]] + parts[r["cell"]]] = 1
     reach = float(np.sqrt(2 - 2 * least))
-    gap = distances(pivots, pivots)
-    near = {c: [o for o in radius if gap[c, o] <= radius[c] + radius[o] + reach + 2 * SLACK] for c in radius}
-    base = dict(zip(sorted(parts), np.concatenate([[0], np.cumsum([parts[c] for c in sorted(parts)])]).tolist()))
-    total = sum(parts.values()) + 1
 
     @F.pandas_udf("array<bigint>")
-    def meetings(cell: pd.Series, spot: pd.Series) -> pd.Series:
+    def meetings(vec: pd.Series, cell: pd.Series, off: pd.Series, block: pd.Series) -> pd.Series:
         """Block pairs a row belongs to, each as smaller block * total + larger block."""
-        out = []
-        for c, s in zip(cell, spot):
-            own = base[c] + s % parts[c]
-            others = [base[o] + k for o in near[c] for k in range(parts[o])]
-            out.append([min(own, o) * total + max(own, o) for o in others])
-        return pd.Series(out)
+        v = matrix(vec)
+        d = distances(v / np.sqrt((v * v).sum(axis=1))[:, None], pivots)
+        # a row within reach of this one lies within its cell's radius, and no nearer to another pivot than to its own
+        meets = (d <= radius[None] + reach + SLACK) & (d - off.to_numpy()[:, None] <= 2 * reach + SLACK)
+        meets[np.arange(len(v)), cell] = True
+        own = block.to_numpy()
+        return pd.Series([np.minimum(o, g) * total + np.maximum(o, g) for o, g in zip(own, map(np.flatnonzero, meets.astype(np.float32) @ holds > 0))])
 
     @F.pandas_udf("bigint")
     def block_of(cell: pd.Series, spot: pd.Series) -> pd.Series:
-        return pd.Series([base[c] + s % parts[c] for c, s in zip(cell, spot)], dtype="int64")
+        c = cell.to_numpy()
+        return pd.Series(first[c] + spot.to_numpy() % parts[c], dtype="int64")
 
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    met = index.select("id", "vec", block_of("cell", spot).alias("block"), F.explode(meetings("cell", spot)).alias("pair"))
+    dealt = index.withColumn("block", block_of("cell", spot))
+    met = dealt.select("id", "vec", "block", F.explode(meetings("vec", "cell", "off", "block")).alias("pair"))
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["block", "id"], ignore_index=True)
