@@ -127,7 +127,8 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     Every usable vector is indexed; the sample of about ``sample_rows`` rows only places the
     cells' cuts.  A cell with more than ``cell_rows`` rows (many copies of one vector) is dealt
-    to several blocks, queries are taken in blocks of about ``query_rows``.  Ties go to the
+    to several blocks; queries of neighbouring cells are taken in blocks of about ``query_rows``, and a block of
+    the index is sent only to the query blocks that ask for it.  Ties go to the
     smaller id; with fewer than k candidates all are given.  See ``vectors.usable`` for rows
     that take no part and repeated ids.  No usable vector or query: an empty result.
     """
@@ -147,15 +148,24 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     index = store(data.withColumn("p", placed("vec")).select("id", "vec", "p.proj", "p.cell"), "index")
     # one row per cell, so at most as many as the sample's cells
-    stats = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.get("proj", F.lit(i))).alias(f"lo{i}") for i in range(m)],
+    is_query = F.col("id") % every == 0
+    stats = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("queries"), *[F.min(F.get("proj", F.lit(i))).alias(f"lo{i}") for i in range(m)],
                                       *[F.max(F.get("proj", F.lit(i))).alias(f"hi{i}") for i in range(m)]).orderBy("cell").toPandas()
     numbers = stats["cell"].to_numpy()
     low, high = stats[[f"lo{i}" for i in range(m)]].to_numpy(float), stats[[f"hi{i}" for i in range(m)]].to_numpy(float)
     parts = -(-stats["n"].to_numpy() // cell_rows)
     parts_of = dict(zip(numbers.tolist(), parts.tolist()))
-    is_query = F.col("id") % every == 0
-    n_query_blocks = max(1, -(-index.filter(is_query).count() // query_rows))
-    queries = index.filter(is_query).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)))
+    # cells are numbered along the tree: neighbours share a query block, a cell of very many queries has several
+    asks = stats["queries"].to_numpy()
+    shares = np.maximum(1, -(-asks // query_rows))
+    first_share = np.cumsum(np.where(shares > 1, shares, 0)) - np.where(shares > 1, shares, 0) + (np.cumsum(asks) - asks) // query_rows
+    share_of = {c: (int(f), int(s)) for c, f, s in zip(numbers.tolist(), first_share, shares)}
+
+    @F.pandas_udf("bigint")
+    def query_block(cell: pd.Series, spot: pd.Series) -> pd.Series:
+        return pd.Series([share_of[c][0] + x % share_of[c][1] for c, x in zip(cell, spot)], dtype="int64")
+
+    queries = index.filter(is_query).withColumn("qb", query_block("cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40))))
 
     @F.pandas_udf("array<bigint>")
     def own_parts(cell: pd.Series) -> pd.Series:
@@ -172,7 +182,6 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     salt = F.create_map(*[F.lit(x) for c, s in parts_of.items() if s > 1 for x in (c, s)]) if max(parts_of.values(), default=1) > 1 else None
     of_cell = F.coalesce(salt[F.col("cell")], F.lit(1)) if salt is not None else F.lit(1)
     blocks = index.withColumn("block", F.col("cell") * 65536 + F.pmod(F.xxhash64("id"), of_cell))
-    blocks = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long"))))
 
     def run(_: tuple, rows_: pd.DataFrame, queries_: pd.DataFrame) -> pd.DataFrame:
         if not len(rows_) or not len(queries_):
@@ -181,7 +190,8 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     def visit(asked: DataFrame) -> DataFrame:
         asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "qb", "id", "vec", "proj", "bound")])
-        return blocks.select("block", "qb", "id", "vec", "proj").groupBy("block", "qb").cogroup(asked.groupBy("q_block", "q_qb")).applyInPandas(
+        wanted = asked.select(F.col("q_block").alias("block"), F.col("q_qb").alias("qb")).distinct()
+        return blocks.join(wanted, "block").select("block", "qb", "id", "vec", "proj").groupBy("block", "qb").cogroup(asked.groupBy("q_block", "q_qb")).applyInPandas(
             run, "query_id bigint, vec_id bigint, score double")
 
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
