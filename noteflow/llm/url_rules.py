@@ -2,12 +2,15 @@
 
 Spark's FP-growth mines frequent token combinations of labelled URLs together with the mark
 ``bad``; the rules "these tokens -> bad" that keep enough support and confidence, and say more
-than a rule with fewer tokens, block a URL.  Rules are found through an inverted index: each is
+than a rule with fewer tokens, block a URL.  Tokens that all bad URLs hold together or not at all, such as the
+labels of one host, are mined as one item and told apart afterwards.  Rules are found through an inverted index: each is
 filed under its rarest token, a URL looks up its own tokens, and the rest is compared there.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +47,7 @@ def url_tokens(url: Column) -> Column:
     host, path = url_parts(url)
     plain = lambda c: F.regexp_replace(F.lower(c), r"\d+", "0")
     labels = F.filter(F.split(host, r"\."), lambda t: t != "")
-    suffix = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.concat(F.lit("s:"), F.array_join(F.slice(labels, i, 100), ".")))
+    suffix = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.concat(F.lit("s:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     words = F.transform(labels, lambda t: F.concat(F.lit("h:"), t))
     pieces = F.flatten(F.transform(labels, lambda t: F.transform(F.split(t, "[-_]"), lambda p: F.concat(F.lit("w:"), p))))
     steps = F.filter(F.split(plain(path), "/"), lambda t: t != "")
@@ -56,47 +59,66 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.transform(every, lambda t: F.replace(t, F.lit("="), F.lit("~"))))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = 0.002, confidence: float = 0.5, lift: float = 2.0,
-         length: int = 3) -> DataFrame:
-    """Rules as rows: rule (sorted tokens), key (its rarest token), support, confidence, lift.
+def token_sets(classes: list[list[str]], length: int) -> list[list[str]]:
+    """All sets of at most ``length`` tokens with at least one of each class."""
+    ways = [[c for k in range(1, length - len(classes) + 2) for c in combinations(tokens, k)] for tokens in classes]
+    return [sorted(t for part in parts for t in part) for parts in product(*ways) if sum(map(len, parts)) <= length]
+
 
-    ``support`` is the least share of labelled URLs that hold the rule's tokens and are bad.
-    A rule needs ``confidence``, ``lift`` over the share of bad URLs, at most ``length`` tokens,
-    and more confidence than every mined rule made of some of its tokens.  Tokens that fewer bad
-    URLs hold than the support asks for cannot be in a rule and are left out before mining.
-    Rows with a null url or mark are not used; without bad URLs there is no rule.
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: int = 5, confidence: float = 0.5, odds: float = 2.0,
+         length: int = 3) -> DataFrame:
+    """Rules as rows: rule (sorted tokens), key (its rarest token), support, confidence, odds.
+
+    ``support`` is the least number of bad URLs that hold the rule's tokens.  A rule needs ``confidence``,
+    odds of being bad at least ``odds`` times those of all labelled URLs (which a rule can have at any share
+    of bad URLs), at most ``length`` tokens, and more confidence than every mined rule made of some of its
+    tokens.  Tokens that fewer bad URLs hold than the support asks for cannot be in a rule and are left
+    out before mining.  Rows with a null url or mark are not used; without bad URLs, or without
+    good ones to tell them from, there is no rule.
     """
-    schema = "rule array<string>, key string, support double, confidence double, lift double"
+    schema = "rule array<string>, key string, support double, confidence double, odds double"
     spark = labelled.sparkSession
     rows = labelled.filter(F.col(url_col).isNotNull() & F.col(bad_col).isNotNull()).select(
         F.monotonically_increasing_id().alias("row"), url_tokens(F.col(url_col)).alias("tokens"), (F.col(bad_col) > 0).alias("bad"))
     rows = store(rows, "labelled")
     n, bad = rows.agg(F.count(F.lit(1)), F.sum(F.col("bad").cast("long"))).first()
-    if not bad:
+    if not bad or bad == n:
         return spark.createDataFrame([], schema)
-    least = max(2.0, support * n)
+    # a token's bad URLs, by their number and two sums of 40-bit hashes: equal for tokens that always occur together
     tokens = rows.select("row", "bad", F.explode("tokens").alias("token"))
-    counts = store(tokens.groupBy("token").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).filter(F.col("bad") >= least), "tokens")
-    baskets = tokens.join(counts.select("token"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items"))
-    baskets = baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    mark = F.when(F.col("bad"), F.xxhash64("row"))
+    low, high = F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))), F.sum(F.shiftrightunsigned(mark, 24))
+    counts = tokens.groupBy("token").agg(F.count(mark).alias("bad"), F.count(F.lit(1)).alias("n"), low.alias("low"), high.alias("high"))
+    counts = store(counts.filter(F.col("bad") >= support), "tokens")
+    classes = store(counts.groupBy("bad", "low", "high").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members")), "classes")
+    baskets = tokens.filter("bad").join(classes.select(F.col("item").alias("token")), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    baskets = baskets.select(F.concat("items", F.array(F.lit(BAD))).alias("items"))
     # sets of bad URLs alone give the rules; how many URLs hold each is counted afterwards over all rows
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / bad), minConfidence=0.0).fit(baskets.filter(F.array_contains("items", BAD)))
-    sets = model.freqItemsets.select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.col("freq").alias("hits")).filter(
-        F.size("rule").between(1, length)).distinct()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (support - 0.5) / bad), minConfidence=0.0).fit(baskets)
+    sets = model.freqItemsets.select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("hits")).filter(
+        F.size("items").between(1, length)).distinct()
+
+    @F.udf("array<array<string>>", useArrow=False)
+    def unfolded(members):
+        return token_sets(members, length)
+
+    members = sets.select("items", "hits", F.explode("items").alias("item")).join(classes.select("item", "members"), "item")
+    members = members.groupBy("items", "hits").agg(F.collect_list("members").alias("members"))
+    sets = members.select("hits", F.explode(unfolded("members")).alias("rule"))
     rarest = sets.select("rule", "hits", F.explode("rule").alias("token")).join(counts.select("token", "n"), "token")
     sets = store(rarest.groupBy("rule", "hits").agg(F.min_by("token", F.struct("n", "token")).alias("key")), "itemsets")
     # few bytes, but many rules to compare with: dealt to all tasks
     spread = rows.select("row", "tokens").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
     held = matches(spread, sets.select("rule", "key"), "row").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
     rules = sets.join(held, "rule").select("rule", "key", (F.col("hits") / n).alias("support"), (F.col("hits") / F.col("n")).alias("confidence"),
-                                           (F.col("hits") / F.col("n") / (bad / n)).alias("lift"))
-    strong = store(rules.filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift)), "rules")
+                                           F.coalesce(F.try_divide(F.col("hits") * (n - bad), (F.col("n") - F.col("hits")) * bad), F.lit(float("inf"))).alias("odds"))
+    strong = store(rules.filter((F.col("confidence") >= confidence) & (F.col("odds") >= odds)), "rules")
     # at most 2**length smaller rules each, found by equality
     bits = F.explode(F.sequence(F.lit(1), F.expr("cast(power(2, size(rule)) as int) - 2")))
     parts = strong.filter(F.size("rule") > 1).select("rule", "confidence", bits.alias("mask"))
     parts = parts.select("rule", "confidence", F.filter("rule", lambda t, i: F.expr("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0).alias("part"))
     beaten = parts.join(strong.select(F.col("rule").alias("part"), F.col("confidence").alias("c")), "part").filter("c >= confidence").select("rule").distinct()
-    return strong.join(beaten, "rule", "left_anti").select("rule", "key", "support", "confidence", "lift")
+    return strong.join(beaten, "rule", "left_anti").select("rule", "key", "support", "confidence", "odds")
 
 
 def matches(rows: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
@@ -124,7 +146,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     asked = rows.filter("verdict_ is null and host <> ''").select("tokens").distinct()
     asked = asked.select(F.xxhash64("tokens").alias("set"), "tokens")
     hits = matches(asked, rules, "set").groupBy("set").agg(
-        F.max(F.struct(F.col("confidence"), F.array_join("rule", " ").alias("mined"))).alias("best"))
+        F.min(F.struct((-F.col("confidence")).alias("least"), F.array_join("rule", " ").alias("mined"), "confidence")).alias("best"))
     out = rows.withColumn("set", F.xxhash64("tokens")).join(hits, "set", "left")
     method = F.when(F.col("verdict_").isNull() & (F.col("host") != "") & F.col("best").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     decided = F.coalesce("verdict_", method)

@@ -168,16 +168,15 @@ def test_url_parts_and_base_rules(spark):
     assert url_rules.judge(pages.limit(0), rules).count() == 0
 
 
-def plain_rules(rows, support=0.002, confidence=0.5, lift=2.0, length=3):
+def plain_rules(rows, support=5, confidence=0.5, odds=2.0, length=3):
     n, bad = len(rows), sum(b for _, b in rows)
-    least = max(2.0, support * n)
     sets, hits = {}, {}
     for tokens, b in rows:
         for k in range(1, length + 1):
             for c in combinations(sorted(tokens), k):
                 sets[c] = sets.get(c, 0) + 1
                 hits[c] = hits.get(c, 0) + b
-    good = {c: h / sets[c] for c, h in hits.items() if h >= least and h / sets[c] >= confidence and h / sets[c] / (bad / n) >= lift}
+    good = {c: h / sets[c] for c, h in hits.items() if h >= support and h / sets[c] >= confidence and h * (n - bad) >= odds * (sets[c] - h) * bad}
     return {c: v for c, v in good.items() if not any(good.get(p, -1) >= v for k in range(1, len(c)) for p in combinations(c, k))}
 
 
@@ -195,6 +194,35 @@ def test_mined_rules_and_verdicts_equal_brute_force(spark):
         assert r["rule"] is None and r["verdict"] == ("block" if blocked else "allow")
 
 
+def test_rules_where_most_urls_are_bad(spark):
+    rows = [(f"http://bad{i % 20}.com/x", 1) for i in range(800)] + [(f"http://good{i % 20}.net/x", 0) for i in range(400)]
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad int"))
+    verdicts = {r["host"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame(list(enumerate(u for u, _ in rows)), "page_id int, url string"), mined, base=()).collect()}
+    assert all((v == "block") == h.startswith("bad") for h, v in verdicts.items())
+    assert url_rules.mine(spark.createDataFrame(rows[:800], "url string, bad int")).count() == 0
+
+
+def test_tokens_that_always_come_together_are_one_item(spark):
+    host = "a1.b2.c3.d4.e5.shop-online.com"
+    rows = [(f"https://{host}/one/two/three/four?q{i % 3}=1&session={i}#top", 1) for i in range(400)] + [(f"https://w{i}.org/one/{i}", 0) for i in range(400)]
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad int")).collect()
+    assert any(r["rule"] == ["s:" + host] for r in mined) and all(len(r["rule"]) == 1 for r in mined if "s:com" in r["rule"])
+
+
+def test_long_urls_and_ties_between_rules(spark):
+    rules = spark.createDataFrame([(["w:b"], "w:b", 0.1, 0.9, 3.0), (["w:a"], "w:a", 0.1, 0.9, 3.0), (["w:c"], "w:c", 0.1, 0.8, 3.0)], url_rules_schema())
+    deep = ".".join(f"x{i}" for i in range(150)) + ".end"
+    pages = [(1, "http://c-b-a.com/"), (2, "http://" + deep + "/" + "p/" * 2000 + "?" + "k&" * 2000)]
+    got = {r["page_id"]: r for r in url_rules.judge(spark.createDataFrame(pages, "page_id int, url string"), rules).collect()}
+    assert got[1]["mined"] == "w:a" and got[1]["confidence"] == 0.9 and got[2]["verdict"] == "allow"
+    suffixes = [t for t in spark.createDataFrame(pages[1:], "page_id int, url string").select(F.explode(url_rules.url_tokens(F.col("url"))).alias("t")).filter("t like 's:%'").toPandas()["t"]]
+    assert "s:" + deep in suffixes and len(suffixes) == 151
+
+
+def url_rules_schema():
+    return "rule array<string>, key string, support double, confidence double, odds double"
+
+
 def test_op2_registered(spark, sf):
     rows = queries.op2(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
